@@ -53,11 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prefix_starts(totals: DataFrame, key: str, value: str, start: str) -> DataFrame:
+def prefix_starts(totals: DataFrame, key: str, value: str, start: str, total: str | None = None) -> DataFrame:
     """Exclusive prefix sums of per-partition totals: one row per partition, so the one-task
     window sees as many rows as there are partitions, never as many as there are documents."""
     from pyspark.sql import Window
 
     per = totals.groupBy(key).agg(F.sum(value).alias("_total"))
     before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return per.select(key, F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("long").alias(start))
+    every = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    more = [F.sum("_total").over(every).cast("long").alias(total)] if total else []
+    return per.select(key, F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("long").alias(start), *more)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.llm.common import materialize, prefix_starts
 from tarnwick.llm.tokenizing import encoder
+from tarnwick.llm.words import slices
 
 
 def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -33,9 +34,9 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, tokenizer: str |
     def tokenize(batches):
         enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                cut = b.slice(k, 500)
-                flat, sizes = enc.encode_flat(cut.column(1).to_pylist(), end_id)
+            for k, n in slices(b.column(1)):
+                cut = b.slice(k, n)
+                flat, sizes = enc.encode_flat(cut.column(1), end_id)
                 offsets = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())
                 flat = flat.astype("<u2" if flat.max() < 65536 else "<u4")
@@ -44,10 +45,9 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, tokenizer: str |
                 yield pa.RecordBatch.from_arrays([cut.column(0), pa.array([part] * cut.num_rows, pa.int32()), pa.array(offsets), pa.array(sizes), pa.array(small, pa.binary())], ["_id", "part", "part_offset", "doc_tokens", "ids"])
 
     ids = materialize(clean.mapInArrow(tokenize, f"_id {kind}, part int, part_offset long, doc_tokens long, ids binary"), "packing")
-    starts = prefix_starts(ids.select("part", "doc_tokens"), "part", "doc_tokens", "part_start")
-    total = ids.agg(F.coalesce(F.sum("doc_tokens"), F.lit(0)).alias("all_tokens"))
-    # one row per partition of the first pass, and one row in all: both sides are bounded by the partition count
-    placed = ids.join(F.broadcast(starts.join(F.broadcast(total))), "part").select("_id", (F.col("part_start") + F.col("part_offset")).alias("at"), "doc_tokens", "ids", "all_tokens")
+    starts = prefix_starts(ids.select("part", "doc_tokens"), "part", "doc_tokens", "part_start", "all_tokens")
+    # one row per partition of the first pass
+    placed = ids.join(F.broadcast(starts), "part").select("_id", (F.col("part_start") + F.col("part_offset")).alias("at"), "doc_tokens", "ids", "all_tokens")
 
     def cut(batches):
         for b in batches:

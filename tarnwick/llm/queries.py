@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import packing, simple8b
+from tarnwick.llm import decontaminate, packing, repetition, simple8b, url_rules
 from tarnwick.llm.common import table
 
 
+def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*")
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages")).drop("n_candidates", "pattern")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, items).drop("item_ids", "spans")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -16,5 +29,5 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.tokenize_to_segments(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_packing, op10_simple8b)}
+QUERIES = {f.__name__: f for f in (op2_repetition, op3_url_rules, op5_decontaminate, op8_packing, op10_simple8b)}
 ORACLES: dict[str, str] = {}

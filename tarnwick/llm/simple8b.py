@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.llm.common import materialize, prefix_starts, shuffle_partitions
 from tarnwick.llm.tokenizing import encoder
+from tarnwick.llm.words import slices
 
 #: Fixed values: (values in a word, bits of each) for selectors 1 to 14.
 LAYOUTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -55,9 +56,13 @@ def encode_words(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np
     select = np.full(n, ESCAPE, np.uint8)
     step = np.ones(n, np.int32)
     left = end - at
+    if n and v.max() < 1 << 32:
+        v32 = v.astype(np.uint32)
+    else:
+        v32 = v
     for k in range(len(LAYOUTS) - 1, -1, -1):  # wide values first, so that the densest layout that fits stays
         count, bits = LAYOUTS[k]
-        wide = np.flatnonzero(v >= np.uint64(1 << bits))
+        wide = np.flatnonzero(v32 >= v32.dtype.type(1 << bits)) if v32.itemsize == 8 or bits < 32 else np.empty(0, np.int64)
         takes = np.minimum(count, left)
         if wide.size:
             reach = np.append(wide, n)[np.searchsorted(wide, at)] if wide.size < n // 64 else _next(wide, n)
@@ -175,9 +180,9 @@ def write_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             if b.column(0).null_count:
                 raise ValueError("a null document id can't be written")
-            for k in range(0, b.num_rows, 500):
-                cut = b.slice(k, 500)
-                flat, sizes = enc.encode_flat(cut.column(1).to_pylist(), end_id)
+            for k, n in slices(b.column(1)):
+                cut = b.slice(k, n)
+                flat, sizes = enc.encode_flat(cut.column(1), end_id)
                 ids.append(cut.column(0).to_numpy())
                 counts.append(sizes)
                 parts.append(flat)

@@ -2,7 +2,7 @@
 
 The tokenizers library spends most of its time normalising and pre-splitting. Where a tokenizer
 drops white space before it splits, each white-space word's ids depend on that word alone. So words
-get numbers as they come, ids are kept by word in one flat array, and a batch's ids are gathered from
+are hashed and numbered, ids are kept by word in one flat array, and a batch's ids are gathered from
 there with NumPy. New words are split by the tokenizer's own rule and their letter runs encoded in
 one call of a bare copy of the model; words with other than Latin letters go to the library itself.
 """
@@ -14,8 +14,9 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-from tarnwick.llm.common import WORD_RE
+from tarnwick.llm.words import Table, Words
 
 #: Latin letters that lower-casing and NFC leave alone, after lower-casing: ranges of U+00C0 to U+024F.
 _LATIN = "ß-öø-ɏ"
@@ -72,7 +73,7 @@ class _Lists:
 class Encoder:
     """encode_flat(texts) gives the library's own ids of many texts; `limit` bounds the words held."""
 
-    def __init__(self, path: str | None = None, limit: int = 800_000):
+    def __init__(self, path: str | None = None, limit: int = 2_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         path = path or default_path()
@@ -86,10 +87,14 @@ class Encoder:
             vocab = spec["model"]["vocab"]
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self._clear()
+        self._clear_words()
+        self._clear_parts()
 
-    def _clear(self) -> None:
-        self.words, self.word_ids, self.parts, self.part_ids = _Codes(), _Lists(), _Codes(), _Lists()
+    def _clear_words(self) -> None:
+        self.table, self.word_ids = Table(), _Lists()
+
+    def _clear_parts(self) -> None:
+        self.parts, self.part_ids = _Codes(), _Lists()
         self.parts["\n"] = 0
         self.part_ids.extend(np.empty(0, np.uint32), np.zeros(1, np.int64))
 
@@ -140,23 +145,26 @@ class Encoder:
         ids[is_odd], ids[~is_odd] = some, rest
         self.word_ids.extend(ids, sizes)
 
-    def encode_flat(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode_flat(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each); `end_id` is appended to each text. A null text is empty."""
-        texts = [t or "" for t in texts]
         if self.by_word:
-            if len(self.words) > self.limit:
-                self._clear()
-            lists = [WORD_RE.findall(t) for t in texts]
-            counts = np.array([len(x) for x in lists], np.int64)
-            codes = np.fromiter(map(self.words.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
-            if new := self.words.new:
-                self.words.new = []
-                self._learn(new)
+            if self.word_ids.n > self.limit:
+                self._clear_words()
+            if len(self.parts) > self.limit:
+                self._clear_parts()
+            words = Words(texts)
+            codes = self.table.lookup(words.hashes)
+            missing = np.flatnonzero(codes < 0)
+            if missing.size:
+                new, first = np.unique(words.hashes[missing], return_index=True)
+                self.table.insert(new)
+                self._learn(words.strings(missing[first]))
+                codes[missing] = self.table.lookup(words.hashes[missing])
             ids, sizes = self.word_ids.gather(codes)
-            cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+            cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(words.counts)])]
             sizes = np.diff(cuts)
         else:
-            ids, sizes = self._library(texts)
+            ids, sizes = self._library([t or "" for t in texts.to_pylist()])
         if end_id is not None:
             ids, sizes = np.insert(ids, np.cumsum(sizes), np.uint32(end_id)), sizes + 1
         return ids, sizes
