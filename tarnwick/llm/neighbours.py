@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import WORD_RE, crc_bucket
+from tarnwick.llm.common import crc_bucket
 from tarnwick.llm.labelled import labelled_sample
+from tarnwick.llm.words import Table, Words, slices
 
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"\d+")
 _RUN = re.compile(r"(.)\1+")
@@ -31,35 +32,39 @@ def shape(word: str) -> str:
 class Space:
     """Terms, weights and axes of the latent space, and the labelled vectors in it."""
 
-    def __init__(self, dims: int = 4096, rank: int = 32, neighbours: int = 25, limit: int = 400_000):
-        self.dims, self.rank, self.neighbours, self.limit, self.terms = dims, rank, neighbours, limit, {}
+    def __init__(self, dims: int = 4096, rank: int = 32, neighbours: int = 25, limit: int = 2_000_000):
+        self.dims, self.rank, self.neighbours, self.limit = dims, rank, neighbours, limit
+        self.table, self.terms = Table(), np.zeros((0, 2), np.int32)
         self.shapes = dims // 4  # shapes have a range of hashes of their own, so that words don't drown them
 
     def __getstate__(self):
-        return self.__dict__ | {"terms": {}}
+        return self.__dict__ | {"table": Table(), "terms": np.zeros((0, 2), np.int32)}
 
     def term(self, word: str) -> tuple[int, int]:
         return zlib.crc32(shape(word).encode()) % self.shapes, self.shapes + zlib.crc32(word.lower().encode()) % (self.dims - self.shapes - 64)
 
-    def counts(self, texts: list[str]) -> np.ndarray:
+    def counts(self, column: pa.Array) -> np.ndarray:
         """Dense term counts, one row a text."""
-        lists = [WORD_RE.findall(t) for t in texts]
-        if len(self.terms) > self.limit:
-            self.terms.clear()
-        terms, rows = self.terms, []
-        out = np.zeros((len(texts), self.dims), np.float32)
-        for k, words in enumerate(lists):
-            own = set(words)
-            for w in own - terms.keys():
-                a, b = self.term(w)
-                terms[w] = a * self.dims + b
-            both = np.fromiter(map(terms.__getitem__, words), np.int64, len(words))
-            out[k] = np.bincount(np.concatenate([both // self.dims, both % self.dims]), minlength=self.dims)
-            n = len(words)
-            out[k, self.dims - 64 + min(15, n.bit_length())] += 1 + n  # length
-            out[k, self.dims - 48 + (int(15 * len(own) / n) if n else 0)] += 1 + n  # share of distinct words
-            lines = [x for x in texts[k].split("\n") if x]
-            out[k, self.dims - 32 + (int(15 * len(set(lines)) / len(lines)) if lines else 15)] += 1 + n  # of distinct lines
+        words, rows = Words(column), len(column)
+        if self.table.n > self.limit:
+            self.table, self.terms = Table(), np.zeros((0, 2), np.int32)
+        codes = self.table.lookup(words.hashes)
+        missing = np.flatnonzero(codes < 0)
+        if missing.size:
+            new, first = np.unique(words.hashes[missing], return_index=True)
+            self.table.insert(new)
+            self.terms = np.concatenate([self.terms, np.array([self.term(w) for w in words.strings(missing[first])], np.int32)])
+            codes[missing] = self.table.lookup(words.hashes[missing])
+        doc = np.repeat(np.arange(rows), words.counts)
+        at = self.terms[codes] + (doc * self.dims)[:, None]
+        out = np.bincount(at.ravel(), minlength=rows * self.dims).reshape(rows, self.dims).astype(np.float32)
+        n = words.counts
+        distinct = np.bincount(np.unique(doc * (self.table.n + 1) + codes) // (self.table.n + 1), minlength=rows)
+        k = np.arange(rows)
+        out[k, self.dims - 64 + np.minimum(15, np.frexp(n)[1])] += 1 + n  # length
+        out[k, self.dims - 48 + 15 * distinct // np.maximum(n, 1)] += 1 + n  # share of distinct words
+        lines = [[x for x in (t or "").split("\n") if x] for t in column.to_pylist()]
+        out[k, self.dims - 32 + np.array([15 * len(set(x)) // len(x) if x else 15 for x in lines], np.int64)] += 1 + n  # of distinct lines
         return out
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
@@ -67,14 +72,15 @@ class Space:
         share = counts / np.maximum(counts[:, : self.shapes].sum(axis=1, keepdims=True), 1)
         return np.log1p(100 * share) * self.idf
 
-    def vectors(self, texts: list[str]) -> np.ndarray:
+    def vectors(self, texts: pa.Array) -> np.ndarray:
         v = self.weigh(self.counts(texts)) @ self.axes
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def fit(self, texts: list[str], labels: list[int]) -> Space:
         self.labels = np.array(labels, np.float32)
         self.prior = float((self.labels.sum() + 1) / (len(labels) + 2))
-        x = self.counts(texts)
+        column = pa.array(texts, pa.string())
+        x = np.concatenate([self.counts(column.slice(k, n)) for k, n in slices(column, rows=512)])
         self.idf = np.log((1 + len(texts)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
         x = self.weigh(x).astype(np.float32)
         rank = min(self.rank, *x.shape) if x.size else 0
@@ -88,7 +94,7 @@ class Space:
         self.known = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
         return self
 
-    def vote(self, texts: list[str], without: np.ndarray | None = None) -> np.ndarray:
+    def vote(self, texts: pa.Array, without: np.ndarray | None = None) -> np.ndarray:
         """Share of the nearest neighbours' weight that label 1 has; `without`: own places to leave out, for training rows."""
         if not len(self.labels):
             return np.full(len(texts), self.prior)
@@ -125,9 +131,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     def apply(batches):
         s = shared.value
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                cut = b.slice(k, 200)
-                score = s.vote([t or "" for t in cut.column(at).to_pylist()]).astype(np.float64)
+            for k, n in slices(b.column(at), rows=512):
+                cut = b.slice(k, n)
+                score = s.vote(cut.column(at)).astype(np.float64)
                 made = pa.StructArray.from_arrays([cut.column(b.num_columns - 1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["held_out", "score", "predicted"])
                 yield pa.RecordBatch.from_arrays([*cut.columns[:-1], made], [*b.schema.names[:-1], "vote"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import decontaminate, packing, repetition, simple8b, url_rules
+from tarnwick.llm import decontaminate, deleted_interpolation, html_text, neighbours, packing, repetition, simple8b, toxicity, url_rules
 from tarnwick.llm.common import table
 
 
@@ -16,18 +16,36 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages")).drop("n_candidates", "pattern")
 
 
+def op4_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contamination(docs, items).drop("item_ids", "spans")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_toxicity(docs, labels).drop("passages")
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return neighbours.score_quality(docs.select("doc_id", "text"), labels).select("doc_id", "vote.*")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.score(table(spark, sf_dir, "documents"))
+
+
 def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.tokenize_to_segments(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repetition, op3_url_rules, op5_decontaminate, op8_packing, op10_simple8b)}
+QUERIES = {f.__name__: f for f in (op2_repetition, op3_url_rules, op4_host_suffix_array, op5_decontaminate, op6_toxicity, op7_neighbours, op8_packing, op9_deleted_interpolation, op10_simple8b)}
 ORACLES: dict[str, str] = {}

@@ -12,16 +12,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import WORD_RE, crc_bucket
+from tarnwick.llm.common import crc_bucket
 from tarnwick.llm.labelled import labelled_sample, logistic
+from tarnwick.llm.words import Table, Words, slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7, 8)
@@ -33,10 +32,6 @@ def token(word: str) -> str:
     return m[0].lower() if m else ""
 
 
-def words_of(text: str) -> list[str]:
-    return WORD_RE.findall(text)
-
-
 def maximal_segments(at, weight, drift: float) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last position) of a sequence in which the sorted positions `at` score
     `weight` > 0 and each position between them costs `drift`; one pass with a stack."""
@@ -58,91 +53,131 @@ def maximal_segments(at, weight, drift: float) -> list[tuple[float, int, int]]:
     return [(r - l, a, b) for l, r, a, b in stack]
 
 
-def fit_weights(texts: list[str], labels: list[int], prior: float = 4.0, least: float = 1.0, min_docs: int = 3):
-    """(weights of words, weights of prefixes), those of `least` or more only."""
-    toxic, clean = Counter(), Counter()
-    for t, y in zip(texts, labels, strict=True):
-        (toxic if y else clean).update({token(w) for w in set(words_of(t))})
-    base = (sum(map(bool, labels)) + 1) / (len(labels) + 2)
-    hits, seen = Counter(), Counter()
-    for w, n in chain(toxic.items(), clean.items()):
-        for k in PREFIXES:
-            if len(w) > k:
-                seen[w[:k]] += n
-    for w, n in toxic.items():
-        for k in PREFIXES:
-            if len(w) > k:
-                hits[w[:k]] += n
+class Tokens:
+    """Numbers for tokens, found by the hashes of the words that hold them."""
+
+    def __init__(self, limit: int = 2_000_000):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.table, self.of_word, self.index, self.names = Table(), np.zeros(0, np.int32), {}, []
+
+    def numbers(self, words: Words) -> np.ndarray:
+        if self.table.n > self.limit:
+            self.clear()
+        codes = self.table.lookup(words.hashes)
+        missing = np.flatnonzero(codes < 0)
+        if missing.size:
+            new, first = np.unique(words.hashes[missing], return_index=True)
+            self.table.insert(new)
+            got = np.empty(new.size, np.int32)
+            for k, w in enumerate(words.strings(missing[first])):
+                t = token(w)
+                n = self.index.get(t)
+                if n is None:
+                    n = self.index[t] = len(self.names)
+                    self.names.append(t)
+                got[k] = n
+            self.of_word = np.concatenate([self.of_word, got])
+            codes[missing] = self.table.lookup(words.hashes[missing])
+        return self.of_word[codes]
+
+
+def fit_weights(names: list[str], toxic: np.ndarray, clean: np.ndarray, base: float, prior: float = 4.0, least: float = 1.0, min_docs: int = 3) -> tuple[dict[str, float], dict[str, float]]:
+    """(weights of words, weights of prefixes) of `least` or more, and words of weight 0 whose prefix alone would have one.
+
+    toxic, clean: documents of each kind that hold each name; base: share of toxic documents.
+    """
+    hits: dict[str, float] = {}
+    seen: dict[str, float] = {}
+    for w, t, c in zip(names, toxic.tolist(), clean.tolist(), strict=True):
+        if t or c:
+            for k in PREFIXES:
+                if len(w) <= k:
+                    break
+                p = w[:k]
+                seen[p] = seen.get(p, 0) + t + c
+                if t:
+                    hits[p] = hits.get(p, 0) + t
     odds = lambda p: math.log(p / (1 - p)) - math.log(base / (1 - base))
     chances: dict[str, float] = {}
     for p in sorted(seen, key=len):
-        up = chances.get(p[:-1], base)
-        chances[p] = (hits[p] + prior * up) / (seen[p] + prior)
-    words = {}
-    for w in toxic:
-        n = toxic[w] + clean[w]
-        up = next((chances[w[:k]] for k in reversed(PREFIXES) if len(w) > k and w[:k] in chances), base)
-        s = odds((toxic[w] + prior * up) / (n + prior))
-        if w and s >= least and (n >= min_docs or odds(up) >= least):
-            words[w] = s
-    cold = {w: 0.0 for w in clean if w not in words and clean[w] + toxic[w] >= min_docs and any(odds(chances.get(w[:k], base)) >= least for k in PREFIXES if len(w) > k)}
+        chances[p] = (hits.get(p, 0) + prior * chances.get(p[:-1], base)) / (seen[p] + prior)
     prefixes = {p: s for p, c in chances.items() if seen[p] >= min_docs and (s := odds(c)) >= least}
-    return words | cold, prefixes
+    words = {}
+    for w, t, c in zip(names, toxic.tolist(), clean.tolist(), strict=True):
+        if w and (t or c >= min_docs):
+            up = next((chances[w[:k]] for k in reversed(PREFIXES) if len(w) > k), base)
+            s = odds((t + prior * up) / (t + c + prior))
+            if t and s >= least and (t + c >= min_docs or odds(up) >= least):
+                words[w] = s
+            elif t + c >= min_docs and any(w[:k] in prefixes for k in PREFIXES if len(w) > k):
+                words[w] = 0.0
+    return words, prefixes
 
 
 class Scorer:
-    """Per document: (words, segments with scores)."""
+    """Positive word weights, and the segments that they form."""
 
-    def __init__(self, words: dict[str, float], prefixes: dict[str, float], drift: float = 0.02, limit: int = 500_000):
-        self.words, self.prefixes, self.drift, self.limit, self.held = words, prefixes, drift, limit, {}
+    def __init__(self, words: dict[str, float], prefixes: dict[str, float]):
+        self.words, self.prefixes, self.tokens, self.weights = words, prefixes, Tokens(), np.zeros(0)
 
     def __getstate__(self):
-        return self.__dict__ | {"held": {}}
+        return {"words": self.words, "prefixes": self.prefixes}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
 
-    def weight(self, word: str) -> float:
-        w = token(word)
+    def weight(self, w: str) -> float:
         got = self.words.get(w)
         if got is None:
             got = next((self.prefixes[w[:k]] for k in reversed(PREFIXES) if len(w) > k and w[:k] in self.prefixes), 0.0)
         return got
 
-    def segments(self, text: str) -> tuple[int, list[tuple[float, int, int]]]:
-        words, held = words_of(text), self.held
-        if len(held) > self.limit:
-            held.clear()
-        for w in set(words) - held.keys():
-            held[w] = self.weight(w)
-        scores = np.fromiter(map(held.__getitem__, words), np.float64, len(words))
-        at = np.flatnonzero(scores > 0)
-        return len(words), maximal_segments(at.tolist(), scores[at].tolist(), self.drift) if at.size else []
+    def hot(self, column: pa.Array) -> list[tuple[int, list[int], list[float]]]:
+        """Per text: (words, positions of words with positive weight, their weights)."""
+        words = Words(column)
+        numbers = self.tokens.numbers(words)
+        if self.weights.size > len(self.tokens.names):
+            self.weights = np.zeros(0)  # the numbers began anew
+        if self.weights.size < len(self.tokens.names):
+            self.weights = np.concatenate([self.weights, [self.weight(w) for w in self.tokens.names[self.weights.size :]]])
+        score = self.weights[numbers]
+        at = np.flatnonzero(score > 0)
+        first = np.cumsum(words.counts) - words.counts
+        cuts = np.searchsorted(at, np.append(first, len(words))).tolist()
+        local = (at - np.repeat(first, np.diff(cuts))).tolist()
+        score = score[at].tolist()
+        return [(n, local[a:e], score[a:e]) for n, a, e in zip(words.counts.tolist(), cuts[:-1], cuts[1:], strict=True)]
 
 
 class Model:
-    def __init__(self, scorer: Scorer, rate: float, k: float, weights: np.ndarray):
-        self.scorer, self.rate, self.k, self.weights = scorer, rate, k, weights
+    def __init__(self, scorer: Scorer, drift: float, rate: float, k: float, weights: np.ndarray):
+        self.scorer, self.drift, self.rate, self.k, self.weights = scorer, drift, rate, k, weights
 
     def features(self, n: int, segments) -> list[float]:
         """Evidence -ln E of the best passage, and the sum over those with E < 1."""
         e = sorted((max(0.0, self.rate * s - math.log(max(self.k * n, 1e-9))) for s, _, _ in segments), reverse=True)
         return [min(e[0], 40.0), math.log1p(sum(e)), math.log1p(sum(s for s, _, _ in segments)), math.log1p(n)] if e else [0.0, 0.0, 0.0, math.log1p(n)]
 
-    def score(self, text: str) -> tuple[float, list[tuple[float, int, int]]]:
-        n, segments = self.scorer.segments(text)
-        z = float(np.dot(self.weights[:-1], self.features(n, segments)) + self.weights[-1])
-        passages = [s for s in segments if self.k * n * math.exp(-self.rate * s[0]) < 0.05]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), passages
+    def scores(self, column: pa.Array) -> list[tuple[float, list[tuple[float, int, int]]]]:
+        """Per text: (probability, significant passages)."""
+        out = []
+        for n, at, weight in self.scorer.hot(column):
+            segments = maximal_segments(at, weight, self.drift)
+            z = float(np.dot(self.weights[:-1], self.features(n, segments)) + self.weights[-1])
+            passages = [s for s in segments if self.k * n * math.exp(-self.rate * s[0]) < 0.05]
+            out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), passages))
+        return out
 
 
-def _rate(scores: np.ndarray, drift: float) -> float:
+def _rate(hot: np.ndarray, cold: float, drift: float) -> float:
     """lambda of the extreme-value law: the positive root of E[e^(lambda s)] = 1 over tokens of clean text."""
-    hot = scores[scores > 0]
     if not hot.size:
         return 1.0
-    cold = scores.size - hot.size
-    low, high = 1e-6, 5.0
-    f = lambda x: (np.exp(np.minimum(x * hot, 50)).sum() + cold * math.exp(-x * drift)) / scores.size - 1
-    if f(low) > 0:
-        return low
+    f = lambda x: np.exp(np.minimum(x * hot, 50)).sum() + cold * math.exp(-x * drift) - hot.size - cold
+    low, high = 1e-3, 5.0
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if f(mid) < 0 else (low, mid)
@@ -151,25 +186,34 @@ def _rate(scores: np.ndarray, drift: float) -> float:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Two folds: each is scored with weights of the other, which fits the law and the calibration; then all weights."""
-    fold = np.arange(len(texts)) % 2
-    y = np.array(labels, float)
+    y, fold, tokens, own = np.array(labels, float), np.arange(len(texts)) % 2, Tokens(1 << 62), []
+    column = pa.array(texts, pa.string())
+    for k, n in slices(column):
+        words = Words(column.slice(k, n))
+        numbers, cuts = tokens.numbers(words), np.cumsum(words.counts)
+        own += [np.unique(x) for x in np.split(numbers, cuts[:-1])]
+    size = len(tokens.names)
+    held = [[np.bincount(np.concatenate([own[i] for i in np.flatnonzero((fold == f) & (y == c))] or [np.zeros(0, np.int64)]), minlength=size) for c in (0, 1)] for f in (0, 1)]
+    base = (y.sum() + 1) / (len(y) + 2)
     found: list = [None] * len(texts)
-    tokens = []
     for f in (0, 1):
-        own = np.flatnonzero(fold != f)
-        scorer = Scorer(*fit_weights([texts[i] for i in own], [labels[i] for i in own]))
-        for i in np.flatnonzero(fold == f):
-            found[i] = scorer.segments(texts[i])
-            if not labels[i]:
-                tokens.append(np.array([scorer.held[w] for w in words_of(texts[i])]))
-    scorer = Scorer(*fit_weights(texts, labels))
-    clean = np.concatenate(tokens) if tokens else np.zeros(0)
-    rate = max(0.05, _rate(clean, scorer.drift)) if clean.size else 1.0
-    best = [s for (n, seg), t in zip(found, labels, strict=True) if not t for s, _, _ in seg]
-    k = max(sum(math.exp(min(rate * s, 20.0)) > math.e for s in best) * math.e / max(clean.size, 1), 1e-6)
-    model = Model(scorer, rate, k, np.zeros(5))
+        scorer = Scorer(*fit_weights(tokens.names, held[1 - f][1], held[1 - f][0], base))
+        rows = np.flatnonzero(fold == f)
+        part = column.take(pa.array(rows))
+        got = [x for k, n in slices(part) for x in scorer.hot(part.slice(k, n))]
+        for i, x in zip(rows, got, strict=True):
+            found[i] = x
+    scorer = Scorer(*fit_weights(tokens.names, held[0][1] + held[1][1], held[0][0] + held[1][0], base))
+    clean = [x for x, t in zip(found, labels, strict=True) if not t]
+    hot = np.array([w for _, _, ws in clean for w in ws])
+    cold = max(1, sum(n for n, _, _ in clean) - hot.size)
+    drift = min(0.5, max(0.02, 3 * float(hot.sum()) / cold))  # the mean score of clean text has to be below 0
+    rate = _rate(hot, cold, drift)
+    # K: clean segments of lambda S > 1 number K n / e
+    k = max(sum(rate * s > 1 for n, at, ws in clean for s, _, _ in maximal_segments(at, ws, drift)) * math.e / (cold + hot.size), 1e-6)
+    model = Model(scorer, drift, rate, k, np.zeros(5))
     if len(set(labels)) > 1:
-        model.weights = logistic(np.array([model.features(n, s) for n, s in found]), y)
+        model.weights = logistic(np.array([model.features(n, maximal_segments(at, ws, drift)) for n, at, ws in found]), y)
     else:
         model.weights = np.array([0, 0, 0, 0, math.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
     return model
@@ -189,12 +233,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
 
     def apply(batches):
         m = model.value
+        kind = pa.list_(pa.struct([("score", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
         for b in batches:
-            got = [m.score(t or "") for t in b.column(2).to_pylist()]
-            kind = pa.list_(pa.struct([("score", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
-            spans = pa.array([[{"score": s, "first": a, "last": z} for s, a, z in p] for _, p in got], kind)
-            score = [s for s, _ in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), spans], [id_col, "held_out", "score", "predicted", "passages"])
+            for k, n in slices(b.column(2)):
+                cut = b.slice(k, n)
+                got = m.scores(cut.column(2))
+                score = [s for s, _ in got]
+                spans = pa.array([[{"score": s, "first": a, "last": z} for s, a, z in p] for _, p in got], kind)
+                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), spans], [id_col, "held_out", "score", "predicted", "passages"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(apply, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, passages array<struct<score:double,first:int,last:int>>")

@@ -69,12 +69,12 @@ class Words:
         return [raw[a:e].decode("utf-8", "replace") for a, e in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
 
 
-def slices(batch_column: pa.Array, size: int = 1_000_000):
-    """(start, length) of runs of rows of about `size` bytes of text; a longer text is a run of its own."""
+def slices(batch_column: pa.Array, size: int = 1_000_000, rows: int = 4096):
+    """(start, length) of runs of rows of about `size` bytes of text and `rows` rows at most; a longer text is a run of its own."""
     lengths = pc.fill_null(pc.binary_length(batch_column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, k, n = np.cumsum(lengths), 0, len(batch_column)
     while k < n:
-        e = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, side="right")))
+        e = min(k + rows, max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, side="right"))))
         yield k, e - k
         k = e
 
