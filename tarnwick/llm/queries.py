@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import decontaminate, deleted_interpolation, html_text, neighbours, packing, repetition, simple8b, toxicity, url_rules
+from tarnwick.llm import decontaminate, deleted_interpolation, html_text, neighbours, packing, repetition, simple8b, toxicity, url_rules, weighted_minhash
 from tarnwick.llm.common import table
 
 
+def op1_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*")
 
@@ -47,5 +51,5 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.tokenize_to_segments(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repetition, op3_url_rules, op4_host_suffix_array, op5_decontaminate, op6_toxicity, op7_neighbours, op8_packing, op9_deleted_interpolation, op10_simple8b)}
+QUERIES = {f.__name__: f for f in (op1_weighted_minhash, op2_repetition, op3_url_rules, op4_host_suffix_array, op5_decontaminate, op6_toxicity, op7_neighbours, op8_packing, op9_deleted_interpolation, op10_simple8b)}
 ORACLES: dict[str, str] = {}
