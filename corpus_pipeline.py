@@ -1,17 +1,53 @@
-"""Training-corpus pipeline: each stage is one operator over all that the stage before kept."""
+"""Training-corpus pipeline: each stage is one operator over all that the stage before kept.
+
+Stages take (spark, docs, sf_dir). All but the last return the columns of `docs`; the last returns the pieces of packed
+sequences. Empty tables pass through; what a stage does with nulls and repeated rows is said in its operator.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnwick.llm import decontaminate, neighbours, packing, repetition, weighted_minhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or repeat too much go."""
+    judged = repetition.repetition_rules(docs)
+    return judged.filter(F.col(judged.columns[-1])["kept"]).select(*docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted to be of quality 1 go."""
+    scored = neighbours.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.filter(F.col(scored.columns[-1])["predicted"] == 1).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id stays."""
+    return weighted_minhash.keep_first(docs)
+
 
-from tarnwick.llm import packing
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages to the contract's share go."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("_contaminated"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_contaminated"]), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every kept document in sequences of 4096 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", pack_sequences),
+]
 #: SQL can't express the tokenizer, the sampling or the vectors; tests/llm compare with brute force.
 ORACLE_SQL = None
 
