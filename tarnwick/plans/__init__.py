@@ -1 +1,6 @@
+"""Registered queries of the engine."""
 
+from tarnwick.plans import text_queries
+from tarnwick.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "text_queries"]
