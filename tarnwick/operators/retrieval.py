@@ -63,7 +63,7 @@ def merge(exact: DataFrame, vector: DataFrame, bm25: DataFrame, prefix: int = 10
         F.max("bm25_score").alias("bm25_score"),
     )
     out = merged.select("qid", "c.doc_id", "c.text", "vector_score", "bm25_score", "c.stage")
-    return out.withColumn("hybrid_score", F.round(scoring.hybrid(F.col("vector_score"), F.col("bm25_score"), F.col("stage")), 6))
+    return out.withColumn("hybrid_score", F.round(scoring.hybrid(F.col("vector_score"), F.col("bm25_score"), F.col("stage")), 8))
 
 
 def merge_by_id(candidates: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 30, id_col: str = "vec_i
         part = usable if runs == 1 else usable.filter(F.pmod(F.xxhash64(query_id), F.lit(runs)) == j)
         block = part.toArrow()
         q = _matrix(block.column(vector_col).combine_chunks(), dims)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         shared = spark.sparkContext.broadcast((block.column(query_id).combine_chunks(), q))
 
         def apply(batches):
@@ -50,7 +50,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 30, id_col: str = "vec_i
                 if not b.num_rows:
                     continue
                 v = _matrix(b.column(1), dims)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 for s in range(0, len(ids), 512):
                     near = np.round(np.maximum(matrix[s : s + 512] @ v.T, 0), 6)
                     m = min(k, near.shape[1])
