@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import decontaminate, deleted_interpolation, html_text, neighbours, packing, repetition, simple8b, toxicity, url_rules, weighted_minhash
+from tarnwick.llm import decontaminate, deleted_interpolation, html_text, neighbours, oracles, packing, repetition, simple8b, toxicity, url_rules, weighted_minhash
 from tarnwick.llm.common import table
 
 
@@ -13,7 +13,7 @@ def op1_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*")
+    return repetition.repetition_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*").drop("longest_repeat", "covered_fraction")
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,4 +52,4 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_weighted_minhash, op2_repetition, op3_url_rules, op4_host_suffix_array, op5_decontaminate, op6_toxicity, op7_neighbours, op8_packing, op9_deleted_interpolation, op10_simple8b)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
