@@ -32,7 +32,7 @@ def shape(word: str) -> str:
 class Space:
     """Terms, weights and axes of the latent space, and the labelled vectors in it."""
 
-    def __init__(self, dims: int = 4096, rank: int = 32, neighbours: int = 25, limit: int = 2_000_000):
+    def __init__(self, dims: int = 4096, rank: int = 32, neighbours: int = 25, limit: int = 600_000):
         self.dims, self.rank, self.neighbours, self.limit = dims, rank, neighbours, limit
         self.table, self.terms = Table(), np.zeros((0, 2), np.int32)
         self.shapes = dims // 4  # shapes have a range of hashes of their own, so that words don't drown them
@@ -44,7 +44,7 @@ class Space:
         return zlib.crc32(shape(word).encode()) % self.shapes, self.shapes + zlib.crc32(word.lower().encode()) % (self.dims - self.shapes - 64)
 
     def counts(self, column: pa.Array) -> np.ndarray:
-        """Dense term counts, one row a text."""
+        """Dense term counts (float32), one row a text."""
         words, rows = Words(column), len(column)
         if self.table.n > self.limit:
             self.table, self.terms = Table(), np.zeros((0, 2), np.int32)
@@ -68,9 +68,11 @@ class Space:
         return out
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
-        # shares rather than counts, so that short and long texts of a kind are near each other
-        share = counts / np.maximum(counts[:, : self.shapes].sum(axis=1, keepdims=True), 1)
-        return np.log1p(100 * share) * self.idf
+        # shares rather than counts, so that short and long texts of a kind are near each other; in place, as it is large
+        counts *= 100 / np.maximum(counts[:, : self.shapes].sum(axis=1, keepdims=True), 1)
+        np.log1p(counts, out=counts)
+        counts *= self.idf
+        return counts
 
     def vectors(self, texts: pa.Array) -> np.ndarray:
         v = self.weigh(self.counts(texts)) @ self.axes
@@ -82,7 +84,7 @@ class Space:
         column = pa.array(texts, pa.string())
         x = np.concatenate([self.counts(column.slice(k, n)) for k, n in slices(column, rows=512)])
         self.idf = np.log((1 + len(texts)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-        x = self.weigh(x).astype(np.float32)
+        x = self.weigh(x)
         rank = min(self.rank, *x.shape) if x.size else 0
         basis = np.random.default_rng(0).standard_normal((self.dims, min(rank + 16, max(1, min(x.shape))))).astype(np.float32)
         for _ in range(4):  # subspace iteration

@@ -32,30 +32,17 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Codes(dict):
-    """Numbers keys in order of appearance; `new` holds those not yet given ids."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
-
-    def __missing__(self, key):
-        code = self[key] = len(self)
-        self.new.append(key)
-        return code
-
-
 class _Lists:
     """Number -> id list, kept flat."""
 
     def __init__(self):
         self.n, self.used = 0, 0
-        self.start, self.size, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.start, self.size, self.flat = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
 
     def extend(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         n, used = self.n + sizes.size, self.used + ids.size
         if n > self.start.size:
-            self.start, self.size = (np.concatenate([x, np.zeros(max(n, x.size), np.int64)]) for x in (self.start, self.size))
+            self.start, self.size = (np.concatenate([x, np.zeros(max(n, x.size), np.int32)]) for x in (self.start, self.size))
         if used > self.flat.size:
             self.flat = np.concatenate([self.flat, np.zeros(max(used, self.flat.size), np.uint32)])
         self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
@@ -65,21 +52,21 @@ class _Lists:
 
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.size[codes]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         at = np.repeat(self.start[codes] - (ends - sizes), sizes)
         return self.flat[at + np.arange(at.size)], sizes
 
 
 class Encoder:
-    """encode_flat(texts) gives the library's own ids of many texts; `limit` bounds the words held."""
+    """encode_flat(texts) gives the library's own ids of many texts; `limit` and `part_limit` bound the words and letter runs held."""
 
-    def __init__(self, path: str | None = None, limit: int = 2_000_000):
+    def __init__(self, path: str | None = None, limit: int = 2_000_000, part_limit: int = 1_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         path = path or default_path()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.part_limit = Tokenizer.from_file(path), limit, part_limit
         self.by_word = self._drops_white_space(spec)
         if self.by_word:
             self.bare = Tokenizer(self.tokenizer.model)
@@ -94,9 +81,7 @@ class Encoder:
         self.table, self.word_ids = Table(), _Lists()
 
     def _clear_parts(self) -> None:
-        self.parts, self.part_ids = _Codes(), _Lists()
-        self.parts["\n"] = 0
-        self.part_ids.extend(np.empty(0, np.uint32), np.zeros(1, np.int64))
+        self.parts, self.part_ids = Table(), _Lists()
 
     @staticmethod
     def _drops_white_space(spec: dict) -> bool:
@@ -120,16 +105,21 @@ class Encoder:
     def _pieces(self, lowered: str, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of n words, which "\n" joins."""
         found = _PIECE.findall(lowered)
-        codes = np.fromiter(map(self.parts.__getitem__, found), np.int64, len(found))
-        if new := self.parts.new:
-            self.parts.new = []
-            ids = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.fromiter(map("\n".__eq__, found), bool, len(found))
+        pieces = Words(pa.array(["\n".join(found)], pa.string()))  # pieces hold no white space, so they are its words
+        codes = self.parts.lookup(pieces.hashes)
+        missing = np.flatnonzero(codes < 0)
+        if missing.size:
+            new, first = np.unique(pieces.hashes[missing], return_index=True)
+            self.parts.insert(new)
+            ids = np.array(self.bare.encode_batch_fast([" ".join(pieces.strings(missing[first]))], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if cuts.size != len(new):
+            if cuts.size != new.size:
                 raise ValueError("the model's end-of-word tokens don't mark every piece")
             self.part_ids.extend(ids, np.diff(np.concatenate([[0], cuts])))
+            codes[missing] = self.parts.lookup(pieces.hashes[missing])
         ids, sizes = self.part_ids.gather(codes)
-        return ids, np.bincount(np.cumsum(codes == 0), weights=sizes, minlength=n).astype(np.int64)
+        return ids, np.bincount(np.cumsum(ends)[~ends], weights=sizes, minlength=n).astype(np.int64)
 
     def _learn(self, words: list[str]) -> None:
         joined = "\n".join(words)
@@ -150,7 +140,7 @@ class Encoder:
         if self.by_word:
             if self.word_ids.n > self.limit:
                 self._clear_words()
-            if len(self.parts) > self.limit:
+            if self.parts.n > self.part_limit:
                 self._clear_parts()
             words = Words(texts)
             codes = self.table.lookup(words.hashes)

@@ -56,7 +56,7 @@ def maximal_segments(at, weight, drift: float) -> list[tuple[float, int, int]]:
 class Tokens:
     """Numbers for tokens, found by the hashes of the words that hold them."""
 
-    def __init__(self, limit: int = 2_000_000):
+    def __init__(self, limit: int = 400_000):
         self.limit = limit
         self.clear()
 
@@ -219,7 +219,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 4, held_out: int = 2, train_rows: int = 12_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 4, held_out: int = 2, train_rows: int = 8_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, held_out, score, predicted, passages (array of struct<score, first, last> in word positions).
 
     Learns from at most about `train_rows` labelled rows outside the held-out remainder (bounded sample; the model then

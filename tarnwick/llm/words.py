@@ -8,6 +8,8 @@ collision with odds of 1 in 400 000.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -69,7 +71,7 @@ class Words:
         return [raw[a:e].decode("utf-8", "replace") for a, e in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
 
 
-def slices(batch_column: pa.Array, size: int = 1_000_000, rows: int = 4096):
+def slices(batch_column: pa.Array, size: int = 500_000, rows: int = 4096):
     """(start, length) of runs of rows of about `size` bytes of text and `rows` rows at most; a longer text is a run of its own."""
     lengths = pc.fill_null(pc.binary_length(batch_column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, k, n = np.cumsum(lengths), 0, len(batch_column)
@@ -77,6 +79,22 @@ def slices(batch_column: pa.Array, size: int = 1_000_000, rows: int = 4096):
         e = min(k + rows, max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, side="right"))))
         yield k, e - k
         k = e
+    trim()
+
+
+_LIBC = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system, so that workers that stay don't hold their peak."""
+    global _LIBC
+    pa.default_memory_pool().release_unused()
+    if _LIBC is None:
+        try:
+            _LIBC = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):  # another C library
+            _LIBC = lambda _: 0
+    _LIBC(0)
 
 
 class Table:
