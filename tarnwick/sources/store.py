@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 def text_corpus(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """(path, text): whole text files."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
+    read = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
     return read.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
