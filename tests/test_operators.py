@@ -184,3 +184,47 @@ def test_generate_keeps_failures(spark):
 
     got = {r.prompt: (r.answer, r.error) for r in models.generate(spark.createDataFrame([("a",), ("bad",)], "prompt string"), load).collect()}
     assert got == {"a": ("A", None), "bad": (None, "no")}
+
+
+def test_engine(spark):
+    import uuid
+
+    from tarnwick.api import Engine, Settings
+
+    name = "specs_" + uuid.uuid4().hex
+    engine = Engine(spark, Settings.from_env({"TOP_N": "3"}))
+    body = "The timer starts when the cell sends the message and stops on its answer. " * 6
+    doc = "\n".join(f"{k}.1  Clause number {k} about t{k}xx\n{body} t{k}xx" for k in range(1, 6))
+    docs = spark.createDataFrame([("TS 38.331", doc)], "name string, text string")
+    assert engine.ingest(docs, name, reset=True) == 5
+    assert engine.ingest(docs, name) == 0
+    got = engine.query(spark.createDataFrame([(1, "what is t3xx in 3.1"), (2, "  ")], "qid long, text string"), name).orderBy("rank").collect()
+    assert [r.qid for r in got] == [1] * len(got) and 1 <= len(got) <= 3
+    assert got[0].stage == 0 and "t3xx" in got[0].text
+    assert {r.collection: r.status for r in engine.stats([name, "none"]).collect()} == {name: "ok", "none": "not_ingested"}
+    assert engine.health().first().status == "ok"
+    spark.sql(f"drop table {name}")
+
+
+def test_sinks(spark):
+    from tarnwick.sources import sinks
+
+    entry = "struct<title:string,source:string,summary:string,vendors:array<string>,keywords:array<string>>"
+    rows = [(7, [("A & B", [("T<1>", "S", "sum", [], ["k1", "k2", "k3"])])])]
+    df = spark.createDataFrame(rows, f"number int, sections array<struct<title:string,entries:array<{entry}>>>")
+    page = df.select(sinks.issue_html(F.lit("Issue"), F.col("sections")).alias("h"), sinks.issue_html(F.lit("Issue"), F.col("sections"), True).alias("m")).first()
+    assert "A &amp; B" in page.h and "T&lt;1&gt;" in page.h and "1 entries" in page.h and '<b class="pill">k2</b><span class="pill">k3</span>' in page.h
+    assert "pill" not in page.m
+    assert df.select(sinks.issue_urls(F.col("number"), "https://x", "p").alias("u")).first().u.pdf_mobile_url == "https://x/p/issues/issue-007-mobile.pdf"
+    assert sinks.next_issue(df).first().number == 8 and sinks.next_issue(df.limit(0)).first().number == 1
+
+    def send(row):
+        if row["number"] == 1:
+            raise ValueError("refused")
+        return f"sent {row['number']}"
+
+    got = {r.number: (r.receipt, r.error) for r in sinks.deliver(spark.createDataFrame([(1,), (2,)], "number int"), send).collect()}
+    assert got == {1: (None, "refused"), 2: ("sent 2", None)}
+    files = spark.createDataFrame([("a",), ("b",)], "path string")
+    assert [r.path for r in sinks.pending(files, files.filter("path = 'a'")).collect()] == ["b"]
+    assert spark.range(1).select(sinks.ticker(F.array(F.lit("x"))).alias("t")).first().t == ["x", "x"]
