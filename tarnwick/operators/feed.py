@@ -31,7 +31,7 @@ def dedup_stats(items: DataFrame, seen: DataFrame, url: str = "url") -> DataFram
     """total_scanned, duplicates_removed, seen_total."""
     flagged = items.select(url_hash(F.col(url)).alias("url_hash")).join(seen.select("url_hash", F.lit(True).alias("_s")).distinct(), "url_hash", "left")
     counts = flagged.agg(F.count("*").alias("total_scanned"), F.count_if(F.col("_s").isNotNull()).alias("duplicates_removed"))
-    return counts.join(F.broadcast(seen.agg(F.count("*").alias("seen_total"))))  # one row each
+    return counts.withColumn("seen_total", seen.agg(F.count("*")).scalar())
 
 
 def mark_seen(seen: DataFrame, items: DataFrame) -> DataFrame:

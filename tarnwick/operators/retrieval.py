@@ -32,17 +32,21 @@ def exact_hits(corpus: DataFrame, targets: DataFrame, fields: list[str], limit:
 def exact_match(corpus: DataFrame, queries: DataFrame, rules: list[tuple[str, str]], limit: int = 5, id_col: str = "doc_id") -> DataFrame:
     """(qid, doc_id, match_type, priority): rules (field, 'eq' or 'contains') in order, `limit` ids each, a document's first rule wins.
 
-    The whole trimmed query is compared. Equality is a join; containment tests the few distinct values of a field.
+    The whole trimmed query is compared. Both are equi-joins: for containment, the distinct values' substrings of the queries' lengths.
     """
     q = queries.select("qid", F.trim("text").alias("_q")).filter("_q <> ''")
+    if q.isEmpty():
+        return q.select("qid", F.lit(None).cast(corpus.schema[id_col].dataType).alias("doc_id"), F.lit("").alias("match_type"), F.lit(0).alias("priority"))
     parts = []
     for k, (field, op) in enumerate(rules):
         rows = corpus.select(F.col(id_col).alias("doc_id"), F.col(field).cast("string").alias("_v"))
         if op == "eq":
             hit = q.join(rows, F.col("_q") == F.col("_v"))
         else:
-            values = rows.select("_v").distinct()
-            hit = q.join(values, F.col("_v").contains(F.col("_q"))).join(rows, "_v")
+            sizes = [r[0] for r in q.select(F.length("_q")).distinct().collect()]  # as many as the longest query at most
+            cut = rows.select("_v").distinct().withColumn("_n", F.explode(F.array(*map(F.lit, sizes)))).filter(F.length("_v") >= F.col("_n"))
+            cut = cut.select("_v", F.explode(F.transform(F.sequence(F.lit(1), F.length("_v") - F.col("_n") + 1), lambda i: F.substring(F.col("_v"), i, F.col("_n")))).alias("_q")).distinct()
+            hit = q.join(cut, "_q").join(rows, "_v")
         first = F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))
         parts.append(hit.select("qid", "doc_id").withColumn("_n", first).filter(F.col("_n") <= limit).select("qid", "doc_id", F.lit("exact" if op == "eq" else "exact_contains").alias("match_type"), F.lit(k).alias("priority")))
     every = reduce(DataFrame.unionByName, parts)

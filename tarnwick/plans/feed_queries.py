@@ -105,7 +105,7 @@ def section_top6(spark, d):
 @query(f"WITH {_TOP_SQL} SELECT section, count(*) AS n_entries, (SELECT count(DISTINCT section) FROM best) AS n_sections FROM best GROUP BY section")
 def section_counts(spark, d):
     per = _top(spark, d).groupBy("section").agg(F.count("*").alias("n_entries"))
-    return per.join(F.broadcast(per.agg(F.count("*").alias("n_sections"))))  # one row
+    return per.withColumn("n_sections", per.agg(F.count("*")).scalar())
 
 
 _ENTRIES_SQL = f"{_TOP_SQL}, entries AS (SELECT section, '[' || string_agg('{{\"doc_id\":' || doc_id || ',\"score\":' || score || '}}', ',' ORDER BY pos) || ']' AS entries FROM best GROUP BY section)"
