@@ -14,7 +14,7 @@ def dedup_within(stream: DataFrame, keys: list[str], at: str, memory: str = "90
 
 def run_once(spark: SparkSession, sf_dir: str, name: str, keys: list[str], at: str, memory: str) -> DataFrame:
     """The keys and their number of rows that dedup_within lets through, over all of a table read as a stream to its end."""
-    from tarnwick.streaming.paths import shared_dir
+    from tarnwick.sources.shared import shared_dir
 
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
