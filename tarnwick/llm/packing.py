@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.llm.common import materialize, prefix_starts
 from tarnwick.llm.tokenizing import encoder
-from tarnwick.llm.words import slices
+from tarnwick.llm.words import slices, trim
 
 
 def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -50,21 +50,27 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, tokenizer: str |
     placed = ids.join(F.broadcast(starts), "part").select("_id", (F.col("part_start") + F.col("part_offset")).alias("at"), "doc_tokens", "ids", "all_tokens")
 
     def cut(batches):
-        for b in batches:
-            doc, at, size, blobs, every = (b.column(k).to_pylist() for k in range(5))
-            out: list[list] = [[] for _ in range(11)]
-            for d, g, n, blob, total in zip(doc, at, size, blobs, every, strict=True):
-                x = np.frombuffer(blob, "<u2").astype("<u4") if len(blob) == 2 * n else np.frombuffer(blob, "<u4")
-                raw = memoryview(x.tobytes())
-                edges = [0, *range(window - g % window, n, window), n]
-                for a, e in zip(edges[:-1], edges[1:], strict=True):
-                    seq, offset = divmod(g + a, window)
-                    last = min(window, total - seq * window)
-                    row = (d, a, e - a, zlib.crc32(raw[4 * a : 4 * e]), n, seq, offset, last if last & (last - 1) == 0 else window, a == 0, e == n, x[a:e].tolist() if with_ids else None)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            kinds = (b.schema.field(0).type, *(pa.int64(),) * 7, pa.bool_(), pa.bool_(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [f"c{k}" for k in range(11)])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                yield pieces(whole.slice(k, 1000))
+            trim()
+
+    def pieces(b):
+        doc, at, size, every = (b.column(k).to_pylist() for k in (0, 1, 2, 4))
+        out: list[list] = [[] for _ in range(11)]
+        for d, g, n, blob, total in zip(doc, at, size, b.column(3), every, strict=True):
+            blob = blob.as_buffer()
+            x = np.frombuffer(blob, "<u2").astype("<u4") if blob.size == 2 * n else np.frombuffer(blob, "<u4")
+            raw = memoryview(x.tobytes())
+            edges = [0, *range(window - g % window, n, window), n]
+            for a, e in zip(edges[:-1], edges[1:], strict=True):
+                seq, offset = divmod(g + a, window)
+                last = min(window, total - seq * window)
+                row = (d, a, e - a, zlib.crc32(raw[4 * a : 4 * e]), n, seq, offset, last if last & (last - 1) == 0 else window, a == 0, e == n, x[a:e].tolist() if with_ids else None)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+        kinds = (b.schema.field(0).type, *(pa.int64(),) * 7, pa.bool_(), pa.bool_(), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [f"c{k}" for k in range(11)])
 
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length", "starts_document", "ends_document", "ids")
     made = placed.mapInArrow(cut, f"c0 {kind}, " + ", ".join(f"c{k} long" for k in range(1, 8)) + ", c8 boolean, c9 boolean, c10 array<int>").toDF(*names)
