@@ -2,14 +2,13 @@
 
 P(w | u v) = l3 f(w | u v) + l2 f(w | v) + l1 f(w) + l0 / (V + 1)
 
-f are maximum-likelihood estimates, and the weights l depend on a bucket of the context's frequency; they are learned
-by expectation-maximisation on the counts of a held-out seventh of the training documents, with f from the
-rest. Single words are counted exactly, all of them. In n-grams, words of less than `heavy_share` of all tokens
-stand for their class, f(w | ...) = f(class | ...) c(w) / c(class); so contexts are few, and n-grams of at least
-`gram_share` of all tokens, of which there are at most 1 / gram_share of each order, fit a broadcast at any size.
+f are maximum-likelihood estimates over the words themselves, and the weights l depend on a bucket of the context's
+frequency; they are learned by expectation-maximisation on the counts of a held-out seventh of the training documents,
+with f from the rest. Words, bigrams and trigrams are all counted, whatever their frequency.
 
 The corpus is read once. Each task cuts its stream into chunks, and a chunk is kept as its distinct words and the
-texts as numbers into them; word counts travel to the words of chunks, so tokens are never shuffled one by one.
+texts as numbers into them. A chunk sends its distinct n-grams, packed, to ranges of keys; a range adds up what it gets
+and sends the corpus counts back in the order that the chunk gave, so no process holds more than a chunk or a range.
 """
 
 from __future__ import annotations
@@ -17,58 +16,39 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import crc_bucket, materialize, release
-from tarnwick.llm.words import Table, Words, mix, slices, trim
+from tarnwick.llm.common import crc_bucket, materialize, release, shuffle_partitions
+from tarnwick.llm.words import Words, mix, slices, trim
 
-#: Hashes of words are odd; these stand for the end, for the place before a text, and for the class of rarer words.
-END, BEFORE, OTHER = np.uint64(2), np.uint64(4), np.uint64(6)
+#: Hashes of words are odd, keys of n-grams even; these stand for the end and for the place before a text.
+END, BEFORE = np.uint64(2), np.uint64(4)
 BUCKETS, LEVELS = 32, 128
 
 
-def gram_keys(classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Keys of (v), (v w), (u v), (u v w) at each token w, with u and v the two tokens before it in its document."""
-    one, two = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    v = np.empty_like(classes)
-    v[1:], v[starts] = classes[:-1], BEFORE
-    u = np.empty_like(classes)
+def gram_keys(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (v w), (u v w) at each token w, with u and v the two tokens before it in its document."""
+    one, two, even = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), ~np.uint64(1)
+    v = np.empty_like(words)
+    v[1:], v[starts] = words[:-1], BEFORE
+    u = np.empty_like(words)
     u[1:], u[starts] = v[:-1], BEFORE
-    uv = mix(u * one + v * two + np.uint64(11)) | np.uint64(1)
-    return mix(v + np.uint64(7)) | np.uint64(1), mix(v * one + classes * two + np.uint64(11)) | np.uint64(1), uv, mix(uv + classes * one + np.uint64(13)) | np.uint64(1)
+    uv = mix(u * one + v * two + np.uint64(11))
+    return mix(v * one + words * two + np.uint64(11)) & even, mix(uv + words * one + np.uint64(13)) & even
 
 
-class Grams:
-    """Counts by key."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys, self.counts, self.table = keys, np.append(counts, 0).astype(np.float64), None
-
-    def __getstate__(self):
-        return {"keys": self.keys, "counts": self.counts}
-
-    def __setstate__(self, state):
-        self.keys, self.counts, self.table = state["keys"], state["counts"], None
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        if self.table is None:
-            self.table = Table()
-            self.table.insert(self.keys)
-        return self.counts[self.table.lookup(keys)]
-
-
-def estimates(grams: Grams, count: np.ndarray, heavy: np.ndarray, starts: np.ndarray, total: float, other: float):
-    """(bucket, f3, f2, f1) of each token. count: of its word; heavy: its word's hash, 0 for the class of rarer words."""
-    classes = np.where(heavy == 0, OTHER, heavy)
-    k1, k2, kc, k3 = gram_keys(classes, starts)
-    share = np.where(heavy == 0, count / max(other, 1.0), 1.0)
-    n1, n2, nc, n3 = (grams.of(k) for k in (k1, k2, kc, k3))
-    f3 = np.where(nc > 0, n3 / np.maximum(nc, 1), 0) * share
-    f2 = np.where(n1 > 0, n2 / np.maximum(n1, 1), 0) * share
-    context = np.where(nc > 0, nc, np.maximum(n1, 1)) / max(total, 1.0)
-    bucket = np.clip(np.log2(context) + 20, 0, BUCKETS // 2 - 1).astype(np.int64) + np.where(nc > 0, BUCKETS // 2, 0)
-    return bucket, f3, f2, count / max(total, 1.0)
+def estimates(n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, counts: np.ndarray, total: float):
+    """(bucket, f3, f2, f1) of each token from the counts of its word, bigram and trigram. counts: tokens of each text."""
+    starts = np.cumsum(counts) - counts
+    before, pair = np.empty_like(n1), np.empty_like(n2)
+    before[1:], pair[1:] = n1[:-1], n2[:-1]
+    before[starts], pair[starts] = n1[starts + counts - 1], 0  # texts have one beginning and one end each
+    f3 = np.where(pair > 0, n3 / np.maximum(pair, 1), 0)
+    f2 = np.where(before > 0, n2 / np.maximum(before, 1), 0)
+    context = np.where(pair > 0, pair, np.maximum(before, 1)) / max(total, 1.0)
+    bucket = np.clip(np.log2(context) + 20, 0, BUCKETS // 2 - 1).astype(np.int64) + np.where(pair > 0, BUCKETS // 2, 0)
+    return bucket, f3, f2, n1 / max(total, 1.0)
 
 
 def _level(f: np.ndarray) -> np.ndarray:
@@ -101,29 +81,28 @@ def learn_weights(keys: np.ndarray, counts: np.ndarray, floor: float, rounds: in
     return out
 
 
-def _squeeze(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^32 as four compressed byte planes, high bytes together: frequent words have small numbers."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+def _squeeze(numbers: np.ndarray, width: int = 4) -> bytes:
+    """Numbers below 256^width as compressed byte planes, high bytes together: frequent words have small numbers."""
+    planes = np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unsqueeze(data, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def _unsqueeze(data, n: int, width: int = 4) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=width * n, codec="zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, modulus: int, held_out: int, chunk_bytes: int) -> DataFrame:
-    """The corpus as chunks, written once: rows of words (chunk, idx, wh, c_train, c_main) and of texts (chunk, doc_ids, part, counts, tokens)."""
+    """The corpus as chunks, written once: chunk, its texts (doc_ids, part, counts, tokens), its words, and its numbers of training tokens."""
     part = crc_bucket(F.col(id_col), modulus)
     # 0: held out; 2: the part of the training documents that the mixture weights are learned on; 1: the rest
     rows = docs.select(F.col(id_col).alias("_id"), F.when(part == held_out, 0).when(part == (held_out + 1) % modulus, 2).otherwise(1).cast("int").alias("_part"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    names = ["chunk", "idx", "wh", "c_train", "c_main", "doc_ids", "part", "counts", "tokens"]
+    names = ["chunk", "doc_ids", "part", "counts", "tokens", "words", "n_all", "n_main"]
 
     def apply(batches):
         task, seq = TaskContext.get().partitionId(), 0
         ids, parts, counts, hashes, held = [], [], [], [], 0
-        id_type = None
 
         def flush():
             nonlocal seq, ids, parts, counts, hashes, held
@@ -135,24 +114,14 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, modulus: int, held_out:
             place = np.empty(order.size, np.int64)
             place[order] = np.arange(order.size)
             words, local = words[order], place[local]
-            of = np.repeat(part, count)
-            train = np.bincount(local[of > 0], minlength=words.size)
-            main = np.bincount(local[of == 1], minlength=words.size)
-            n = words.size
             all_ids = pa.concat_arrays(ids)
-            texts = [pa.array([chunk]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())]
-            texts += [pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), pa.array([part.tolist()], pa.list_(pa.int32())), pa.array([count.tolist()], pa.list_(pa.int64())), pa.array([_squeeze(local)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(texts, names)
-            for k in range(0, n, 200_000):
-                m = min(200_000, n - k)
-                own = [pa.array(np.full(m, chunk)), pa.array(np.arange(k, k + m, dtype=np.int32)), pa.array(words[k : k + m].view(np.int64)), pa.array(train[k : k + m].astype(np.int32)), pa.array(main[k : k + m].astype(np.int32))]
-                own += [pa.nulls(m, pa.list_(id_type)), pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary())]
-                yield pa.RecordBatch.from_arrays(own, names)
+            row = [pa.array([chunk]), pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), pa.array([part.tolist()], pa.list_(pa.int32())), pa.array([count.tolist()], pa.list_(pa.int64()))]
+            row += [pa.array([x], pa.binary()) for x in (_squeeze(local), words.tobytes())] + [pa.array([int(count[part > 0].sum())]), pa.array([int(count[part == 1].sum())])]
+            yield pa.RecordBatch.from_arrays(row, names)
             ids, parts, counts, hashes, held = [], [], [], [], 0
             trim()
 
         for b in batches:
-            id_type = b.schema.field(0).type
             for k, n in slices(b.column(2)):
                 cut = b.slice(k, n)
                 w = Words(cut.column(2), lower=True)
@@ -166,76 +135,118 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, modulus: int, held_out:
         if ids:
             yield from flush()
 
-    schema = f"chunk long, idx int, wh long, c_train int, c_main int, doc_ids array<{kind}>, part array<int>, counts array<long>, tokens binary"
+    schema = f"chunk long, doc_ids array<{kind}>, part array<int>, counts array<long>, tokens binary, words binary, n_all long, n_main long"
     return materialize(rows.mapInArrow(apply, schema), "lm-chunks")
 
 
-def with_counts(chunks: DataFrame, n_train: int, heavy_share: float) -> DataFrame:
-    """One row a chunk: its texts, and the corpus counts (and hashes, if heavy) of its words; written once."""
-    of_word = Window.partitionBy("wh")
-    words = chunks.filter("tokens is null").select("chunk", "idx", "wh", "c_train", "c_main")
-    counted = words.select("chunk", "idx", "wh", F.sum("c_train").over(of_word).alias("c"), F.sum("c_main").over(of_word).alias("m"), (F.min("chunk").over(of_word) == F.col("chunk")).alias("first"))
-    least = max(2.0, heavy_share * n_train)
-    counted = counted.select("chunk", "idx", "c", "m", "first", F.when(F.col("c") >= least, F.col("wh")).otherwise(0).alias("heavy"))
-    texts = chunks.filter("tokens is not null").select("chunk", "doc_ids", "part", "counts", "tokens")
+def _numbered(part, counts, tokens, words):
+    """(part, counts, sorted distinct keys of a chunk, numbers in them of each token's word, bigram and trigram)."""
+    part, counts = part.flatten().to_numpy(), counts.flatten().to_numpy()
+    words = np.frombuffer(words[0].as_buffer(), "<u8")
+    local = _unsqueeze(tokens[0].as_buffer(), int(counts.sum()))
+    keys, at = np.unique(np.concatenate([words, *gram_keys(words[local], np.cumsum(counts) - counts)]), return_inverse=True)
+    at = at.astype(np.int32)
+    n = local.size
+    return part, counts, keys, (at[: words.size][local], at[words.size : words.size + n], at[words.size + n :])
+
+
+def _spread(ranges: int):
+    """Rows (range, chunk, size, keys, n, main) of each chunk: its distinct keys in each range, and their counts in it."""
+    bounds = np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
+
+    def apply(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                part, counts, keys, at = _numbered(*(b.column(j).slice(k, 1) for j in range(1, 5)))
+                of = np.repeat(part, counts)
+                n, main = (sum(np.bincount(x[rows], minlength=keys.size) for x in at) for rows in (of > 0, of == 1))
+                del at, of
+                cuts = np.append(np.searchsorted(keys, bounds), keys.size).tolist()
+                own = [(r, a, e) for r, (a, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > a]
+                columns = [pa.array([r for r, _, _ in own], pa.int32()), pa.array([b.column(0)[k].as_py()] * len(own), pa.int64()), pa.array([e - a for _, a, e in own], pa.int32())]
+                columns += [pa.array([_squeeze(np.diff(keys[a:e], prepend=np.uint64(0)), 8) for _, a, e in own], pa.binary())]
+                columns += [pa.array([_squeeze(x[a:e]) for _, a, e in own], pa.binary()) for x in (n, main)]
+                del keys, n, main
+                yield pa.RecordBatch.from_arrays(columns, ["range", "chunk", "size", "keys", "n", "main"])
+                trim()
+
+    return apply
+
+
+def _added(group: pa.Table) -> pa.Table:
+    """Corpus counts for the keys of each row of a range, in the row's order; the first row tells how many words the range holds."""
+    sizes = group.column("size").to_pylist()
+    blobs = lambda name: (x.as_buffer() for x in group.column(name))
+    keys = np.concatenate([np.cumsum(_unsqueeze(x, n, 8), dtype=np.uint64) for x, n in zip(blobs("keys"), sizes, strict=True)])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    first, of = np.flatnonzero(new), np.cumsum(new) - 1
+    word = (keys[first] & np.uint64(1) == 1) | (keys[first] == END)
+    del keys, new
+    cuts, columns, known = np.cumsum([0, *sizes]).tolist(), [group.column("chunk"), group.column("range"), group.column("size")], []
+    for name in ("n", "main"):
+        total = np.add.reduceat(np.concatenate([_unsqueeze(x, n) for x, n in zip(blobs(name), sizes, strict=True)])[order].astype(np.int64), first)
+        back = np.empty(order.size, np.int64)
+        back[order] = total[of]
+        columns.append(pa.array([_squeeze(back[a:e], 8) for a, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+        known.append(pa.array([int((word & (total > 0)).sum())] + [0] * (len(sizes) - 1), pa.int64()))
+    trim()
+    return pa.Table.from_arrays(columns + known, ["chunk", "range", "size", "n", "main", "v_all", "v_main"])
+
+
+def with_counts(chunks: DataFrame, n_tokens: int, n_main: int, range_rows: int) -> DataFrame:
+    """One row a chunk, written once: its texts, the corpus counts of each token's word, bigram and trigram, and counts of
+    quantised estimates on the part that the mixture weights are learned on."""
+    # a token has a word, a bigram and a trigram; ranges grow in number, not in size
+    ranges = max(4 * shuffle_partitions(chunks.sparkSession), -(-3 * n_tokens // range_rows))
+    sent = chunks.select("chunk", "part", "counts", "tokens", "words").mapInArrow(_spread(ranges), "range int, chunk long, size int, keys binary, n binary, main binary")
+    added = sent.groupBy("range").applyInArrow(_added, "chunk long, range int, size int, n binary, main binary, v_all long, v_main long")
+    texts = chunks.select("chunk", "doc_ids", "part", "counts", "tokens", "words")
     kind = texts.schema["doc_ids"].dataType.simpleString()
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.take(pa.array(np.argsort(right.column("idx").to_numpy())))
-        c, m, heavy = (right.column(k).to_numpy() for k in ("c", "m", "heavy"))
-        first = right.column("first").to_numpy()
-        sums = [((c > 0) & first).sum(), ((m > 0) & first).sum(), c[first & (heavy == 0)].sum(), m[first & (heavy == 0)].sum()]
-        blobs = [pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (c, m, heavy)]
-        columns = [left.column(k) for k in ("doc_ids", "part", "counts", "tokens")] + blobs + [pa.array([int(x)]) for x in sums]
-        del c, m, heavy, right
+        right = right.take(pa.array(np.argsort(right.column("range").to_numpy())))
+        part, counts, keys, at = _numbered(*(left.column(j).combine_chunks() for j in ("part", "counts", "tokens", "words")))
+        del keys
+        of_chunk = lambda name: np.concatenate([_unsqueeze(x.as_buffer(), n, 8) for x, n in zip(right.column(name), right.column("size").to_pylist(), strict=True)]).astype(np.int64)
+        n = of_chunk("n")
+        grams = [_squeeze(n[x], 8) for x in at]
+        del n
+        own, key, times = np.repeat(part == 2, counts), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if own.any():
+            m = of_chunk("main")
+            bucket, f3, f2, f1 = estimates(*(m[x[own]] for x in at), counts[part == 2], n_main)
+            key, times = np.unique(((bucket * LEVELS + _level(f3)) * LEVELS + _level(f2)) * LEVELS + _level(f1), return_counts=True)
+            del m, bucket, f3, f2, f1
+        del at
+        columns = [left.column(j) for j in ("doc_ids", "part", "counts")] + [pa.array([x], pa.binary()) for x in grams] + [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (key, times)]
+        columns += [pa.array([int(right.column(j).to_numpy().sum())]) for j in ("v_all", "v_main")]
         trim()
-        return pa.Table.from_arrays(columns, ["doc_ids", "part", "counts", "tokens", "c", "m", "heavy", "v_all", "v_main", "other_all", "other_main"])
+        return pa.Table.from_arrays(columns, ["doc_ids", "part", "counts", "n1", "n2", "n3", "held_key", "held_n", "v_all", "v_main"])
 
-    schema = f"doc_ids {kind}, part array<int>, counts array<long>, tokens binary, c binary, m binary, heavy binary, v_all long, v_main long, other_all long, other_main long"
-    joined = texts.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(apply, schema)
+    schema = f"doc_ids {kind}, part array<int>, counts array<long>, n1 binary, n2 binary, n3 binary, held_key array<long>, held_n array<long>, v_all long, v_main long"
+    joined = texts.groupBy("chunk").cogroup(added.groupBy("chunk")).applyInArrow(apply, schema)
     return materialize(joined, "lm-counted")
 
 
-def _chunk_rows(batches):
-    """(ids, part, counts, word number of each token, c, m, heavy) of each chunk."""
+def _runs(batches, tokens: int = 250_000):
+    """(ids, part, counts, n1, n2, n3) of runs of about `tokens` tokens, cut between texts, so that work arrays stay small."""
     for b in batches:
-        for k in range(b.num_rows):
-            ids, part, counts = (b.column(j).slice(k, 1).flatten() for j in range(3))
-            c, m, heavy = (np.frombuffer(b.column(j)[k].as_buffer(), t) for j, t in ((4, "<i8"), (5, "<i8"), (6, "<u8")))
-            counts = counts.to_numpy()
-            yield ids, part.to_numpy(), counts, _unsqueeze(b.column(3)[k].as_buffer(), int(counts.sum())), c, m, heavy
+        for j in range(b.num_rows):
+            ids, part, counts = (b.column(i).slice(j, 1).flatten() for i in range(3))
+            part, counts = part.to_numpy(), counts.to_numpy()
+            ends, k = np.cumsum(counts), 0
+            grams = [_unsqueeze(b.column(i)[j].as_buffer(), int(ends[-1]), 8) for i in (3, 4, 5)]
+            while k < counts.size:
+                before = ends[k - 1] if k else 0
+                e = max(k + 1, int(np.searchsorted(ends, before + tokens, side="right")))
+                yield ids.slice(k, e - k), part[k:e], counts[k:e], *(x[before : ends[e - 1]].astype(np.int64) for x in grams)
+                k = e
         trim()
 
 
-def _runs(batches, tokens: int = 250_000):
-    """Chunks cut between texts into runs of about `tokens` tokens, so that work arrays stay small."""
-    for ids, part, counts, local, c, m, heavy in _chunk_rows(batches):
-        ends, k = np.cumsum(counts), 0
-        while k < counts.size:
-            before = ends[k - 1] if k else 0
-            e = max(k + 1, int(np.searchsorted(ends, before + tokens, side="right")))
-            yield ids.slice(k, e - k), part[k:e], counts[k:e], local[before : ends[e - 1]], c, m, heavy
-            k = e
-
-
-def _grams(batches):
-    for _, part, counts, local, _, _, heavy in _runs(batches, 600_000):
-        own = np.flatnonzero(part > 0)
-        of = np.repeat(part, counts)
-        train = of > 0
-        of, classes = of[train], heavy[local[train]]
-        classes = np.where(classes == 0, OTHER, classes)
-        keys = gram_keys(classes, np.cumsum(counts[own]) - counts[own])
-        del train, classes
-        for k in (0, 1, 3):
-            own, inverse = np.unique(keys[k], return_inverse=True)
-            n, main = np.bincount(inverse, minlength=own.size), np.bincount(inverse[of == 1], minlength=own.size)
-            del inverse
-            for k in range(0, own.size, 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 200_000].view(np.int64)), pa.array(n[k : k + 200_000]), pa.array(main[k : k + 200_000])], ["k", "n", "main"])
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, heavy_share: float = 1e-4, gram_share: float = 4e-6, chunk_bytes: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, chunk_bytes: int = 8_000_000, range_rows: int = 1_000_000) -> DataFrame:
     """Per row: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(id) mod `modulus` is `held_out` are scored but never learned from. Null and empty texts are the end
@@ -244,49 +255,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     """
     spark = docs.sparkSession
     chunks = chunked(docs, id_col, text_col, modulus, held_out, chunk_bytes)
-    sums = chunks.filter("tokens is null").agg(F.coalesce(F.sum("c_train"), F.lit(0)).alias("n"), F.coalesce(F.sum("c_main"), F.lit(0)).alias("m")).first()
+    own = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
+    sums = chunks.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(n) for k, n in ((own, "t"), ("n_all", "n"), ("n_main", "m")))).first()
     n_all, n_main = int(sums["n"]), int(sums["m"])
-    ready = with_counts(chunks, n_all, heavy_share)
+    ready = with_counts(chunks, int(sums["t"]), n_main, range_rows)
     release(chunks)
-    s = ready.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("v_all", "v_main", "other_all", "other_main"))).first()
-    v_all, v_main, other_all, other_main = (int(x) for x in s)
-    columns = ["doc_ids", "part", "counts", "tokens", "c", "m", "heavy"]
-    rows = ready.select(*columns)
-    # at most 3 / gram_share rows
-    found = rows.mapInArrow(_grams, "k long, n long, main long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("main").alias("main")).filter(F.col("n") >= max(1.0, gram_share * n_all)).toArrow()
-    keys = found.column("k").to_numpy().view(np.uint64)
-    counts_all, counts_main = found.column("n").to_numpy(), found.column("main").to_numpy()
-    main = spark.sparkContext.broadcast(Grams(keys, counts_main))
-
-    def held_counts(batches):
-        grams = main.value
-        for _, part, counts, local, _, m, heavy in _runs(batches):
-            of = np.repeat(part == 2, counts)
-            own = np.flatnonzero(part == 2)
-            if not own.size:
-                continue
-            local, starts = local[of], np.cumsum(counts[own]) - counts[own]
-            bucket, f3, f2, f1 = estimates(grams, m[local], heavy[local], starts, n_main, other_main)
-            k, n = np.unique(((bucket * LEVELS + _level(f3)) * LEVELS + _level(f2)) * LEVELS + _level(f1), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
-
+    s = ready.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("v_all", "v_main"))).first()
+    v_all, v_main = int(s["v_all"]), int(s["v_main"])
     # at most BUCKETS x LEVELS^3 rows by the layout of the key; quantised estimates make them a few hundred thousand
-    held = rows.mapInArrow(held_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow().sort_by("k")
+    pairs = ready.select(F.explode(F.arrays_zip("held_key", "held_n")).alias("h"))
+    held = pairs.groupBy(F.col("h.held_key").alias("k")).agg(F.sum("h.held_n").alias("n")).toArrow().sort_by("k")
     weights = learn_weights(held.column("k").to_numpy(), held.column("n").to_numpy(), 1 / (v_main + 1))
-    model = spark.sparkContext.broadcast((Grams(keys, counts_all), weights))
 
     def apply(batches):
-        grams, mixture = model.value
-        for ids, part, counts, local, c, _, heavy in _runs(batches):
-            doc, starts = np.repeat(np.arange(counts.size), counts), np.cumsum(counts) - counts
-            count = c[local]
-            bucket, f3, f2, f1 = estimates(grams, count, heavy[local], starts, n_all, other_all)
-            w = mixture[bucket]
+        for ids, part, counts, n1, n2, n3 in _runs(batches):
+            doc = np.repeat(np.arange(counts.size), counts)
+            bucket, f3, f2, f1 = estimates(n1, n2, n3, counts, n_all)
+            w = weights[bucket]
             p = w[:, 0] * f3 + w[:, 1] * f2 + w[:, 2] * f1 + w[:, 3] / (v_all + 1)
-            base = np.log10((count + 1) / (n_all + v_all + 1))
-            sums = [np.bincount(doc, weights=x, minlength=counts.size) for x in (count > 0, base, np.log10(p))]
+            base = np.log10((n1 + 1) / (n_all + v_all + 1))
+            sums = [np.bincount(doc, weights=x, minlength=counts.size) for x in (n1 > 0, base, np.log10(p))]
             yield pa.RecordBatch.from_arrays([ids, pa.array(part == 0), pa.array(counts), pa.array(sums[0].astype(np.int64)), pa.array(np.full(counts.size, n_all)), pa.array(sums[1]), pa.array(sums[2])], ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = rows.mapInArrow(apply, f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    made = ready.select("doc_ids", "part", "counts", "n1", "n2", "n3").mapInArrow(apply, f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return made.withColumnRenamed("_id", id_col)
