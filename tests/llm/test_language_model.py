@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tarnwick.llm import deleted_interpolation as di
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -72,3 +74,14 @@ def test_every_ngram_counts(spark, texts):
         got = {x.doc_id: x.score for x in di.score(df, **settings).collect()}
         assert got.keys() == wanted.keys()
         assert all(math.isclose(got[d], wanted[d], rel_tol=1e-9) for d in got)
+
+
+def test_rare_words_have_context(spark):
+    """A word of far less than 1e-4 of all tokens keeps its own n-grams: their order counts."""
+    r = random.Random(7)
+    ids = [d for d in range(900) if zlib.crc32(str(d).encode()) % 7 != 2]
+    held = [d for d in range(900) if zlib.crc32(str(d).encode()) % 7 == 2][:2]
+    rows = [(d, " ".join(f"c{r.randrange(40)}" for _ in range(100))) for d in ids]
+    rows += [(d, "zeta kappa sigma lambda") for d in ids[:4]] + [(held[0], "zeta kappa sigma lambda"), (held[1], "lambda sigma kappa zeta")]
+    got = {x.doc_id: x.score for x in di.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).filter(F.col("doc_id").isin(held)).collect()}
+    assert got[held[0]] > got[held[1]] + 3
