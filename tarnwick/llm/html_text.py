@@ -1,9 +1,10 @@
 """HTML extraction: host suffix array.
 
-Pages of a host are put in groups (a large host in several, by a hash of the page id). In a group the
-pages' word streams are laid end to end and their suffixes sorted by prefix doubling, as deep as the shortest
-run that counts; runs of `min_words` or more that occur in two pages or more are covered, and the
-uncovered runs of each block stay. A structural check follows, because repetition alone is wrong in both
+The pages of a host form a group. In it the pages' word streams are laid end to end and their suffixes sorted by prefix
+doubling, as deep as the shortest run that counts; runs of `min_words` or more that occur in two pages or more are
+covered, and the uncovered runs of each block stay. A host that is too large for one task is cut into chunks of pages;
+a chunk sends the hashes of its windows of `min_words` words to ranges of hashes, and gets back on how many pages of the
+whole host each window stands, so that the same runs are covered. A structural check follows, because repetition alone is wrong in both
 directions: menus and adverts whose words change from page to page are no content, and an article that quotes a
 passage keeps it. So marked-up boilerplate goes whether it repeats or not, and blocks of a marked-up article stay.
 """
@@ -15,10 +16,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.words import Words
+from tarnwick.llm.common import materialize, shuffle_partitions
+from tarnwick.llm.deleted_interpolation import _squeeze, _unsqueeze
+from tarnwick.llm.words import Words, mix, slices, trim
 
 #: Elements whose content is never text of the page.
 _RAW = "script style noscript template textarea title svg iframe object canvas math select button"
@@ -145,50 +149,158 @@ def shared_runs(codes: np.ndarray, page: np.ndarray, min_words: int) -> np.ndarr
     return np.cumsum(delta[:n]) > 0
 
 
-def main_texts(pages: list[str | None], min_words: int = 10) -> list[str]:
-    """Main text of each page of a group."""
-    found = [blocks(p) for p in pages]
-    has_article = [any(a for _, a in b) for b in found]
-    flat = [(k, text, inside) for k, b in enumerate(found) for text, inside in b if inside or not has_article[k]]
-    words = Words(pa.array([t for _, t, _ in flat], pa.string()))
-    page = np.repeat(np.array([k for k, _, _ in flat], np.int64), words.counts)
-    covered = shared_runs(np.unique(words.hashes, return_inverse=True)[1], page, min_words) if len(words) else np.zeros(0, bool)
-    out: list[list[str]] = [[] for _ in pages]
+def _assembled(n: int, flat: list[tuple[int, str, bool]], counts: np.ndarray, covered: np.ndarray) -> list[str]:
+    """Texts of n pages from their blocks (page, text, inside an article), with the mask of covered words."""
+    has_article = {k for k, _, inside in flat if inside}
+    out: list[list[str]] = [[] for _ in range(n)]
     at = 0
-    for (k, text, inside), n in zip(flat, words.counts.tolist(), strict=True):
-        if not inside and covered[at : at + n].any():
-            text = " ".join(w for w, c in zip(text.split(" "), covered[at : at + n].tolist(), strict=False) if not c)
+    for (k, text, inside), m in zip(flat, counts.tolist(), strict=True):
+        own = covered[at : at + m]
+        at += m
+        if not inside and k in has_article:
+            continue
+        if not inside and own.any():
+            text = " ".join(w for w, c in zip(text.split(" "), own.tolist(), strict=False) if not c)
         if text:
             out[k].append(text)
-        at += n
     return [" ".join(x) for x in out]
 
 
+def main_texts(pages: list[str | None], min_words: int = 10) -> list[str]:
+    """Main text of each page of a host."""
+    flat = [(k, text, inside) for k, p in enumerate(pages) for text, inside in blocks(p)]
+    words = Words(pa.array([t for _, t, _ in flat], pa.string()))
+    page = np.repeat(np.array([k for k, _, _ in flat], np.int64), words.counts)
+    covered = shared_runs(np.unique(words.hashes, return_inverse=True)[1], page, min_words) if len(words) else np.zeros(0, bool)
+    return _assembled(len(pages), flat, words.counts, covered)
+
+
 #: Beyond so many large hosts, their page counts are joined instead of broadcast.
 MAX_BROADCAST = 1_000_000
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = 256, min_words: int = 10) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = 256, min_words: int = 10, chunk_bytes: int = 4_000_000, range_rows: int = 1_000_000) -> DataFrame:
     """Per row: id_col, url_col, text, n_chars.
 
-    Null and empty pages have an empty text; pages without a host form groups of their own; the text of a page without an
-    article is its blocks outside boilerplate, less the runs it shares with other pages of its group. Repeated rows of a
-    marked-up article keep it; without one, exact copies of a page cover each other and only one-off runs stay. Groups
-    hold about `group_pages` pages whatever the host's size. Other columns are not read.
+    Null and empty pages have an empty text; pages without a host form a host of their own; the text of a page without an
+    article is its blocks outside boilerplate, less the runs it shares with other pages of its host. Repeated rows of a
+    marked-up article keep it.
+    Without an article, exact copies of a page cover each other and only one-off runs stay.
+    Hosts of more than `group_pages` pages are worked on in chunks of `chunk_bytes`, with the same result. Other columns
+    are not read.
     """
     df = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     host = F.lower(F.regexp_extract(F.coalesce(F.col("_url"), F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
     df = df.withColumn("_host", host)
     large = df.groupBy("_host").agg(F.count("*").alias("_n")).filter(F.col("_n") > group_pages)
     small = large.count() <= MAX_BROADCAST
-    salted = df.join(F.broadcast(large) if small else large, "_host", "left")
-    salts = F.greatest(F.ceil(F.coalesce("_n", F.lit(1)) / group_pages), F.lit(1)).cast("long")
-    salted = salted.withColumn("_salt", F.pmod(F.xxhash64("_id", "_url"), salts))
+    sized = df.join(F.broadcast(large) if small else large, "_host", "left")
     kind = df.schema["_id"].dataType.simpleString()
+    schema = f"_id {kind}, _url string, text string, n_chars long"
 
     def apply(group: pa.Table) -> pa.Table:
         texts = main_texts(group.column("_html").to_pylist(), min_words)
         return pa.Table.from_arrays([group.column("_id"), group.column("_url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["_id", "_url", "text", "n_chars"])
 
-    made = salted.groupBy("_host", "_salt").applyInArrow(apply, f"_id {kind}, _url string, text string, n_chars long")
+    made = sized.filter("_n is null").drop("_n").groupBy("_host").applyInArrow(apply, schema)
+    if not large.isEmpty():
+        rows = sized.filter("_n is not null").select("_id", "_url", F.xxhash64("_host").alias("_host"), "_n", "_html")
+        made = made.unionByName(_large_hosts(rows, kind, schema, min_words, chunk_bytes, range_rows))
     return made.toDF(id_col, url_col, "text", "n_chars")
+
+
+def _windows(n_blocks, texts, hosts, min_words: int):
+    """(words of each block, page of each word, first words of the windows, sorted distinct keys of host and window, number of each window's key)."""
+    words = Words(texts)
+    page = np.repeat(np.repeat(np.arange(n_blocks.size), n_blocks), words.counts)
+    last = page.size - min_words + 1
+    at = np.flatnonzero(page[: max(last, 0)] == page[min_words - 1 :]) if last > 0 else np.zeros(0, np.int64)
+    h = hosts.astype(np.int64).view(np.uint64)[page[at]]
+    for k in range(min_words):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words.hashes[at + k])
+    keys, of = np.unique(h, return_inverse=True)
+    return words.counts, page, at, keys, of
+
+
+def _mask(n: int, at: np.ndarray, min_words: int) -> np.ndarray:
+    """Words within windows that begin at the positions `at`."""
+    delta = np.zeros(n + 1, np.int64)
+    np.add.at(delta, at, 1)
+    np.add.at(delta, at + min_words, -1)
+    return np.cumsum(delta[:n]) > 0
+
+
+def _large_hosts(rows: DataFrame, kind: str, schema: str, min_words: int, chunk_bytes: int, range_rows: int) -> DataFrame:
+    names = ["chunk", "ids", "urls", "hosts", "sizes", "n_blocks", "texts", "inside", "n_words"]
+
+    def parse(batches):
+        task, seq, ids, urls, hosts, sizes, found, held = TaskContext.get().partitionId(), 0, [], [], [], [], [], 0
+
+        def flush():
+            flat = [x for b in found for x in b]
+            lists = [pa.concat_arrays(x) for x in (ids, urls, hosts, sizes)]
+            lists += [pa.array([len(b) for b in found], pa.int32()), pa.array([t for t, _ in flat], pa.string()), pa.array([a for _, a in flat], pa.bool_())]
+            own = [pa.array([(task << 24) + seq])] + [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            return pa.RecordBatch.from_arrays([*own, pa.array([sum(t.count(" ") + 1 for t, _ in flat)])], names)
+
+        for b in batches:
+            for k, n in slices(b.column(4)):
+                cut = b.slice(k, n)
+                for x, j in ((ids, 0), (urls, 1), (hosts, 2), (sizes, 3)):
+                    x.append(cut.column(j))
+                got = [blocks(p) for p in cut.column(4).to_pylist()]
+                found += got
+                held += sum(len(t) for x in got for t, _ in x) + 64 * n
+                if held >= chunk_bytes:
+                    yield flush()
+                    seq, ids, urls, hosts, sizes, found, held = seq + 1, [], [], [], [], [], 0
+        if found:
+            yield flush()
+        trim()
+
+    parsed = rows.mapInArrow(parse, f"chunk long, ids array<{kind}>, urls array<string>, hosts array<long>, sizes array<long>, n_blocks array<int>, texts array<string>, inside array<boolean>, n_words long")
+    chunks = materialize(parsed, "html-chunks")
+    n_words = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
+    ranges = max(4 * shuffle_partitions(chunks.sparkSession), -(-int(n_words) // range_rows))
+    bounds = np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
+
+    def spread(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                n_blocks, texts, hosts = (b.column(j).slice(k, 1).flatten() for j in (1, 2, 3))
+                _, page, at, keys, of = _windows(n_blocks.to_numpy(), texts, hosts.to_numpy(), min_words)
+                order = np.argsort(of, kind="stable")  # positions ascend, and so do pages
+                o, p = of[order], page[at[order]]
+                new = np.concatenate([[True], (o[1:] != o[:-1]) | (p[1:] != p[:-1])]) if o.size else np.zeros(0, bool)
+                pages = np.bincount(o[new], minlength=keys.size)
+                cuts = np.append(np.searchsorted(keys, bounds), keys.size).tolist()
+                own = [(r, a, e) for r, (a, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > a]
+                columns = [pa.array([r for r, _, _ in own], pa.int32()), pa.array([b.column(0)[k].as_py()] * len(own), pa.int64()), pa.array([e - a for _, a, e in own], pa.int32())]
+                columns += [pa.array([_squeeze(np.diff(keys[a:e], prepend=np.uint64(0)), 8) for _, a, e in own], pa.binary()), pa.array([_squeeze(pages[a:e]) for _, a, e in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "chunk", "size", "keys", "pages"])
+                trim()
+
+    def add(group: pa.Table) -> pa.Table:
+        sizes = group.column("size").to_pylist()
+        keys = np.concatenate([np.cumsum(_unsqueeze(x.as_buffer(), n, 8), dtype=np.uint64) for x, n in zip(group.column("keys"), sizes, strict=True)])
+        pages = np.concatenate([_unsqueeze(x.as_buffer(), n) for x, n in zip(group.column("pages"), sizes, strict=True)])
+        of = np.unique(keys, return_inverse=True)[1]
+        total, cuts = np.bincount(of, weights=pages)[of], np.cumsum([0, *sizes]).tolist()
+        back = pa.array([_squeeze(total[a:e]) for a, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+        return pa.Table.from_arrays([group.column("chunk"), group.column("range"), group.column("size"), back], ["chunk", "range", "size", "pages"])
+
+    sent = chunks.select("chunk", "n_blocks", "texts", "hosts").mapInArrow(spread, "range int, chunk long, size int, keys binary, pages binary")
+    told = sent.groupBy("range").applyInArrow(add, "chunk long, range int, size int, pages binary")
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pa.array(np.argsort(right.column("range").to_numpy())))
+        ids, urls, hosts, sizes, n_blocks, texts, inside = (left.column(j).combine_chunks().flatten() for j in names[1:8])
+        counts, page, at, _, of = _windows(n_blocks.to_numpy(), texts, hosts.to_numpy(), min_words)
+        pages = np.concatenate([np.zeros(0, np.uint32)] + [_unsqueeze(x.as_buffer(), n) for x, n in zip(right.column("pages"), right.column("size").to_pylist(), strict=True)])[of]
+        covered = _mask(page.size, at[pages > 1], min_words)
+        flat = list(zip(np.repeat(np.arange(n_blocks.to_numpy().size), n_blocks.to_numpy()).tolist(), texts.to_pylist(), inside.to_pylist(), strict=True))
+        made = _assembled(len(ids), flat, counts, covered)
+        trim()
+        return pa.Table.from_arrays([ids, urls, pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())], ["_id", "_url", "text", "n_chars"])
+
+    return chunks.drop("n_words").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)
