@@ -6,7 +6,8 @@ covered, and the uncovered runs of each block stay. A host that is too large for
 a chunk sends the hashes of its windows of `min_words` words to ranges of hashes, and gets back on how many pages of the
 whole host each window stands, so that the same runs are covered. A structural check follows, because repetition alone is wrong in both
 directions: menus and adverts whose words change from page to page are no content, and an article that quotes a
-passage keeps it. So marked-up boilerplate goes whether it repeats or not, and blocks of a marked-up article stay.
+passage keeps it. So marked-up boilerplate goes whether it repeats or not, and a marked-up article loses only what stands
+on half of its host's pages; what is outside it has to outweigh it to stay.
 """
 
 from __future__ import annotations
@@ -115,8 +116,8 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
     return out
 
 
-def shared_runs(codes: np.ndarray, page: np.ndarray, min_words: int) -> np.ndarray:
-    """Mask of the words covered by runs of `min_words` or more words that occur in two pages or more.
+def shared_runs(codes: np.ndarray, page: np.ndarray, min_words: int, least: int = 2) -> np.ndarray:
+    """Mask of the words covered by runs of `min_words` or more words that occur in `least` (two or more) pages or more.
 
     codes: word numbers of the pages laid end to end; page: page number of each word, ascending. The suffixes are sorted
     by their first `min_words` words: longer shared runs are unions of such runs.
@@ -142,24 +143,31 @@ def shared_runs(codes: np.ndarray, page: np.ndarray, min_words: int) -> np.ndarr
         order = np.lexsort((page[active], rank[active]))
         r, p = rank[active][order], page[active][order]
         first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        spread = np.repeat(np.maximum.reduceat(p, first) > np.minimum.reduceat(p, first), np.diff(np.append(first, r.size)))
+        turn = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])]).astype(np.int64)
+        spread = np.repeat(np.add.reduceat(turn, first) >= least, np.diff(np.append(first, r.size)))
         at = active[order][spread]
         np.add.at(delta, at, 1)
         np.add.at(delta, at + min_words, -1)
     return np.cumsum(delta[:n]) > 0
 
 
-def _assembled(n: int, flat: list[tuple[int, str, bool]], counts: np.ndarray, covered: np.ndarray) -> list[str]:
-    """Texts of n pages from their blocks (page, text, inside an article), with the mask of covered words."""
-    has_article = {k for k, _, inside in flat if inside}
+#: A run on so many pages of a host at least, and on half of them, is part of the host's template even inside articles.
+TEMPLATE_PAGES = 10
+
+
+def _assembled(n: int, flat: list[tuple[int, str, bool]], counts: np.ndarray, covered: np.ndarray, template: np.ndarray) -> list[str]:
+    """Texts of n pages from their blocks (page, text, inside an article), with the masks of covered and of template words."""
+    of, inside = np.array([k for k, _, _ in flat], np.int64), np.array([a for _, _, a in flat], bool)
+    ends = np.cumsum(counts)
+    of_word, in_article = np.repeat(of, counts), np.repeat(inside, counts)
+    article = np.bincount(of_word[in_article], minlength=n)
+    outweighed = 2 * np.bincount(of_word[in_article & template], minlength=n) < article
+    beside = np.bincount(of_word[~in_article & ~covered], minlength=n) > article
+    gone = np.where(in_article, template & outweighed[of_word], covered | ~beside[of_word] & (article > 0)[of_word])
     out: list[list[str]] = [[] for _ in range(n)]
-    at = 0
-    for (k, text, inside), m in zip(flat, counts.tolist(), strict=True):
-        own = covered[at : at + m]
-        at += m
-        if not inside and k in has_article:
-            continue
-        if not inside and own.any():
+    for (k, text, _), a, e in zip(flat, (ends - counts).tolist(), ends.tolist(), strict=True):
+        own = gone[a:e]
+        if own.any():
             text = " ".join(w for w, c in zip(text.split(" "), own.tolist(), strict=False) if not c)
         if text:
             out[k].append(text)
@@ -170,9 +178,9 @@ def main_texts(pages: list[str | None], min_words: int = 10) -> list[str]:
     """Main text of each page of a host."""
     flat = [(k, text, inside) for k, p in enumerate(pages) for text, inside in blocks(p)]
     words = Words(pa.array([t for _, t, _ in flat], pa.string()))
-    page = np.repeat(np.array([k for k, _, _ in flat], np.int64), words.counts)
-    covered = shared_runs(np.unique(words.hashes, return_inverse=True)[1], page, min_words) if len(words) else np.zeros(0, bool)
-    return _assembled(len(pages), flat, words.counts, covered)
+    page, codes = np.repeat(np.array([k for k, _, _ in flat], np.int64), words.counts), np.unique(words.hashes, return_inverse=True)[1]
+    covered, template = (shared_runs(codes, page, min_words, least) for least in (2, max(TEMPLATE_PAGES, (len(pages) + 1) // 2)))
+    return _assembled(len(pages), flat, words.counts, covered, template)
 
 
 #: Beyond so many large hosts, their page counts are joined instead of broadcast.
@@ -183,8 +191,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Per row: id_col, url_col, text, n_chars.
 
     Null and empty pages have an empty text; pages without a host form a host of their own; the text of a page without an
-    article is its blocks outside boilerplate, less the runs it shares with other pages of its host. Repeated rows of a
-    marked-up article keep it.
+    article is its blocks outside boilerplate, less the runs it shares with other pages of its host. Of a page with
+    marked-up articles, these stay, less the runs that stand on at least half of the host's pages (and `TEMPLATE_PAGES`),
+    if such runs are the lesser part of them; and so do the uncovered runs outside, if they have more words than the articles.
     Without an article, exact copies of a page cover each other and only one-off runs stay.
     Hosts of more than `group_pages` pages are worked on in chunks of `chunk_bytes`, with the same result. Other columns
     are not read.
@@ -298,8 +307,10 @@ def _large_hosts(rows: DataFrame, kind: str, schema: str, min_words: int, chunk_
         counts, page, at, _, of = _windows(n_blocks.to_numpy(), texts, hosts.to_numpy(), min_words)
         pages = np.concatenate([np.zeros(0, np.uint32)] + [_unsqueeze(x.as_buffer(), n) for x, n in zip(right.column("pages"), right.column("size").to_pylist(), strict=True)])[of]
         covered = _mask(page.size, at[pages > 1], min_words)
+        least = np.maximum(TEMPLATE_PAGES, (sizes.to_numpy() + 1) // 2)
+        template = _mask(page.size, at[pages >= least[page[at]]], min_words)
         flat = list(zip(np.repeat(np.arange(n_blocks.to_numpy().size), n_blocks.to_numpy()).tolist(), texts.to_pylist(), inside.to_pylist(), strict=True))
-        made = _assembled(len(ids), flat, counts, covered)
+        made = _assembled(len(ids), flat, counts, covered, template)
         trim()
         return pa.Table.from_arrays([ids, urls, pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())], ["_id", "_url", "text", "n_chars"])
 

@@ -35,3 +35,26 @@ def test_repetition_over_a_large_host(spark):
     wanted = uncovered(pages) | {100: pages[0][0], 101: pages[0][0]}
     for settings in ({"group_pages": 1000}, {"group_pages": 4}, {"group_pages": 4, "chunk_bytes": 1000, "range_rows": 200}):
         assert {r.page_id: r.text for r in html_text.extract(df, **settings).collect()} == wanted, settings
+
+
+def test_articles_do_not_decide_alone(spark):
+    r = random.Random(11)
+    words = lambda k: " ".join(f"w{r.randrange(100_000)}" for _ in range(k))
+    notice, quote = words(15), words(15)
+    rows, wanted = [], {}
+    for k in range(30):
+        url, body = f"http://news.example.net/{k}", words(60)
+        if k < 10:  # the story is beside teaser cards: it outweighs them
+            cards = [words(8), words(9)]
+            page, text = f"<div>{body}</div><article>{cards[0]}</article><article>{cards[1]}</article>", [body, *cards]
+        elif k < 25:  # unmarked boilerplate inside the article, on half of the host's pages
+            page, text = f"<article><p>{body}</p><p>{notice}</p></article><div>{words(5)}</div>", [body]
+        else:  # a quotation that a few articles share stays, and so does an article without anything else
+            page, text = f"<article><p>{body}</p><p>{quote}</p></article>", [body, quote]
+        rows.append((k, url, page))
+        wanted[k] = " ".join(text)
+    rows += [(100 + k, f"http://copies.example.net/{k}", f"<article>{notice}</article>") for k in range(12)]
+    wanted |= {100 + k: notice for k in range(12)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for settings in ({}, {"group_pages": 4, "chunk_bytes": 1000, "range_rows": 200}):
+        assert {r.page_id: r.text for r in html_text.extract(df, **settings).collect()} == wanted, settings
