@@ -1,11 +1,12 @@
 """Toxicity: maximum-scoring segments of token log-odds.
 
-A word's weight is the log-odds that a document holding it is toxic, against the prior, under a chain
-of Dirichlet priors: the whole word is shrunk towards its 8-letter prefix, that one towards its 7-letter
-prefix, and so on up to all documents. Words of positive weight score it, every other word costs `drift`; the
-linear-time scan for all maximal scoring segments finds the passages. Segment scores of unrelated text follow
-an extreme-value law, P(S >= s) = 1 - exp(-K n e^(-lambda s)); its constants come from clean documents
-that the weights were not fitted on, and the passages' summed evidence is calibrated to a probability there.
+Every letter run of the text is a word here, and so is a piece between white space without letters. A word's weight is
+the log-odds that a document holding it is toxic, against the prior, under a chain of Dirichlet priors: the whole word
+is shrunk towards its 8-letter prefix, that one towards its 7-letter prefix, and so on up to all documents. Words of
+positive weight score it, every other word costs `drift`; the linear-time scan for all maximal scoring segments finds
+the passages. Segment scores of unrelated text follow an extreme-value law, P(S >= s) = 1 - exp(-K n e^(-lambda s));
+its constants come from clean documents that the weights were not fitted on, and the passages' summed evidence is
+calibrated to a probability there.
 """
 
 from __future__ import annotations
@@ -26,10 +27,9 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7, 8)
 
 
-def token(word: str) -> str:
-    """The first letter run of a word, lower-cased ("" if it has none)."""
-    m = _LETTERS.search(word)
-    return m[0].lower() if m else ""
+def tokens_of(word: str) -> list[str]:
+    """The letter runs of a word, lower-cased ([""] if it has none)."""
+    return [m.lower() for m in _LETTERS.findall(word)] or [""]
 
 
 def maximal_segments(at, weight, drift: float) -> list[tuple[float, int, int]]:
@@ -54,34 +54,45 @@ def maximal_segments(at, weight, drift: float) -> list[tuple[float, int, int]]:
 
 
 class Tokens:
-    """Numbers for tokens, found by the hashes of the words that hold them."""
+    """Numbers for tokens, found by the hashes of the pieces between white space that hold one or more of them."""
 
     def __init__(self, limit: int = 400_000):
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.table, self.of_word, self.index, self.names = Table(), np.zeros(0, np.int32), {}, []
+        self.table, self.flat, self.ends, self.index, self.names = Table(), np.zeros(0, np.int32), np.zeros(1, np.int64), {}, []
 
-    def numbers(self, words: Words) -> np.ndarray:
-        if self.table.n > self.limit:
+    def numbers(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each token, tokens of each piece)."""
+        if max(self.table.n, len(self.names)) > self.limit:
             self.clear()
         codes = self.table.lookup(words.hashes)
         missing = np.flatnonzero(codes < 0)
         if missing.size:
             new, first = np.unique(words.hashes[missing], return_index=True)
             self.table.insert(new)
-            got = np.empty(new.size, np.int32)
-            for k, w in enumerate(words.strings(missing[first])):
-                t = token(w)
-                n = self.index.get(t)
-                if n is None:
-                    n = self.index[t] = len(self.names)
-                    self.names.append(t)
-                got[k] = n
-            self.of_word = np.concatenate([self.of_word, got])
+            got, sizes = [], []
+            for w in words.strings(missing[first]):
+                own = tokens_of(w)
+                for t in own:
+                    n = self.index.get(t)
+                    if n is None:
+                        n = self.index[t] = len(self.names)
+                        self.names.append(t)
+                    got.append(n)
+                sizes.append(len(own))
+            self.flat = np.concatenate([self.flat, np.array(got, np.int32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
             codes[missing] = self.table.lookup(words.hashes[missing])
-        return self.of_word[codes]
+        begin, size = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return self.flat[at], size
+
+
+def _text_ends(words: Words, sizes: np.ndarray) -> np.ndarray:
+    """Where each text's tokens end."""
+    return np.append(0, np.cumsum(sizes))[np.cumsum(words.counts)]
 
 
 def fit_weights(names: list[str], toxic: np.ndarray, clean: np.ndarray, base: float, prior: float = 4.0, least: float = 1.0, min_docs: int = 3) -> tuple[dict[str, float], dict[str, float]]:
@@ -135,21 +146,23 @@ class Scorer:
             got = next((self.prefixes[w[:k]] for k in reversed(PREFIXES) if len(w) > k and w[:k] in self.prefixes), 0.0)
         return got
 
-    def hot(self, column: pa.Array) -> list[tuple[int, list[int], list[float]]]:
-        """Per text: (words, positions of words with positive weight, their weights)."""
+    def hot(self, column: pa.Array) -> list[tuple[int, list[int], list[float], list[int]]]:
+        """Per text: (tokens, positions of tokens with positive weight, their weights, the pieces between white space that hold them)."""
         words = Words(column)
-        numbers = self.tokens.numbers(words)
+        numbers, sizes = self.tokens.numbers(words)
         if self.weights.size > len(self.tokens.names):
             self.weights = np.zeros(0)  # the numbers began anew
         if self.weights.size < len(self.tokens.names):
             self.weights = np.concatenate([self.weights, [self.weight(w) for w in self.tokens.names[self.weights.size :]]])
         score = self.weights[numbers]
         at = np.flatnonzero(score > 0)
-        first = np.cumsum(words.counts) - words.counts
-        cuts = np.searchsorted(at, np.append(first, len(words))).tolist()
-        local = (at - np.repeat(first, np.diff(cuts))).tolist()
+        ends = _text_ends(words, sizes)
+        first = np.append(0, ends)[:-1]
+        cuts = np.searchsorted(at, np.append(first, numbers.size))
+        piece = np.searchsorted(np.cumsum(sizes), at, side="right") - np.repeat(np.cumsum(words.counts) - words.counts, np.diff(cuts))
+        local, piece, cuts = (at - np.repeat(first, np.diff(cuts))).tolist(), piece.tolist(), cuts.tolist()
         score = score[at].tolist()
-        return [(n, local[a:e], score[a:e]) for n, a, e in zip(words.counts.tolist(), cuts[:-1], cuts[1:], strict=True)]
+        return [(n, local[a:e], score[a:e], piece[a:e]) for n, a, e in zip((ends - first).tolist(), cuts[:-1], cuts[1:], strict=True)]
 
 
 class Model:
@@ -164,10 +177,11 @@ class Model:
     def scores(self, column: pa.Array) -> list[tuple[float, list[tuple[float, int, int]]]]:
         """Per text: (probability, significant passages)."""
         out = []
-        for n, at, weight in self.scorer.hot(column):
+        for n, at, weight, piece in self.scorer.hot(column):
             segments = maximal_segments(at, weight, self.drift)
             z = float(np.dot(self.weights[:-1], self.features(n, segments)) + self.weights[-1])
-            passages = [s for s in segments if self.k * n * math.exp(-self.rate * s[0]) < 0.05]
+            of = dict(zip(at, piece, strict=True))
+            passages = [(s, of[a], of[z]) for s, a, z in segments if self.k * n * math.exp(-self.rate * s) < 0.05]
             out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), passages))
         return out
 
@@ -190,8 +204,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     column = pa.array(texts, pa.string())
     for k, n in slices(column):
         words = Words(column.slice(k, n))
-        numbers, cuts = tokens.numbers(words), np.cumsum(words.counts)
-        own += [np.unique(x) for x in np.split(numbers, cuts[:-1])]
+        numbers, sizes = tokens.numbers(words)
+        own += [np.unique(x) for x in np.split(numbers, _text_ends(words, sizes)[:-1])]
     size = len(tokens.names)
     held = [[np.bincount(np.concatenate([own[i] for i in np.flatnonzero((fold == f) & (y == c))] or [np.zeros(0, np.int64)]), minlength=size) for c in (0, 1)] for f in (0, 1)]
     base = (y.sum() + 1) / (len(y) + 2)
@@ -205,15 +219,15 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             found[i] = x
     scorer = Scorer(*fit_weights(tokens.names, held[0][1] + held[1][1], held[0][0] + held[1][0], base))
     clean = [x for x, t in zip(found, labels, strict=True) if not t]
-    hot = np.array([w for _, _, ws in clean for w in ws])
-    cold = max(1, sum(n for n, _, _ in clean) - hot.size)
+    hot = np.array([w for _, _, ws, _ in clean for w in ws])
+    cold = max(1, sum(n for n, *_ in clean) - hot.size)
     drift = min(0.5, max(0.02, 3 * float(hot.sum()) / cold))  # the mean score of clean text has to be below 0
     rate = _rate(hot, cold, drift)
     # K: clean segments of lambda S > 1 number K n / e
-    k = max(sum(rate * s > 1 for n, at, ws in clean for s, _, _ in maximal_segments(at, ws, drift)) * math.e / (cold + hot.size), 1e-6)
+    k = max(sum(rate * s > 1 for n, at, ws, _ in clean for s, _, _ in maximal_segments(at, ws, drift)) * math.e / (cold + hot.size), 1e-6)
     model = Model(scorer, drift, rate, k, np.zeros(5))
     if len(set(labels)) > 1:
-        model.weights = logistic(np.array([model.features(n, maximal_segments(at, ws, drift)) for n, at, ws in found]), y)
+        model.weights = logistic(np.array([model.features(n, maximal_segments(at, ws, drift)) for n, at, ws, _ in found]), y)
     else:
         model.weights = np.array([0, 0, 0, 0, math.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
     return model
