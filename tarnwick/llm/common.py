@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -42,11 +43,47 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return made
 
 
-def release(df: DataFrame) -> None:
-    """Delete what materialize() wrote for `df`; what was made from it has to be written itself by then."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._tarnwick_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete what was written for `tables`; what was made from them has to be written itself by then.
+
+    The JVM is asked to collect its garbage, so that Spark's cleaner deletes the shuffle files of plans that are done.
+    """
+    spark = tables[0].sparkSession
+    for df in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._tarnwick_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if hasattr(df, "_tarnwick_table"):
+            spark.sql(f"DROP TABLE IF EXISTS {df._tarnwick_table}")
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def at(docs: DataFrame, name: str) -> int:
+    """Place of a column: the one of exactly that name, else the one whose name differs only in case."""
+    names = docs.columns
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """`docs` with its columns named c0, c1, ..., so that no names clash."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
+def pick(docs: DataFrame, **columns: str) -> DataFrame:
+    """The columns of `docs` that are named, under new names; other columns may have any names."""
+    return plain(docs).select(*(F.col(f"c{at(docs, name)}").alias(new) for new, name in columns.items()))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores before it while a column of `docs` has that name in whatever case."""
+    taken = {n.lower() for n in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

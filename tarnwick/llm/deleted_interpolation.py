@@ -4,11 +4,11 @@ P(w | u v) = l3 f(w | u v) + l2 f(w | v) + l1 f(w) + l0 / (V + 1)
 
 f are maximum-likelihood estimates over the words themselves, and the weights l depend on a bucket of the context's
 frequency; they are learned by expectation-maximisation on the counts of a held-out seventh of the training documents,
-with f from the rest. Words, bigrams and trigrams are all counted, whatever their frequency.
+with f from the rest. Words, bigrams and trigrams are all counted exactly, whatever their frequency.
 
-The corpus is read once. Each task cuts its stream into chunks, and a chunk is kept as its distinct words and the
-texts as numbers into them. A chunk sends its distinct n-grams, packed, to ranges of keys; a range adds up what it gets
-and sends the corpus counts back in the order that the chunk gave, so no process holds more than a chunk or a range.
+The corpus is read once and kept as packed chunks. Words and bigrams are counted in a first round; what occurs once in the
+whole corpus says so itself, and so does a trigram with a bigram in it that occurs once, so the second round sends only
+trigrams whose two bigrams both occur again. No count is lost by that, and no process holds more than a chunk or a range.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import crc_bucket, materialize, release, shuffle_partitions
+from tarnwick.llm.common import at, crc_bucket, materialize, pick, release, tidy
+from tarnwick.llm.packed import answers, by_range, gathered, key_bounds, sent_schema, squeeze, to_ranges, totals, unsqueeze, write_chunks
 from tarnwick.llm.words import Words, mix, slices, trim
 
 #: Hashes of words are odd, keys of n-grams even; these stand for the end and for the place before a text.
 END, BEFORE = np.uint64(2), np.uint64(4)
-BUCKETS, LEVELS = 32, 128
+#: Contexts have BUCKETS of frequency; estimates are counted in LEVELS, STEPS of them for a power of ten.
+BUCKETS, LEVELS, STEPS = 32, 48, 4
 
 
 def gram_keys(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +55,7 @@ def estimates(n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, counts: np.ndarray
 
 def _level(f: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
-        return np.where(f > 0, np.clip(-8 * np.log10(f), 0, LEVELS - 2), LEVELS - 1).astype(np.int64)
+        return np.where(f > 0, np.clip(-STEPS * np.log10(f), 0, LEVELS - 2), LEVELS - 1).astype(np.int64)
 
 
 def learn_weights(keys: np.ndarray, counts: np.ndarray, floor: float, rounds: int = 40) -> np.ndarray:
@@ -61,7 +63,7 @@ def learn_weights(keys: np.ndarray, counts: np.ndarray, floor: float, rounds: in
 
     A bucket without held-out tokens takes the weights of all tokens together.
     """
-    value = np.append(10.0 ** (-(np.arange(LEVELS - 1) + 0.5) / 8), 0.0)
+    value = np.append(10.0 ** (-(np.arange(LEVELS - 1) + 0.5) / STEPS), 0.0)
     f = np.column_stack([value[keys // LEVELS**2 % LEVELS], value[keys // LEVELS % LEVELS], value[keys % LEVELS], np.full(keys.size, floor)])
     bucket, out = keys // LEVELS**3, np.full((BUCKETS, 4), 0.25)
 
@@ -81,22 +83,12 @@ def learn_weights(keys: np.ndarray, counts: np.ndarray, floor: float, rounds: in
     return out
 
 
-def _squeeze(numbers: np.ndarray, width: int = 4) -> bytes:
-    """Numbers below 256^width as compressed byte planes, high bytes together: frequent words have small numbers."""
-    planes = np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unsqueeze(data, n: int, width: int = 4) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=width * n, codec="zstd"), np.uint8).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
-
-
 def chunked(docs: DataFrame, id_col: str, text_col: str, modulus: int, held_out: int, chunk_bytes: int) -> DataFrame:
     """The corpus as chunks, written once: chunk, its texts (doc_ids, part, counts, tokens), its words, and its numbers of training tokens."""
-    part = crc_bucket(F.col(id_col), modulus)
+    rows = pick(docs, _id=id_col, _text=text_col)
+    part = crc_bucket(F.col("_id"), modulus)
     # 0: held out; 2: the part of the training documents that the mixture weights are learned on; 1: the rest
-    rows = docs.select(F.col(id_col).alias("_id"), F.when(part == held_out, 0).when(part == (held_out + 1) % modulus, 2).otherwise(1).cast("int").alias("_part"), F.col(text_col).alias("_text"))
+    rows = rows.select("_id", F.when(part == held_out, 0).when(part == (held_out + 1) % modulus, 2).otherwise(1).cast("int").alias("_part"), "_text")
     kind = rows.schema["_id"].dataType.simpleString()
     names = ["chunk", "doc_ids", "part", "counts", "tokens", "words", "n_all", "n_main"]
 
@@ -116,7 +108,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, modulus: int, held_out:
             words, local = words[order], place[local]
             all_ids = pa.concat_arrays(ids)
             row = [pa.array([chunk]), pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), pa.array([part.tolist()], pa.list_(pa.int32())), pa.array([count.tolist()], pa.list_(pa.int64()))]
-            row += [pa.array([x], pa.binary()) for x in (_squeeze(local), words.tobytes())] + [pa.array([int(count[part > 0].sum())]), pa.array([int(count[part == 1].sum())])]
+            row += [pa.array([x], pa.binary()) for x in (squeeze(local), words.tobytes())] + [pa.array([int(count[part > 0].sum())]), pa.array([int(count[part == 1].sum())])]
             yield pa.RecordBatch.from_arrays(row, names)
             ids, parts, counts, hashes, held = [], [], [], [], 0
             trim()
@@ -136,98 +128,144 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, modulus: int, held_out:
             yield from flush()
 
     schema = f"chunk long, doc_ids array<{kind}>, part array<int>, counts array<long>, tokens binary, words binary, n_all long, n_main long"
-    return materialize(rows.mapInArrow(apply, schema), "lm-chunks")
+    return write_chunks(rows.mapInArrow(apply, schema), "lm_chunks")
+
+
+class Chunk:
+    """Words and bigrams of a chunk: `keys`, sorted, and the numbers in them of each token's word and bigram."""
+
+    def __init__(self, row: pa.Table):
+        self.part, self.counts = (row.column(k).combine_chunks().flatten().to_numpy() for k in ("part", "counts"))
+        words = np.frombuffer(row.column("words")[0].as_buffer(), "<u8")
+        local = unsqueeze(row.column("tokens")[0].as_buffer(), int(self.counts.sum()))
+        self.starts, self.of = np.cumsum(self.counts) - self.counts, np.repeat(self.part, self.counts)
+        pairs, self.triples = gram_keys(words[local], self.starts)
+        self.keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
+        at = at.astype(np.int32)
+        self.word, self.pair = at[: words.size][local], at[words.size :]
+
+    def tallies(self, size: int, *places) -> list[np.ndarray]:
+        """Per key: how often the chunk has it, has it held out, and has it in the part that weights are learned on."""
+        each = lambda part: sum(np.bincount(p if part is None else p[o == part], minlength=size) for p, o in places)
+        return [each(None), each(0), each(2)]
+
+    def first(self, told: pa.Table) -> None:
+        """Corpus counts of words and bigrams from the first round's answers: `n` and `main` by key, 0 in `n` where the key is
+        alone in the corpus; `wanted` marks the tokens whose trigrams are not told by that."""
+        self.n = answers(told, "n")
+        alone = self.n[self.pair] == 0
+        before = np.ones(alone.size, bool)
+        before[1:] = alone[:-1]
+        before[self.starts] = True  # a text's first token has no trigram of its own
+        self.wanted = np.flatnonzero(~alone & ~before)
+        self.triples = self.triples[self.wanted]
+
+    def second(self) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted distinct keys of the wanted trigrams, number of each token's)."""
+        return np.unique(self.triples, return_inverse=True)
+
+    def counts_of(self, told: pa.Table, keys_n: np.ndarray, at: np.ndarray, of: np.ndarray, has_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(training count, count in the main part) of the token places `at`; the latter only where the chunk asked for it."""
+        main = np.zeros(keys_n.size, np.int64)
+        main[has_weights] = answers(told, "main", "asked")
+        n = keys_n[at]
+        return np.where(n == 0, of > 0, n - 1), np.where(n == 0, of == 1, main[at])
+
+
+def _send(first: bool, bounds: np.ndarray):
+    def rows(chunk: Chunk, number: int) -> pa.RecordBatch:
+        if first:
+            places, keys = ((chunk.word, chunk.of), (chunk.pair, chunk.of)), chunk.keys
+        else:
+            keys, at = chunk.second()
+            places = ((at, chunk.of[chunk.wanted]),)
+        made = to_ranges(number, keys, chunk.tallies(keys.size, *places), bounds)
+        trim()
+        return made
+
+    return rows
+
+
+def _answered(group: pa.Table) -> pa.Table:
+    """Of each key that a chunk sent: `n`, 0 if the corpus has it once and else one more than its training count; `main`, its
+    count outside held-out and weights' documents, of keys that the chunk has in the latter; and how many training words the range holds."""
+    cuts, keys, of, _, (every, held, weights) = gathered(group, 3)
+    asked = weights > 0
+    total, held, weights = (totals(of, x, keys.size) for x in (every, held, weights))
+    n, main = total - held, total - held - weights
+    word = (keys & np.uint64(1) == 1) | (keys == END)
+    back_n, back_main = np.where(total == 1, 0, n + 1)[of], main[of]
+    ends = list(zip(cuts[:-1], cuts[1:], strict=True))
+    some = [back_main[a:e][asked[a:e]] for a, e in ends]
+    known = [pa.array([int((word & (x > 0)).sum())] + [0] * (len(ends) - 1), pa.int64()) for x in (n, main)]
+    columns = [group.column("chunk"), group.column("range"), group.column("size"), pa.array([squeeze(back_n[a:e], 8) for a, e in ends], pa.binary())]
+    columns += [pa.array([x.size for x in some], pa.int32()), pa.array([squeeze(x, 8) for x in some], pa.binary())]
+    trim()
+    return pa.Table.from_arrays(columns + known, _TOLD_NAMES)
 
 
-def _numbered(part, counts, tokens, words):
-    """(part, counts, sorted distinct keys of a chunk, numbers in them of each token's word, bigram and trigram)."""
-    part, counts = part.flatten().to_numpy(), counts.flatten().to_numpy()
-    words = np.frombuffer(words[0].as_buffer(), "<u8")
-    local = _unsqueeze(tokens[0].as_buffer(), int(counts.sum()))
-    keys, at = np.unique(np.concatenate([words, *gram_keys(words[local], np.cumsum(counts) - counts)]), return_inverse=True)
-    at = at.astype(np.int32)
-    n = local.size
-    return part, counts, keys, (at[: words.size][local], at[words.size : words.size + n], at[words.size + n :])
+_TOLD_NAMES = ["chunk", "range", "size", "n", "asked", "main", "v_all", "v_main"]
+_TOLD = "chunk long, range int, size int, n binary, asked int, main binary, v_all long, v_main long"
 
 
-def _spread(ranges: int):
-    """Rows (range, chunk, size, keys, n, main) of each chunk: its distinct keys in each range, and their counts in it."""
-    bounds = np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
+def counted(chunks: DataFrame, n_tokens: int, n_main: int, range_rows: int) -> DataFrame:
+    """One row a chunk, written once: its texts, the corpus counts of each token's word, bigram and trigram, counts of
+    quantised estimates on the part that the mixture weights are learned on, and numbers of known words."""
+    spark = chunks.sparkSession
+    bounds = key_bounds(spark, 2 * n_tokens, range_rows)
+    content = chunks.select("chunk", "part", "counts", "tokens", "words")
 
-    def apply(batches):
+    def first(batches):
+        send = _send(True, bounds)
         for b in batches:
             for k in range(b.num_rows):
-                part, counts, keys, at = _numbered(*(b.column(j).slice(k, 1) for j in range(1, 5)))
-                of = np.repeat(part, counts)
-                n, main = (sum(np.bincount(x[rows], minlength=keys.size) for x in at) for rows in (of > 0, of == 1))
-                del at, of
-                cuts = np.append(np.searchsorted(keys, bounds), keys.size).tolist()
-                own = [(r, a, e) for r, (a, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > a]
-                columns = [pa.array([r for r, _, _ in own], pa.int32()), pa.array([b.column(0)[k].as_py()] * len(own), pa.int64()), pa.array([e - a for _, a, e in own], pa.int32())]
-                columns += [pa.array([_squeeze(np.diff(keys[a:e], prepend=np.uint64(0)), 8) for _, a, e in own], pa.binary())]
-                columns += [pa.array([_squeeze(x[a:e]) for _, a, e in own], pa.binary()) for x in (n, main)]
-                del keys, n, main
-                yield pa.RecordBatch.from_arrays(columns, ["range", "chunk", "size", "keys", "n", "main"])
-                trim()
-
-    return apply
-
-
-def _added(group: pa.Table) -> pa.Table:
-    """Corpus counts for the keys of each row of a range, in the row's order; the first row tells how many words the range holds."""
-    sizes = group.column("size").to_pylist()
-    blobs = lambda name: (x.as_buffer() for x in group.column(name))
-    keys = np.concatenate([np.cumsum(_unsqueeze(x, n, 8), dtype=np.uint64) for x, n in zip(blobs("keys"), sizes, strict=True)])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    first, of = np.flatnonzero(new), np.cumsum(new) - 1
-    word = (keys[first] & np.uint64(1) == 1) | (keys[first] == END)
-    del keys, new
-    cuts, columns, known = np.cumsum([0, *sizes]).tolist(), [group.column("chunk"), group.column("range"), group.column("size")], []
-    for name in ("n", "main"):
-        total = np.add.reduceat(np.concatenate([_unsqueeze(x, n) for x, n in zip(blobs(name), sizes, strict=True)])[order].astype(np.int64), first)
-        back = np.empty(order.size, np.int64)
-        back[order] = total[of]
-        columns.append(pa.array([_squeeze(back[a:e], 8) for a, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
-        known.append(pa.array([int((word & (total > 0)).sum())] + [0] * (len(sizes) - 1), pa.int64()))
-    trim()
-    return pa.Table.from_arrays(columns + known, ["chunk", "range", "size", "n", "main", "v_all", "v_main"])
+                row = pa.Table.from_batches([b.slice(k, 1)])
+                yield send(Chunk(row), row.column("chunk")[0].as_py())
+
+    one = materialize(content.mapInArrow(first, sent_schema(3)).groupBy("range").applyInArrow(_answered, _TOLD), "lm-first")
+    tidy(spark)
 
+    def second(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = Chunk(left)
+        chunk.first(by_range(right))
+        return pa.Table.from_batches([_send(False, bounds)(chunk, left.column("chunk")[0].as_py())])
 
-def with_counts(chunks: DataFrame, n_tokens: int, n_main: int, range_rows: int) -> DataFrame:
-    """One row a chunk, written once: its texts, the corpus counts of each token's word, bigram and trigram, and counts of
-    quantised estimates on the part that the mixture weights are learned on."""
-    # a token has a word, a bigram and a trigram; ranges grow in number, not in size
-    ranges = max(4 * shuffle_partitions(chunks.sparkSession), -(-3 * n_tokens // range_rows))
-    sent = chunks.select("chunk", "part", "counts", "tokens", "words").mapInArrow(_spread(ranges), "range int, chunk long, size int, keys binary, n binary, main binary")
-    added = sent.groupBy("range").applyInArrow(_added, "chunk long, range int, size int, n binary, main binary, v_all long, v_main long")
+    sent = content.groupBy("chunk").cogroup(one.select("chunk", "range", "size", "n").groupBy("chunk")).applyInArrow(second, sent_schema(3))
+    two = materialize(sent.groupBy("range").applyInArrow(_answered, _TOLD), "lm-second")
+    tidy(spark)
+    told = one.withColumn("round", F.lit(1)).union(two.withColumn("round", F.lit(2)))
     texts = chunks.select("chunk", "doc_ids", "part", "counts", "tokens", "words")
     kind = texts.schema["doc_ids"].dataType.simpleString()
 
-    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.take(pa.array(np.argsort(right.column("range").to_numpy())))
-        part, counts, keys, at = _numbered(*(left.column(j).combine_chunks() for j in ("part", "counts", "tokens", "words")))
-        del keys
-        of_chunk = lambda name: np.concatenate([_unsqueeze(x.as_buffer(), n, 8) for x, n in zip(right.column(name), right.column("size").to_pylist(), strict=True)]).astype(np.int64)
-        n = of_chunk("n")
-        grams = [_squeeze(n[x], 8) for x in at]
-        del n
-        own, key, times = np.repeat(part == 2, counts), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if own.any():
-            m = of_chunk("main")
-            bucket, f3, f2, f1 = estimates(*(m[x[own]] for x in at), counts[part == 2], n_main)
-            key, times = np.unique(((bucket * LEVELS + _level(f3)) * LEVELS + _level(f2)) * LEVELS + _level(f1), return_counts=True)
-            del m, bucket, f3, f2, f1
-        del at
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        first, second = (by_range(right.filter(pa.array(right.column("round").to_numpy() == k))) for k in (1, 2))
+        chunk = Chunk(left)
+        chunk.first(first)
+        weights = chunk.tallies(chunk.keys.size, (chunk.word, chunk.of), (chunk.pair, chunk.of))[2] > 0
+        both = [chunk.counts_of(first, chunk.n, at, chunk.of, weights) for at in (chunk.word, chunk.pair)]
+        del chunk.keys, chunk.n, chunk.word, chunk.pair
+        keys, at = chunk.second()
+        own = chunk.of[chunk.wanted]
+        got = chunk.counts_of(second, answers(second, "n"), at, own, np.bincount(at[own == 2], minlength=keys.size) > 0)
+        # a trigram that holds a bigram of one occurrence occurs once, here
+        triples = ((chunk.of > 0).astype(np.int64), (chunk.of == 1).astype(np.int64))
+        for every, some in zip(triples, got, strict=True):
+            every[chunk.wanted] = some
+        grams = [squeeze(n, 8) for n in (both[0][0], both[1][0], triples[0])]
+        key, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        mine = chunk.of == 2
+        if mine.any():
+            bucket, *f = estimates(both[0][1][mine], both[1][1][mine], triples[1][mine], chunk.counts[chunk.part == 2], n_main)
+            key, times = np.unique(((bucket * LEVELS + _level(f[0])) * LEVELS + _level(f[1])) * LEVELS + _level(f[2]), return_counts=True)
         columns = [left.column(j) for j in ("doc_ids", "part", "counts")] + [pa.array([x], pa.binary()) for x in grams] + [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (key, times)]
-        columns += [pa.array([int(right.column(j).to_numpy().sum())]) for j in ("v_all", "v_main")]
+        columns += [pa.array([int(first.column(j).to_numpy().sum())]) for j in ("v_all", "v_main")]
         trim()
         return pa.Table.from_arrays(columns, ["doc_ids", "part", "counts", "n1", "n2", "n3", "held_key", "held_n", "v_all", "v_main"])
 
     schema = f"doc_ids {kind}, part array<int>, counts array<long>, n1 binary, n2 binary, n3 binary, held_key array<long>, held_n array<long>, v_all long, v_main long"
-    joined = texts.groupBy("chunk").cogroup(added.groupBy("chunk")).applyInArrow(apply, schema)
-    return materialize(joined, "lm-counted")
+    ready = materialize(texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema), "lm-counted")
+    release(one, two, chunks)
+    return ready
 
 
 def _runs(batches, tokens: int = 250_000):
@@ -237,7 +275,7 @@ def _runs(batches, tokens: int = 250_000):
             ids, part, counts = (b.column(i).slice(j, 1).flatten() for i in range(3))
             part, counts = part.to_numpy(), counts.to_numpy()
             ends, k = np.cumsum(counts), 0
-            grams = [_unsqueeze(b.column(i)[j].as_buffer(), int(ends[-1]), 8) for i in (3, 4, 5)]
+            grams = [unsqueeze(b.column(i)[j].as_buffer(), int(ends[-1]), 8) for i in (3, 4, 5)]
             while k < counts.size:
                 before = ends[k - 1] if k else 0
                 e = max(k + 1, int(np.searchsorted(ends, before + tokens, side="right")))
@@ -258,11 +296,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     own = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
     sums = chunks.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(n) for k, n in ((own, "t"), ("n_all", "n"), ("n_main", "m")))).first()
     n_all, n_main = int(sums["n"]), int(sums["m"])
-    ready = with_counts(chunks, int(sums["t"]), n_main, range_rows)
-    release(chunks)
+    ready = counted(chunks, int(sums["t"]), n_main, range_rows)
     s = ready.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("v_all", "v_main"))).first()
     v_all, v_main = int(s["v_all"]), int(s["v_main"])
-    # at most BUCKETS x LEVELS^3 rows by the layout of the key; quantised estimates make them a few hundred thousand
+    # at most BUCKETS x LEVELS^3 = 3.5 million rows of 16 bytes by the layout of the key, whatever the corpus
     pairs = ready.select(F.explode(F.arrays_zip("held_key", "held_n")).alias("h"))
     held = pairs.groupBy(F.col("h.held_key").alias("k")).agg(F.sum("h.held_n").alias("n")).toArrow().sort_by("k")
     weights = learn_weights(held.column("k").to_numpy(), held.column("n").to_numpy(), 1 / (v_main + 1))
@@ -277,6 +314,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
             sums = [np.bincount(doc, weights=x, minlength=counts.size) for x in (n1 > 0, base, np.log10(p))]
             yield pa.RecordBatch.from_arrays([ids, pa.array(part == 0), pa.array(counts), pa.array(sums[0].astype(np.int64)), pa.array(np.full(counts.size, n_all)), pa.array(sums[1]), pa.array(sums[2])], ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[at(docs, id_col)].dataType.simpleString()
     made = ready.select("doc_ids", "part", "counts", "n1", "n2", "n3").mapInArrow(apply, f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return made.withColumnRenamed("_id", id_col)
