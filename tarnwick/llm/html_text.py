@@ -1,13 +1,18 @@
 """HTML extraction: host suffix array.
 
-The pages of a host form a group. In it the pages' word streams are laid end to end and their suffixes sorted by prefix
-doubling, as deep as the shortest run that counts; runs of `min_words` or more that occur in two pages or more are
-covered, and the uncovered runs of each block stay. A host that is too large for one task is cut into chunks of pages;
-a chunk sends the hashes of its windows of `min_words` words to ranges of hashes, and gets back on how many pages of the
-whole host each window stands, so that the same runs are covered. A structural check follows, because repetition alone is wrong in both
-directions: menus and adverts whose words change from page to page are no content, and an article that quotes a
-passage keeps it. So marked-up boilerplate goes whether it repeats or not, and a marked-up article loses only what stands
-on half of its host's pages; what is outside it has to outweigh it to stay.
+The pages of a host are one long stream of words, and runs of `min_words` or more that occur in two of its pages or more
+are covered; the uncovered runs of each block stay. The stream is worked on in chunks of pages. A chunk sorts its
+suffixes by prefix doubling, as deep as the shortest run that counts, which puts equal runs side by side; the hosts'
+classes of equal runs are added up over all chunks by their hashes, so repetition is decided over whole hosts.
+
+Two rounds keep that exchange small and lose nothing. Equal runs hold equal words at the place where the hash of five
+words in a row is least; the first round counts on how many pages of its host each such anchor stands. A run whose
+anchor stands on one page repeats on no other, so only the others are sorted and sent.
+
+A structural check follows, because repetition alone is wrong in both directions: menus and adverts whose words change
+from page to page are no content, and an article that quotes a passage keeps it. So marked-up boilerplate goes whether
+it repeats or not, and a marked-up article loses only what stands on half of its host's pages; what is outside it has to
+outweigh it to stay.
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import materialize, shuffle_partitions
-from tarnwick.llm.deleted_interpolation import _squeeze, _unsqueeze
+from tarnwick.llm.common import materialize, pick
+from tarnwick.llm.packed import answers, by_range, gathered, key_bounds, sent_schema, squeeze, to_ranges, totals, write_chunks
 from tarnwick.llm.words import Words, mix, slices, trim
 
 #: Elements whose content is never text of the page.
@@ -42,7 +47,9 @@ _BLOCKS = set(
     "hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that can be boilerplate by their name, role, class or id, and so are followed to their ends.
-_FOLLOWED = set("address article aside blockquote details dialog div dl fieldset figure footer form header main menu nav ol p section span table td ul".split())
+_FOLLOWED = set("address article aside blockquote dd details dialog div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header li main menu nav ol p section span table td ul".split())
+#: Elements that end where one of their kind, or one of the blocks named with them, begins.
+_IMPLIED = {"p": _BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}}
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     rf"|<({'|'.join(_RAW.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -92,7 +99,9 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
             continue
         if name in _BLOCKS:
             close()
-        if name not in _FOLLOWED or name == "p":
+        while not m[2] and stack and name in _IMPLIED.get(stack[-1][0], ()):
+            hidden -= stack.pop()[1]
+        if name not in _FOLLOWED:
             continue
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
@@ -116,39 +125,31 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
     return out
 
 
-def shared_runs(codes: np.ndarray, page: np.ndarray, min_words: int, least: int = 2) -> np.ndarray:
-    """Mask of the words covered by runs of `min_words` or more words that occur in `least` (two or more) pages or more.
+def suffix_classes(codes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of the classes of equal runs of `width` words that begin at the positions `at`, in the order of the sorted suffixes.
 
-    codes: word numbers of the pages laid end to end; page: page number of each word, ascending. The suffixes are sorted
-    by their first `min_words` words: longer shared runs are unions of such runs.
+    codes: word numbers of the stream. Prefix doubling: ranks by 1, 2, 4, ... words, of the suffixes that a rank of the next
+    level looks at.
     """
-    n = codes.size
-    if n < min_words:
-        return np.zeros(n, bool)
-    end = np.searchsorted(page, page, side="right")
-    active, rank, width = np.arange(n), codes.astype(np.int64), 1
-    while width < min_words and active.size:
-        ahead = min(width, min_words - width)
-        width += ahead
-        active = active[active + width <= end[active]]
-        follow = rank[active + ahead]
-        active, follow = active[follow < n], follow[follow < n]  # what agrees with no other suffix begins no shared run
-        _, inverse, counts = np.unique(rank[active] * (n + 1) + follow, return_inverse=True, return_counts=True)
-        keep = counts[inverse] > 1
-        rank = np.full(n, n, np.int64)
-        active, inverse = active[keep], inverse[keep]
-        rank[active] = inverse
-    delta = np.zeros(n + 1, np.int64)
-    if active.size:
-        order = np.lexsort((page[active], rank[active]))
-        r, p = rank[active][order], page[active][order]
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        turn = np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])]).astype(np.int64)
-        spread = np.repeat(np.add.reduceat(turn, first) >= least, np.diff(np.append(first, r.size)))
-        at = active[order][spread]
-        np.add.at(delta, at, 1)
-        np.add.at(delta, at + min_words, -1)
-    return np.cumsum(delta[:n]) > 0
+    widths = [1 << k for k in range((width - 1).bit_length())]
+    needed = [at]
+    for w in reversed(widths):
+        wide = min(2 * w, width)
+        needed.append(np.unique(np.concatenate([needed[-1], needed[-1] + (wide - w)])))
+    needed.reverse()
+    rank = np.zeros(codes.size, np.int64)
+    rank[needed[0]] = codes[needed[0]]
+    for k, w in enumerate(widths):
+        wide, own = min(2 * w, width), needed[k + 1]
+        pair = rank[own] * np.int64(codes.size + 1) + rank[own + (wide - w)]
+        rank[own] = np.unique(pair, return_inverse=True)[1]
+    return rank[at] if widths else np.unique(codes[at], return_inverse=True)[1]
+
+
+def pages_of(classes: np.ndarray, page: np.ndarray, n: int) -> np.ndarray:
+    """On how many pages each of n classes stands; page: that of each occurrence."""
+    key = np.unique(classes * (np.int64(page.max(initial=0)) + 1) + page)
+    return np.bincount(key // (np.int64(page.max(initial=0)) + 1), minlength=n)
 
 
 #: A run on so many pages of a host at least, and on half of them, is part of the host's template even inside articles.
@@ -174,76 +175,69 @@ def _assembled(n: int, flat: list[tuple[int, str, bool]], counts: np.ndarray, co
     return [" ".join(x) for x in out]
 
 
-def main_texts(pages: list[str | None], min_words: int = 10) -> list[str]:
-    """Main text of each page of a host."""
-    flat = [(k, text, inside) for k, p in enumerate(pages) for text, inside in blocks(p)]
-    words = Words(pa.array([t for _, t, _ in flat], pa.string()))
-    page, codes = np.repeat(np.array([k for k, _, _ in flat], np.int64), words.counts), np.unique(words.hashes, return_inverse=True)[1]
-    covered, template = (shared_runs(codes, page, min_words, least) for least in (2, max(TEMPLATE_PAGES, (len(pages) + 1) // 2)))
-    return _assembled(len(pages), flat, words.counts, covered, template)
-
-
-#: Beyond so many large hosts, their page counts are joined instead of broadcast.
-MAX_BROADCAST = 1_000_000
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = 256, min_words: int = 10, chunk_bytes: int = 4_000_000, range_rows: int = 1_000_000) -> DataFrame:
-    """Per row: id_col, url_col, text, n_chars.
-
-    Null and empty pages have an empty text; pages without a host form a host of their own; the text of a page without an
-    article is its blocks outside boilerplate, less the runs it shares with other pages of its host. Of a page with
-    marked-up articles, these stay, less the runs that stand on at least half of the host's pages (and `TEMPLATE_PAGES`),
-    if such runs are the lesser part of them; and so do the uncovered runs outside, if they have more words than the articles.
-    Without an article, exact copies of a page cover each other and only one-off runs stay.
-    Hosts of more than `group_pages` pages are worked on in chunks of `chunk_bytes`, with the same result. Other columns
-    are not read.
-    """
-    df = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("_url"), F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
-    df = df.withColumn("_host", host)
-    large = df.groupBy("_host").agg(F.count("*").alias("_n")).filter(F.col("_n") > group_pages)
-    small = large.count() <= MAX_BROADCAST
-    sized = df.join(F.broadcast(large) if small else large, "_host", "left")
-    kind = df.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, _url string, text string, n_chars long"
-
-    def apply(group: pa.Table) -> pa.Table:
-        texts = main_texts(group.column("_html").to_pylist(), min_words)
-        return pa.Table.from_arrays([group.column("_id"), group.column("_url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["_id", "_url", "text", "n_chars"])
-
-    made = sized.filter("_n is null").drop("_n").groupBy("_host").applyInArrow(apply, schema)
-    if not large.isEmpty():
-        rows = sized.filter("_n is not null").select("_id", "_url", F.xxhash64("_host").alias("_host"), "_n", "_html")
-        made = made.unionByName(_large_hosts(rows, kind, schema, min_words, chunk_bytes, range_rows))
-    return made.toDF(id_col, url_col, "text", "n_chars")
-
-
-def _windows(n_blocks, texts, hosts, min_words: int):
-    """(words of each block, page of each word, first words of the windows, sorted distinct keys of host and window, number of each window's key)."""
-    words = Words(texts)
-    page = np.repeat(np.repeat(np.arange(n_blocks.size), n_blocks), words.counts)
-    last = page.size - min_words + 1
-    at = np.flatnonzero(page[: max(last, 0)] == page[min_words - 1 :]) if last > 0 else np.zeros(0, np.int64)
-    h = hosts.astype(np.int64).view(np.uint64)[page[at]]
-    for k in range(min_words):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words.hashes[at + k])
-    keys, of = np.unique(h, return_inverse=True)
-    return words.counts, page, at, keys, of
-
-
-def _mask(n: int, at: np.ndarray, min_words: int) -> np.ndarray:
-    """Words within windows that begin at the positions `at`."""
-    delta = np.zeros(n + 1, np.int64)
-    np.add.at(delta, at, 1)
-    np.add.at(delta, at + min_words, -1)
-    return np.cumsum(delta[:n]) > 0
+#: Words of an anchor.
+ANCHOR = 5
+
+
+class Stream:
+    """The pages of a chunk, laid end to end: words, the first words of its runs of `min_words`, and their anchors."""
+
+    def __init__(self, row: pa.Table, min_words: int):
+        self.ids, self.urls, self.inside, hosts, self.n_blocks, self.texts = (row.column(k).combine_chunks().flatten() for k in ("ids", "urls", "inside", "hosts", "n_blocks", "texts"))
+        n_blocks = self.n_blocks.to_numpy()
+        words = Words(self.texts)
+        self.counts, self.min_words = words.counts, min_words
+        self.page = np.repeat(np.repeat(np.arange(n_blocks.size), n_blocks), words.counts)
+        last = self.page.size - min_words + 1
+        self.at = np.flatnonzero(self.page[: max(last, 0)] == self.page[min_words - 1 :]) if last > 0 else np.zeros(0, np.int64)
+        self.host = mix(hosts.to_numpy().view(np.uint64))
+        # words of a host: equal words of other hosts are others
+        self.words = mix(words.hashes + self.host[self.page])
+
+    def _hash(self, first: np.ndarray, width: int) -> np.ndarray:
+        h = np.full(first.size, width, np.uint64)
+        for k in range(width):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + self.words[first + k])
+        return h
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted distinct hashes of anchors, on how many pages of the chunk each stands, number of each run's anchor)."""
+        width = min(ANCHOR, self.min_words)
+        starts = np.arange(max(self.page.size - width + 1, 0))
+        every = self._hash(starts, width)
+        least = np.zeros(0, np.uint64) if not self.at.size else every[self.at]
+        for k in range(1, self.min_words - width + 1):
+            np.minimum(least, every[self.at + k], out=least)
+        keys, of = np.unique(least, return_inverse=True)
+        return keys, pages_of(of, self.page[self.at], keys.size), of
+
+    def runs(self, told: pa.Table) -> None:
+        """Keep the runs whose anchors stand on two pages of their host, and sort them into classes."""
+        _, _, of = self.anchors()
+        self.at = self.at[answers(told, "pages", width=4)[of] > 1] if of.size else self.at
+        codes = np.unique(self.words, return_inverse=True)[1]
+        classes = suffix_classes(codes, self.at, self.min_words) if self.at.size else self.at
+        n = int(classes.max(initial=-1)) + 1
+        first = np.zeros(n, np.int64)
+        first[classes] = self.at
+        self.keys, place = np.unique(self._hash(first, self.min_words), return_inverse=True)
+        self.of = place[classes] if n else classes
+
+    def covered(self, at: np.ndarray) -> np.ndarray:
+        """Words within the runs that begin at the positions `at`."""
+        delta = np.zeros(self.page.size + 1, np.int64)
+        np.add.at(delta, at, 1)
+        np.add.at(delta, at + self.min_words, -1)
+        return np.cumsum(delta[:-1]) > 0
 
 
-def _large_hosts(rows: DataFrame, kind: str, schema: str, min_words: int, chunk_bytes: int, range_rows: int) -> DataFrame:
+def _chunks(rows: DataFrame, kind: str, chunk_bytes: int) -> DataFrame:
+    """Pages' blocks outside marked-up boilerplate, in chunks of about `chunk_bytes` of text."""
     names = ["chunk", "ids", "urls", "hosts", "sizes", "n_blocks", "texts", "inside", "n_words"]
 
     def parse(batches):
-        task, seq, ids, urls, hosts, sizes, found, held = TaskContext.get().partitionId(), 0, [], [], [], [], [], 0
+        task, seq, held = TaskContext.get().partitionId(), 0, 0
+        ids, urls, hosts, sizes, found = [], [], [], [], []
 
         def flush():
             flat = [x for b in found for x in b]
@@ -267,51 +261,81 @@ def _large_hosts(rows: DataFrame, kind: str, schema: str, min_words: int, chunk_
             yield flush()
         trim()
 
-    parsed = rows.mapInArrow(parse, f"chunk long, ids array<{kind}>, urls array<string>, hosts array<long>, sizes array<long>, n_blocks array<int>, texts array<string>, inside array<boolean>, n_words long")
-    chunks = materialize(parsed, "html-chunks")
-    n_words = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
-    ranges = max(4 * shuffle_partitions(chunks.sparkSession), -(-int(n_words) // range_rows))
-    bounds = np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
+    schema = f"chunk long, ids array<{kind}>, urls array<string>, hosts array<long>, sizes array<long>, n_blocks array<int>, texts array<string>, inside array<boolean>, n_words long"
+    return write_chunks(rows.mapInArrow(parse, schema), "html_chunks")
+
+
+def _added(group: pa.Table) -> pa.Table:
+    """Of each key that a chunk sent: on how many pages it stands in all."""
+    cuts, keys, of, _, (own,) = gathered(group, 1)
+    every = totals(of, own, keys.size)[of]
+    back = pa.array([squeeze(every[a:e]) for a, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+    return pa.Table.from_arrays([group.column("chunk"), group.column("range"), group.column("size"), back], ["chunk", "range", "size", "pages"])
+
+
+#: Beyond so many hosts, their page counts are joined instead of broadcast.
+MAX_BROADCAST = 1_000_000
+
 
-    def spread(batches):
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_words: int = 10, chunk_bytes: int = 4_000_000, range_rows: int = 1_000_000) -> DataFrame:
+    """Per row: id_col, url_col, text, n_chars.
+
+    The text of a page without an article is its blocks outside boilerplate, less the runs that it shares with other pages of
+    its host. Of a page with marked-up articles, these stay, less the runs that stand on at least half of the host's pages
+    (and `TEMPLATE_PAGES`), if such runs are the lesser part of them; and so do the uncovered runs outside, if they have more
+    words than the articles.
+
+    Null and empty pages have an empty text, and an empty table has no rows. Pages without a host form a host of their own.
+    Repeated rows and exact copies are pages of their own: without an article they cover each other, so that nothing of them
+    stays. A page of any length is read whole; it is a chunk of its own if it is longer than `chunk_bytes`. The result does
+    not depend on how pages fall into chunks. Other columns are not read, whatever their names.
+    """
+    df = pick(pages, _id=id_col, _url=url_col, _html=html_col)
+    df = df.withColumn("_host", F.lower(F.regexp_extract(F.coalesce(F.col("_url"), F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1)))
+    hosts = df.groupBy("_host").agg(F.count("*").alias("_n"))
+    small = hosts.count() <= MAX_BROADCAST
+    sized = df.join(F.broadcast(hosts) if small else hosts, "_host")
+    kind = df.schema["_id"].dataType.simpleString()
+    chunks = _chunks(sized.select("_id", "_url", F.xxhash64("_host").alias("_host"), "_n", "_html"), kind, chunk_bytes)
+    spark = chunks.sparkSession
+    n_words = int(chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"])
+    bounds = key_bounds(spark, n_words // 3, range_rows)
+    content = chunks.drop("n_words")
+    told = "chunk long, range int, size int, pages binary"
+
+    def first(batches):
         for b in batches:
             for k in range(b.num_rows):
-                n_blocks, texts, hosts = (b.column(j).slice(k, 1).flatten() for j in (1, 2, 3))
-                _, page, at, keys, of = _windows(n_blocks.to_numpy(), texts, hosts.to_numpy(), min_words)
-                order = np.argsort(of, kind="stable")  # positions ascend, and so do pages
-                o, p = of[order], page[at[order]]
-                new = np.concatenate([[True], (o[1:] != o[:-1]) | (p[1:] != p[:-1])]) if o.size else np.zeros(0, bool)
-                pages = np.bincount(o[new], minlength=keys.size)
-                cuts = np.append(np.searchsorted(keys, bounds), keys.size).tolist()
-                own = [(r, a, e) for r, (a, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > a]
-                columns = [pa.array([r for r, _, _ in own], pa.int32()), pa.array([b.column(0)[k].as_py()] * len(own), pa.int64()), pa.array([e - a for _, a, e in own], pa.int32())]
-                columns += [pa.array([_squeeze(np.diff(keys[a:e], prepend=np.uint64(0)), 8) for _, a, e in own], pa.binary()), pa.array([_squeeze(pages[a:e]) for _, a, e in own], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["range", "chunk", "size", "keys", "pages"])
+                row = pa.Table.from_batches([b.slice(k, 1)])
+                keys, own, _ = Stream(row, min_words).anchors()
+                yield to_ranges(row.column("chunk")[0].as_py(), keys, [own], bounds)
                 trim()
 
-    def add(group: pa.Table) -> pa.Table:
-        sizes = group.column("size").to_pylist()
-        keys = np.concatenate([np.cumsum(_unsqueeze(x.as_buffer(), n, 8), dtype=np.uint64) for x, n in zip(group.column("keys"), sizes, strict=True)])
-        pages = np.concatenate([_unsqueeze(x.as_buffer(), n) for x, n in zip(group.column("pages"), sizes, strict=True)])
-        of = np.unique(keys, return_inverse=True)[1]
-        total, cuts = np.bincount(of, weights=pages)[of], np.cumsum([0, *sizes]).tolist()
-        back = pa.array([_squeeze(total[a:e]) for a, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-        return pa.Table.from_arrays([group.column("chunk"), group.column("range"), group.column("size"), back], ["chunk", "range", "size", "pages"])
+    one = materialize(content.mapInArrow(first, sent_schema(1)).groupBy("range").applyInArrow(_added, told), "html-anchors")
+
+    def second(left: pa.Table, right: pa.Table) -> pa.Table:
+        stream = Stream(left, min_words)
+        stream.runs(by_range(right))
+        trim()
+        return pa.Table.from_batches([to_ranges(left.column("chunk")[0].as_py(), stream.keys, [pages_of(stream.of, stream.page[stream.at], stream.keys.size)], bounds)])
 
-    sent = chunks.select("chunk", "n_blocks", "texts", "hosts").mapInArrow(spread, "range int, chunk long, size int, keys binary, pages binary")
-    told = sent.groupBy("range").applyInArrow(add, "chunk long, range int, size int, pages binary")
+    sent = content.groupBy("chunk").cogroup(one.groupBy("chunk")).applyInArrow(second, sent_schema(1))
+    two = sent.groupBy("range").applyInArrow(_added, told)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.take(pa.array(np.argsort(right.column("range").to_numpy())))
-        ids, urls, hosts, sizes, n_blocks, texts, inside = (left.column(j).combine_chunks().flatten() for j in names[1:8])
-        counts, page, at, _, of = _windows(n_blocks.to_numpy(), texts, hosts.to_numpy(), min_words)
-        pages = np.concatenate([np.zeros(0, np.uint32)] + [_unsqueeze(x.as_buffer(), n) for x, n in zip(right.column("pages"), right.column("size").to_pylist(), strict=True)])[of]
-        covered = _mask(page.size, at[pages > 1], min_words)
-        least = np.maximum(TEMPLATE_PAGES, (sizes.to_numpy() + 1) // 2)
-        template = _mask(page.size, at[pages >= least[page[at]]], min_words)
-        flat = list(zip(np.repeat(np.arange(n_blocks.to_numpy().size), n_blocks.to_numpy()).tolist(), texts.to_pylist(), inside.to_pylist(), strict=True))
-        made = _assembled(len(ids), flat, counts, covered, template)
+        anchors, runs = (by_range(right.filter(pa.array(right.column("round").to_numpy() == k))) for k in (1, 2))
+        stream = Stream(left, min_words)
+        stream.runs(anchors)
+        pages = answers(runs, "pages", width=4)[stream.of] if stream.of.size else stream.of
+        least = np.maximum(TEMPLATE_PAGES, (left.column("sizes").combine_chunks().flatten().to_numpy() + 1) // 2)
+        covered = stream.covered(stream.at[pages > 1])
+        template = stream.covered(stream.at[pages >= least[stream.page[stream.at]]])
+        of = np.repeat(np.arange(len(stream.ids)), stream.n_blocks.to_numpy())
+        flat = list(zip(of.tolist(), stream.texts.to_pylist(), stream.inside.to_pylist(), strict=True))
+        made = _assembled(len(stream.ids), flat, stream.counts, covered, template)
         trim()
-        return pa.Table.from_arrays([ids, urls, pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())], ["_id", "_url", "text", "n_chars"])
+        return pa.Table.from_arrays([stream.ids, stream.urls, pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())], ["_id", "_url", "text", "n_chars"])
 
-    return chunks.drop("n_words").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)
+    every = one.withColumn("round", F.lit(1)).union(two.withColumn("round", F.lit(2)))
+    made = content.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(finish, f"_id {kind}, _url string, text string, n_chars long")
+    return made.toDF(id_col, url_col, "text", "n_chars")

@@ -33,7 +33,8 @@ def test_repetition_over_a_large_host(spark):
     rows += [(100 + k, f"http://other{k}.example.net/", f"<p>{pages[0][0]}</p>") for k in range(2)]  # other hosts share nothing
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     wanted = uncovered(pages) | {100: pages[0][0], 101: pages[0][0]}
-    for settings in ({"group_pages": 1000}, {"group_pages": 4}, {"group_pages": 4, "chunk_bytes": 1000, "range_rows": 200}):
+    assert any(" ".join(b) != wanted[k] for k, b in pages.items())  # repetition decides
+    for settings in ({}, {"chunk_bytes": 1000, "range_rows": 200}):
         assert {r.page_id: r.text for r in html_text.extract(df, **settings).collect()} == wanted, settings
 
 
@@ -56,5 +57,18 @@ def test_articles_do_not_decide_alone(spark):
     rows += [(100 + k, f"http://copies.example.net/{k}", f"<article>{notice}</article>") for k in range(12)]
     wanted |= {100 + k: notice for k in range(12)}
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    for settings in ({}, {"group_pages": 4, "chunk_bytes": 1000, "range_rows": 200}):
+    for settings in ({}, {"chunk_bytes": 1000, "range_rows": 200}):
         assert {r.page_id: r.text for r in html_text.extract(df, **settings).collect()} == wanted, settings
+
+
+def test_short_runs_of_any_length(spark):
+    """Runs of other lengths than the default, against brute force; one very long page, and pages that are copies."""
+    r = random.Random(5)
+    pages = {k: [" ".join(f"w{r.randrange(12)}" for _ in range(r.randrange(0, 40))) for _ in range(3)] for k in range(40)}
+    pages[50], pages[51] = pages[3], [" ".join(f"v{r.randrange(100_000)}" for _ in range(60_000)), pages[4][0], ""]
+    rows = [(k, f"http://h.example.net/{k}", "".join(f"<div>{x}</div>" for x in b)) for k, b in pages.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for m in (1, 3, 4, 7):
+        wanted = uncovered({k: [" ".join(b)] for k, b in pages.items()}, m)
+        got = {x.page_id: x.text for x in html_text.extract(df, min_words=m, chunk_bytes=2000, range_rows=300).collect()}
+        assert got == wanted, m

@@ -213,7 +213,7 @@ def test_odd_pages(spark):
     pages = spark.createDataFrame([(*r, "h", "h", "t") for r in rows], schema)
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in html_text.extract(pages).collect()}
     assert got[4, "HTTP://A.Example.NET/en/x?y"] == ("é & b", 5) and got[1, None] == ("", 0)
-    assert html_text.extract(pages, group_pages=1).count() == len(rows)
+    assert html_text.extract(pages, chunk_bytes=1, range_rows=1).count() == len(rows)
     urls = {(r.page_id, r.host, r.path, r.rule, r.verdict, r.pattern) for r in url_rules.judge_urls(pages).collect()}
     assert (4, "a.example.net", "/en/x", "example.net/en/", "allow", None) in urls
     assert (1, "", "", None, "allow", None) in urls and (3, "", "", None, "allow", None) in urls

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tarnwick.llm import deleted_interpolation as di
-from tarnwick.llm import html_text, neighbours, repetition, simple8b, toxicity, url_rules, weighted_minhash, words
+from tarnwick.llm import html_text, neighbours, packed, repetition, simple8b, toxicity, url_rules, weighted_minhash, words
 from tarnwick.llm.common import WORD_RE
 from tarnwick.llm.tokenizing import Encoder
 
@@ -92,24 +92,14 @@ def test_repeated_prefixes():
         assert dict(zip(at.tolist(), size.tolist(), strict=True)) == wanted
 
 
-def test_shared_runs():
+def test_suffix_classes():
     random.seed(2)
-    for _ in range(120):
-        docs = [[random.randrange(random.choice([2, 3, 9])) for _ in range(random.randrange(0, 25))] for _ in range(4)]
-        m = random.choice([2, 3, 5, 8, 10])
-        where: dict = {}
-        for k, d in enumerate(docs):
-            for i in range(len(d) - m + 1):
-                where.setdefault(tuple(d[i : i + m]), set()).add(k)
-        wanted = []
-        for d in docs:
-            mask = [False] * len(d)
-            for i in range(len(d) - m + 1):
-                if len(where[tuple(d[i : i + m])]) > 1:
-                    mask[i : i + m] = [True] * m
-            wanted += mask
-        got = html_text.shared_runs(np.array(sum(docs, []), np.int64), np.repeat(np.arange(4), [len(d) for d in docs]), m)
-        assert got.tolist() == wanted
+    for _ in range(200):
+        codes = np.array([random.randrange(random.choice([2, 3, 9])) for _ in range(random.randrange(12, 60))], np.int64)
+        m = random.choice([1, 2, 3, 5, 8, 10])
+        at = np.array(sorted(random.sample(range(codes.size - m + 1), random.randrange(1, codes.size - m + 2))))
+        runs = [tuple(codes[i : i + m].tolist()) for i in at]
+        assert html_text.suffix_classes(codes, at, m).tolist() == [sorted(set(runs)).index(r) for r in runs]
 
 
 def test_html_blocks():
@@ -117,13 +107,12 @@ def test_html_blocks():
         '<body><header class="x"><h1>Site</h1></header><div id="sideBar">s</div><main><header><h1>T &amp; x&nbsp;y</h1></header><p>a < b<p>c <b>d</b>e'
         '<div class="comments"><div>no</div>no</div> f <script>if(a<b){"</div>"}</script>g<form>q</form></main>tail'
     )
-    assert html_text.main_texts([page, None, "", "<p>x", "<!-- unclosed", "<script>never closed"]) == ["T & x y a < b c de f g", "", "", "x", "", ""]
-    # without an article, runs shared by pages go and one-off runs stay
-    common = "these words stand on every page of this host and say nothing new at all"
-    got = html_text.main_texts([f"<div>{common}</div><p>alpha story</p>", f"<p>beta story {common}</p>"])
-    assert got == ["alpha story", "beta story"]
-    # an article keeps what it shares
-    assert html_text.main_texts([f"<article>{common}</article>"] * 2) == [common] * 2
+    texts = lambda p: [t for t, _ in html_text.blocks(p)]
+    assert " ".join(t for t, inside in html_text.blocks(page) if inside) == "T & x y a < b c de f g"
+    assert [texts(p) for p in (None, "", "<p>x", "<!-- unclosed", "<script>never closed")] == [[], [], ["x"], [], []]
+    # marks on paragraphs, items and headings, closed or not
+    marked = '<article><p class="cookie-notice">we use cookies<p>one<br>two</p><ul><li class=share>share<li>three</ul><h3 id="comments-title">Comments</h3><dl><dt class="ad">x<dd>four</dl><p class="notice">n<div>five</div></article>'
+    assert texts(marked) == ["one", "two", "three", "four", "five"]
 
 
 def test_maximal_segments():
@@ -185,7 +174,7 @@ def test_em_recovers_a_mixture():
 
 def test_squeeze():
     x = np.random.default_rng(0).integers(0, 1 << 20, 1000)
-    assert (di._unsqueeze(di._squeeze(x), 1000) == x).all()
+    assert (packed.unsqueeze(packed.squeeze(x), 1000) == x).all()
 
 
 def _auc(y, s):
