@@ -128,7 +128,7 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
 def suffix_classes(codes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """Numbers of the classes of equal runs of `width` words that begin at the positions `at`, in the order of the sorted suffixes.
 
-    codes: word numbers of the stream. Prefix doubling: ranks by 1, 2, 4, ... words, of the suffixes that a rank of the next
+    codes: numbers of the stream's words. Prefix doubling: ranks by 1, 2, 4, ... words, of the suffixes that a rank of the next
     level looks at.
     """
     widths = [1 << k for k in range((width - 1).bit_length())]
@@ -138,7 +138,7 @@ def suffix_classes(codes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
         needed.append(np.unique(np.concatenate([needed[-1], needed[-1] + (wide - w)])))
     needed.reverse()
     rank = np.zeros(codes.size, np.int64)
-    rank[needed[0]] = codes[needed[0]]
+    rank[needed[0]] = np.unique(codes[needed[0]], return_inverse=True)[1]
     for k, w in enumerate(widths):
         wide, own = min(2 * w, width), needed[k + 1]
         pair = rank[own] * np.int64(codes.size + 1) + rank[own + (wide - w)]
@@ -185,38 +185,41 @@ class Stream:
     def __init__(self, row: pa.Table, min_words: int):
         self.ids, self.urls, self.inside, hosts, self.n_blocks, self.texts = (row.column(k).combine_chunks().flatten() for k in ("ids", "urls", "inside", "hosts", "n_blocks", "texts"))
         n_blocks = self.n_blocks.to_numpy()
-        words = Words(self.texts)
-        self.counts, self.min_words = words.counts, min_words
-        self.page = np.repeat(np.repeat(np.arange(n_blocks.size), n_blocks), words.counts)
+        words = [Words(self.texts.slice(k, n)) for k, n in slices(self.texts)] or [Words(self.texts)]
+        self.counts, self.min_words = np.concatenate([w.counts for w in words]), min_words
+        self.page = np.repeat(np.repeat(np.arange(n_blocks.size), n_blocks), self.counts)
         last = self.page.size - min_words + 1
         self.at = np.flatnonzero(self.page[: max(last, 0)] == self.page[min_words - 1 :]) if last > 0 else np.zeros(0, np.int64)
         self.host = mix(hosts.to_numpy().view(np.uint64))
         # words of a host: equal words of other hosts are others
-        self.words = mix(words.hashes + self.host[self.page])
+        self.words = mix(np.concatenate([w.hashes for w in words]) + self.host[self.page])
 
     def _hash(self, first: np.ndarray, width: int) -> np.ndarray:
-        h = np.full(first.size, width, np.uint64)
+        """Hashes of the runs of `width` words from the places `first` on."""
+        h, odd = np.full(first.size, width, np.uint64), 0x9E3779B97F4A7C15
         for k in range(width):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + self.words[first + k])
-        return h
+            h += self.words[first + k] * np.uint64(pow(odd, k + 1, 1 << 64))
+        return mix(h)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sorted distinct hashes of anchors, on how many pages of the chunk each stands, number of each run's anchor)."""
         width = min(ANCHOR, self.min_words)
-        starts = np.arange(max(self.page.size - width + 1, 0))
-        every = self._hash(starts, width)
-        least = np.zeros(0, np.uint64) if not self.at.size else every[self.at]
+        every = self._hash(np.arange(max(self.page.size - width + 1, 0)), width)
+        least = every[self.at]
         for k in range(1, self.min_words - width + 1):
             np.minimum(least, every[self.at + k], out=least)
-        keys, of = np.unique(least, return_inverse=True)
-        return keys, pages_of(of, self.page[self.at], keys.size), of
+        page = self.page[self.at]
+        # runs side by side mostly have one anchor
+        turn = np.ones(least.size, bool)
+        turn[1:] = (least[1:] != least[:-1]) | (page[1:] != page[:-1])
+        keys, of = np.unique(least[turn], return_inverse=True)
+        return keys, pages_of(of, page[turn], keys.size), of[np.cumsum(turn) - 1]
 
     def runs(self, told: pa.Table) -> None:
         """Keep the runs whose anchors stand on two pages of their host, and sort them into classes."""
         _, _, of = self.anchors()
         self.at = self.at[answers(told, "pages", width=4)[of] > 1] if of.size else self.at
-        codes = np.unique(self.words, return_inverse=True)[1]
-        classes = suffix_classes(codes, self.at, self.min_words) if self.at.size else self.at
+        classes = suffix_classes(self.words, self.at, self.min_words) if self.at.size else self.at
         n = int(classes.max(initial=-1)) + 1
         first = np.zeros(n, np.int64)
         first[classes] = self.at
