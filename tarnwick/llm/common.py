@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +41,7 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
-    made._tarnwick_path = path
-    return made
+    return written(spark.read.schema(df.schema).parquet(path), path)
 
 
 def release(*tables: DataFrame) -> None:
@@ -52,14 +53,39 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(df._tarnwick_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        if hasattr(df, "_tarnwick_table"):
+        _WRITTEN.discard(df._tarnwick_path)
+        if df._tarnwick_table:
             spark.sql(f"DROP TABLE IF EXISTS {df._tarnwick_table}")
     tidy(spark)
 
 
 def tidy(spark: SparkSession) -> None:
-    gc.collect()
-    spark._jvm.System.gc()
+    """Have Spark's cleaner delete the shuffle files of plans that nothing refers to: the second collection finds what the first let go."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def _forget(spark: SparkSession) -> None:
+    """At the end of the driver's program: delete the tables that results were still read from."""
+    with contextlib.suppress(Exception):  # a session that is stopped or a JVM that is gone leaves them to the folder's owner
+        for path in list(_WRITTEN):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Paths of tables in the shared folder that are still there.
+_WRITTEN: set[str] = set()
+
+
+def written(df: DataFrame, path: str, name: str | None = None) -> DataFrame:
+    """`df`, marked as read from `path`, which release() deletes; what isn't released goes when the program ends."""
+    if not _WRITTEN:
+        atexit.register(_forget, df.sparkSession)
+    _WRITTEN.add(path)
+    df._tarnwick_path, df._tarnwick_table = path, name
+    return df
 
 
 def at(docs: DataFrame, name: str) -> int:
@@ -86,6 +112,21 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+#: Tables of keys, of a few dozen bytes each, are broadcast up to so many rows.
+MAX_KEYS = 1_000_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """`left` joined to `right`, which has each key once. Rows of the keys in `hot` are joined by broadcast, where they are, so
+    that no task gets all rows of one; more hot keys than MAX_KEYS are left to adaptive execution."""
+    n = hot.count()
+    if not n or n > MAX_KEYS:
+        return left.join(right, keys, how)
+    few = F.broadcast(hot.select(*keys))
+    cold = left.join(few, keys, "left_anti").join(right, keys, how)
+    return cold.unionByName(left.join(F.broadcast(right.join(few, keys, "left_semi")), keys))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarnwick.llm.common import shared_dir, shuffle_partitions
+from tarnwick.llm.common import shared_dir, shuffle_partitions, written
 
 
 def squeeze(numbers: np.ndarray, width: int = 4) -> bytes:
@@ -34,9 +34,7 @@ def write_chunks(df: DataFrame, tag: str) -> DataFrame:
     name = f"{tag}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     df.write.bucketBy(min(shuffle_partitions(spark), 100_000), "chunk").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    made = spark.table(name)
-    made._tarnwick_path, made._tarnwick_table = path, name
-    return made
+    return written(spark.table(name), path, name)
 
 
 def key_bounds(spark, n_keys: int, range_rows: int) -> np.ndarray:
