@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import WORD_RE
+from tarnwick.llm.common import WORD_RE, at, free_name, plain
 from tarnwick.llm.words import Words, slices
 
 #: Characters that count as symbols.
@@ -47,7 +47,7 @@ def repeated_prefixes(codes: np.ndarray, counts: np.ndarray, min_words: int) ->
         outer = np.maximum.accumulate(np.where(np.concatenate([[True], older[1:] != older[:-1]]), np.arange(order.size), 0))
         rank = rank.copy()
         rank[here] = older + np.repeat(starts, sizes) - outer
-        levels.append((width, rank))
+        levels.append((width, rank.astype(np.int32)))
         group = rank
         active = np.sort(here[np.repeat(sizes > 1, sizes)])
         if width == base:
@@ -83,27 +83,29 @@ def covered(n: int, positions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(delta[:n]) > 0
 
 
-def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, max_covered: float = 0.3, max_longest: int = 40, batch_bytes: int = 1_000_000) -> DataFrame:
+def repetition_rules(docs: DataFrame, text_col: str = "text", min_words: int = 8, max_covered: float = 0.3, max_longest: int = 40, batch_bytes: int = 1_000_000) -> DataFrame:
     """Adds to each row what repetition finds and the verdict; all columns of `docs` are kept under their names.
 
     Added: struct column `rules` of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, longest_repeat (long),
     covered_fraction (double), base_failed and kept (boolean). kept is false if the base rules fail, if more than
     `max_covered` of the words are covered by repeats, or if a repeat is longer than `max_longest` words. A null or
-    empty text has no words and fails the base rules. Rows are judged one by one: repeated rows get equal results.
+    empty text has no words and fails the base rules. Rows are judged one by one: repeated rows get equal results, null
+    ids and an empty table change nothing, and a very long text is judged whole, in a slice of its own. If `docs` has a
+    column `rules` in whatever case, ours is the last column, `_rules`.
     """
-    cols = docs.columns
+    cols, text = docs.columns, at(docs, text_col)
     fields = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("longest_repeat", pa.int64()), ("covered_fraction", pa.float64()), ("base_failed", pa.bool_()), ("kept", pa.bool_())]
 
     def judge(column: pa.Array) -> pa.Array:
         words, texts = Words(column), column.to_pylist()
         counts = words.counts
         codes = np.unique(words.hashes, return_inverse=True)[1]
-        at, size = repeated_prefixes(codes, counts, min_words)
+        places, size = repeated_prefixes(codes, counts, min_words)
         doc = np.repeat(np.arange(counts.size), counts)
-        n_covered = np.bincount(doc[covered(codes.size, at, size)], minlength=counts.size)
+        n_covered = np.bincount(doc[covered(codes.size, places, size)], minlength=counts.size)
         longest = np.zeros(counts.size, np.int64)
-        if at.size:
-            np.maximum.at(longest, doc[at], size)
+        if places.size:
+            np.maximum.at(longest, doc[places], size)
         # code points: bytes that don't continue a character
         first = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
         chars = np.bincount(doc, weights=first[words.ends] - first[words.starts], minlength=counts.size).astype(np.int64)
@@ -125,10 +127,13 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([*cut.columns[:-1], judge(cut.column(b.num_columns - 1))], [*b.schema.names[:-1], "rules"])
 
     kinds = ", ".join(f"{n} {'double' if k == pa.float64() else 'boolean' if k == pa.bool_() else 'bigint'}" for n, k in fields)
-    plain = docs.toDF(*(f"c{k}" for k in range(len(cols))))  # names may clash with ours
-    schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(plain.schema)) + f", rules struct<{kinds.replace(' ', ':').replace(',:', ',')}>"
-    made = plain.withColumn("_text", F.col(f"c{cols.index(text_col)}")).mapInArrow(apply, schema)
-    names, k = [*cols], "rules"
-    while k in names:
-        k = "_" + k
-    return made.toDF(*names, k)
+    numbered = plain(docs)
+    schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(numbered.schema)) + f", rules struct<{kinds.replace(' ', ':').replace(',:', ',')}>"
+    made = numbered.withColumn("_text", F.col(f"c{text}")).mapInArrow(apply, schema)
+    return made.toDF(*cols, free_name(docs, "rules"))
+
+
+def passing(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that repetition_rules() keeps, with their columns; `options` are its parameters."""
+    judged = repetition_rules(docs, **options)
+    return plain(judged).filter(F.col(f"c{len(docs.columns)}.kept")).drop(f"c{len(docs.columns)}").toDF(*docs.columns)
