@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import crc_bucket
+from tarnwick.llm.common import at, crc_bucket, free_name, plain
 from tarnwick.llm.labelled import labelled_sample
 from tarnwick.llm.words import Table, Words, slices
 
@@ -56,8 +56,8 @@ class Space:
             self.terms = np.concatenate([self.terms, np.array([self.term(w) for w in words.strings(missing[first])], np.int32)])
             codes[missing] = self.table.lookup(words.hashes[missing])
         doc = np.repeat(np.arange(rows), words.counts)
-        at = self.terms[codes] + (doc * self.dims)[:, None]
-        out = np.bincount(at.ravel(), minlength=rows * self.dims).reshape(rows, self.dims).astype(np.float32)
+        places = self.terms[codes] + (doc * self.dims)[:, None]
+        out = np.bincount(places.ravel(), minlength=rows * self.dims).reshape(rows, self.dims).astype(np.float32)
         n = words.counts
         distinct = np.bincount(np.unique(doc * (self.table.n + 1) + codes) // (self.table.n + 1), minlength=rows)
         k = np.arange(rows)
@@ -111,37 +111,40 @@ class Space:
         return np.where(np.abs(v).sum(axis=1) > 0, score, self.prior)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 5, held_out: int = 0, train_rows: int = 4_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 5, held_out: int = 0, train_rows: int = 4_000, train_bytes: int = 64_000_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with struct column `vote` (held_out boolean, score double, predicted int); other columns stay as they are.
 
-    Learns from at most about `train_rows` labelled rows outside the held-out remainder: a bounded sample, so the broadcast
-    is `train_rows` x 32 numbers. Empty and null texts are vectors of their length terms alone; without labels every score
-    is 0.5. Repeated rows score alike. If `docs` has a column `vote`, ours is `_vote`.
+    Learns from at most `train_rows` labelled documents of `train_bytes` in all, outside the held-out remainder: a bounded
+    sample, so the broadcast is `train_rows` x 32 numbers. Empty and null texts are vectors of their length terms alone;
+    without labels every score is 0.5. Rows are scored one by one: repeated rows score alike, null ids are scored like
+    others, an empty table has no rows, and a very long text is scored whole. If `docs` has a column `vote` in whatever
+    case, ours is the last column, `_vote`.
     """
     spark = docs.sparkSession
     space = Space()
-    texts, y = labelled_sample(docs, labels, label_col, modulus, held_out, train_rows, id_col, text_col)
+    texts, y = labelled_sample(docs, labels, label_col, modulus, held_out, train_rows, id_col, text_col, train_bytes)
     if y:
         space.fit(texts, y)
     else:
         space.labels, space.prior = np.zeros(0, np.float32), 0.5
     shared = spark.sparkContext.broadcast(space)
-    cols = docs.columns
-    plain = docs.toDF(*(f"c{k}" for k in range(len(cols))))
-    at = cols.index(text_col)
+    numbered, text = plain(docs), at(docs, text_col)
 
     def apply(batches):
         s = shared.value
         for b in batches:
-            for k, n in slices(b.column(at), rows=512):
+            for k, n in slices(b.column(text), rows=512):
                 cut = b.slice(k, n)
-                score = s.vote(cut.column(at)).astype(np.float64)
+                score = s.vote(cut.column(text)).astype(np.float64)
                 made = pa.StructArray.from_arrays([cut.column(b.num_columns - 1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["held_out", "score", "predicted"])
                 yield pa.RecordBatch.from_arrays([*cut.columns[:-1], made], [*b.schema.names[:-1], "vote"])
 
-    rows = plain.withColumn("_held", crc_bucket(F.col(f"c{cols.index(id_col)}"), modulus) == held_out)
-    schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(plain.schema)) + ", vote struct<held_out:boolean,score:double,predicted:int>"
-    name = "vote"
-    while name in cols:
-        name = "_" + name
-    return rows.mapInArrow(apply, schema).toDF(*cols, name)
+    rows = numbered.withColumn("_held", crc_bucket(F.col(f"c{at(docs, id_col)}"), modulus) == held_out)
+    schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(numbered.schema)) + ", vote struct<held_out:boolean,score:double,predicted:int>"
+    return rows.mapInArrow(apply, schema).toDF(*docs.columns, free_name(docs, "vote"))
+
+
+def passing(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that score_quality() predicts to be of label 1, with their columns; `options` are its parameters."""
+    scored, last = score_quality(docs, labels, **options), f"c{len(docs.columns)}"
+    return plain(scored).filter(F.col(f"{last}.predicted") == 1).drop(last).toDF(*docs.columns)
