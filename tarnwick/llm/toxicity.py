@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import crc_bucket
+from tarnwick.llm.common import crc_bucket, pick
 from tarnwick.llm.labelled import labelled_sample, logistic
 from tarnwick.llm.words import Table, Words, slices
 
@@ -34,23 +34,27 @@ def tokens_of(word: str) -> list[str]:
 
 def maximal_segments(at, weight, drift: float) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last position) of a sequence in which the sorted positions `at` score
-    `weight` > 0 and each position between them costs `drift`; one pass with a stack."""
-    total, last, stack = 0.0, -1, []  # of [left total, right total, first, last]
+    `weight` > 0 and each position between them costs `drift`.
+
+    One pass. A candidate is [total before it, total after it, first, last, place of the nearest candidate before it with a
+    smaller total before it]; whoever looks for such a candidate goes along these places and skips the others for good.
+    """
+    total, last, stack = 0.0, -1, []
     for p, w in zip(at, weight, strict=True):
         total -= drift * (p - last - 1)
-        left, last = total, p
+        seg, last = [total, total + w, p, p, len(stack) - 1], p
         total += w
-        seg = [left, total, p, p]
         while True:
-            k = len(stack) - 1
+            k = seg[4]
             while k >= 0 and stack[k][0] >= seg[0]:
-                k -= 1
+                k = stack[k][4]
+            seg[4] = k
             if k < 0 or stack[k][1] >= seg[1]:
                 stack.append(seg)
                 break
-            seg = [stack[k][0], seg[1], stack[k][2], seg[3]]
+            seg = [stack[k][0], seg[1], stack[k][2], seg[3], stack[k][4]]
             del stack[k:]
-    return [(r - l, a, b) for l, r, a, b in stack]
+    return [(r - l, a, b) for l, r, a, b, _ in stack]
 
 
 class Tokens:
@@ -233,17 +237,19 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 4, held_out: int = 2, train_rows: int = 8_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 4, held_out: int = 2, train_rows: int = 8_000, train_bytes: int = 64_000_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, held_out, score, predicted, passages (array of struct<score, first, last> in word positions).
 
-    Learns from at most about `train_rows` labelled rows outside the held-out remainder (bounded sample; the model then
-    fits a broadcast whatever the corpus). Null and empty texts have no passage and get the score of a text without any.
-    Without usable labels every score is that of the prior. Other columns are not read; repeated rows score alike.
+    Learns from at most `train_rows` labelled documents of `train_bytes` in all, outside the held-out remainder (bounded
+    sample; the model then fits a broadcast whatever the corpus). Null and empty texts have no passage and get the score of
+    a text without any. Without usable labels every score is that of the prior. Rows are scored one by one: repeated rows
+    score alike, null ids are scored like others, an empty table has no rows, and a very long text is scored whole, in
+    time linear in its length. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
-    texts, y = labelled_sample(docs, labels, label_col, modulus, held_out, train_rows, id_col, text_col)
+    texts, y = labelled_sample(docs, labels, label_col, modulus, held_out, train_rows, id_col, text_col, train_bytes)
     model = spark.sparkContext.broadcast(fit(texts, y))
-    rows = docs.select(F.col(id_col), (crc_bucket(F.col(id_col), modulus) == held_out).alias("held_out"), F.col(text_col).alias("_text"))
+    rows = pick(docs, _id=id_col, _text=text_col).select("_id", (crc_bucket(F.col("_id"), modulus) == held_out).alias("held_out"), "_text")
 
     def apply(batches):
         m = model.value
@@ -254,7 +260,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
                 got = m.scores(cut.column(2))
                 score = [s for s, _ in got]
                 spans = pa.array([[{"score": s, "first": a, "last": z} for s, a, z in p] for _, p in got], kind)
-                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), spans], [id_col, "held_out", "score", "predicted", "passages"])
+                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), spans], ["_id", "held_out", "score", "predicted", "passages"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(apply, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, passages array<struct<score:double,first:int,last:int>>")
+    kind = rows.schema["_id"].dataType.simpleString()
+    made = rows.mapInArrow(apply, f"_id {kind}, held_out boolean, score double, predicted int, passages array<struct<score:double,first:int,last:int>>")
+    return made.withColumnRenamed("_id", id_col)
