@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import materialize, prefix_starts
+from tarnwick.llm.common import materialize, pick, prefix_starts
 from tarnwick.llm.tokenizing import encoder
 from tarnwick.llm.words import slices, trim
 
@@ -24,11 +24,12 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, tokenizer: str |
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length, starts_document, ends_document.
 
     A piece is the part of one document in one sequence. Null and empty texts hold `end_id` alone; repeated rows are
-    packed as separate documents; the order is that of the table's partitions. padded_length is the sequence's length
+    packed as separate documents, null ids like others; an empty table has no pieces; a very long text is cut into as many
+    pieces as it fills sequences. The order is that of the table's partitions. padded_length is the sequence's length
     in the output: `window`, but for a last sequence whose own length is a power of two, which needs no padding.
-    with_ids adds the piece's ids (array<int>), for writing the sequences out. Other columns are not read.
+    with_ids adds the piece's ids (array<int>), for writing the sequences out. Other columns are not read, whatever their names.
     """
-    clean = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    clean = pick(docs, _id=id_col, _text=text_col).select("_id", F.coalesce("_text", F.lit("")).alias("_text"))
     kind = clean.schema["_id"].dataType.simpleString()
 
     def tokenize(batches):

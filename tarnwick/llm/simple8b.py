@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import materialize, prefix_starts, shuffle_partitions
+from tarnwick.llm.common import materialize, pick, prefix_starts, shuffle_partitions
 from tarnwick.llm.tokenizing import encoder
 from tarnwick.llm.words import slices
 
@@ -34,6 +34,8 @@ BLOCK = 1024
 CHUNK = 32 * BLOCK
 MAGIC = b"TWS8"
 HEADER = struct.Struct("<4sIIQQQQ")
+#: Stands for a document without an integer id.
+NO_ID = -(1 << 63)
 
 
 def _next(wide: np.ndarray, n: int) -> np.ndarray:
@@ -159,11 +161,12 @@ def write_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Tokenize in ascending id order and write Simple-8b segments to the shared folder.
 
     Returns the written dataset: part int, part_offset long (ids of the part before the segment), n_ids long,
-    payload binary. Null texts are empty and hold the end id alone; rows of one id follow in the order of
-    their texts; a null id is refused, because the format's ids are integers; other columns are not read.
+    payload binary. Null and empty texts hold the end id alone; rows of one id follow in the order of their texts; a very
+    long text is one document of its segment; an empty table gives no segments. The format's ids are integers: an id that
+    is null, or not an integer, is written as `NO_ID`, comes first and is read back as null. Other columns are not read.
     """
     spark = docs.sparkSession
-    clean = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    clean = pick(docs, _id=id_col, _text=text_col).select(F.coalesce(F.col("_id").try_cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce("_text", F.lit("")).alias("_text"))
     ordered = clean.repartitionByRange(shuffle_partitions(spark), "_id").sortWithinPartitions("_id", "_text")
 
     def encode(batches):
@@ -178,8 +181,6 @@ def write_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "part_offset", "n_ids", "payload"])
 
         for b in batches:
-            if b.column(0).null_count:
-                raise ValueError("a null document id can't be written")
             for k, n in slices(b.column(1)):
                 cut = b.slice(k, n)
                 flat, sizes = enc.encode_flat(cut.column(1), end_id)
@@ -208,7 +209,7 @@ def read_segments(segments: DataFrame) -> DataFrame:
                 ids, counts, values = unpack_segment(payload.as_py())
                 raw, cuts = memoryview(values.astype("<u4").tobytes()), np.concatenate([[0], np.cumsum(counts)])
                 crcs = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start + cuts[:-1]), pa.array(counts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), pa.array(start + cuts[:-1]), pa.array(counts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return keyed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
