@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import materialize
+from tarnwick.llm.common import at, join_hot, materialize, pick, plain, release
 from tarnwick.llm.words import Table, Words, mix, slices
 
 SHINGLE = 5
+#: Classes of more exact copies than this are hot keys. Texts of pivots are broadcast up to so many bytes.
+HOT_COPIES, MAX_PIVOT_BYTES = 4096, 64_000_000
 _ODD = np.random.default_rng(7).integers(1 << 62, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
 
 
@@ -70,9 +72,9 @@ def shingles(words: Words, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray
     h, w = np.zeros(n, np.uint64), np.zeros(n, np.float32)
     for k in range(SHINGLE):
         has = left > k
-        at = np.minimum(np.arange(n) + k, n - 1)
-        h += np.where(has, words.hashes[at] * _ODD[k], np.uint64(0))
-        w += np.where(has, weight[at], 0)
+        place = np.minimum(np.arange(n) + k, n - 1)
+        h += np.where(has, words.hashes[place] * _ODD[k], np.uint64(0))
+        w += np.where(has, weight[place], 0)
     whole = (left >= SHINGLE) | (left == counts[doc]) & (counts[doc] < SHINGLE)
     doc, h, w = doc[whole], mix(h[whole]), w[whole]
     key = mix(h + doc.astype(np.uint64) * _ODD[8])
@@ -94,11 +96,12 @@ def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int, cou
         place = np.arange(z - a, dtype=np.int64)
         for j in range(count):
             x = hh * _ODD[16 + j]
+            x ^= x >> np.uint64(32)
             i_r = (x >> np.uint64(52)).astype(np.int32)
             r = _R[i_r]
-            beta = ((x >> np.uint64(12)).astype(np.uint32)).astype(np.float32) * np.float32(2.0**-32)
+            beta = ((x >> np.uint64(20)).astype(np.uint32)).astype(np.float32) * np.float32(2.0**-32)
             t = np.floor(lw * _INV_R[i_r] + beta)
-            ln_a = _LOG_C[((x >> np.uint64(40)) & np.uint64(4095)).astype(np.int32)] - r * (t - beta + np.float32(1))
+            ln_a = _LOG_C[((x >> np.uint64(8)) & np.uint64(4095)).astype(np.int32)] - r * (t - beta + np.float32(1))
             bits = ln_a.view(np.int32)
             ordered = (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).astype(np.int64)
             best = np.minimum.reduceat((ordered << 32) | place, inner) & 0xFFFFFFFF
@@ -123,23 +126,6 @@ def signatures(column: pa.Array, idf: Idf, bands: int, rows: int):
     return counts, pair[0], pair[1], of_band.view(np.int64)
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def links(texts: pa.Array, sides: np.ndarray, known: np.ndarray, idf: Idf, similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the links of similarity or more between texts of side 0 and side 1 (side 2: both).
 
@@ -154,16 +140,12 @@ def links(texts: pa.Array, sides: np.ndarray, known: np.ndarray, idf: Idf, simil
     _, place = np.unique(h, return_inverse=True)
     total = np.bincount(doc, weights=weight, minlength=n)
     bounds = np.searchsorted(doc, np.arange(n + 1))
-    forest, out = Forest(n), []
-    first: dict[int, int] = {}
-    for k, c in enumerate(known.tolist()):
-        forest.join(first.setdefault(c, k), k)
+    of, out = np.unique(known, return_inverse=True)[1], []
     own = np.zeros(place.max() + 1 if place.size else 0)
     for x in range(n):
         if sides[x] == 1:
             continue
-        roots = np.array([forest.root(y) for y in range(n)])
-        others = roots != roots[x]
+        others = of != of[x]
         others &= sides != 0 if sides[x] == 0 else np.arange(n) > x
         others &= np.minimum(total, total[x]) >= (similarity - 1e-6) * np.maximum(total, total[x])
         if not total[x] or not others.any():
@@ -174,13 +156,17 @@ def links(texts: pa.Array, sides: np.ndarray, known: np.ndarray, idf: Idf, simil
         own[place[a:z]] = 0
         close = both >= (similarity - 1e-6) * (total + total[x] - both)
         for y in np.flatnonzero(close & others).tolist():
-            if forest.join(x, y):
+            if of[x] != of[y]:
                 out.append((x, y))
+                of[of == of[y]] = of[x]
     return out
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node of each component, by alternating large and small stars."""
+def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, label): the smallest node of each component, by alternating large and small stars.
+
+    Rounds grow as the logarithm of the longest path; a labelling that isn't finished after `rounds` is an error.
+    """
     star = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
     state = None
     for _ in range(rounds):
@@ -195,12 +181,14 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components aren't connected after {rounds} rounds")
     return star.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
 def document_frequencies(docs: DataFrame, text_col: str, share: float) -> Idf:
     """Idf from the whole corpus. Words of at least `share` of the documents number at most (mean distinct words) / share."""
-    texts = docs.select(F.col(text_col).alias("_text"))
+    texts = pick(docs, _text=text_col)
 
     def count(batches):
         table, df, docs_n = Table(), np.zeros(0, np.int64), 0
@@ -231,12 +219,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: id_col, cluster_id (the smallest id of its class), kept (it is that id's), n_words.
 
     A class is a component of the links of weighted Jaccard similarity of at least `similarity`. Words are compared with A-Z
-    in lower case. Null, empty and wordless texts are no copies of anything; rows that share an id are one document; a row
-    with a null id has a null cluster and is kept. Other columns are not read.
+    in lower case. Null, empty and wordless texts are no copies of anything; rows that share an id are one document, which
+    is compared by the least of its texts; a row with a null id has a null cluster and is kept; an empty table has no rows;
+    texts of any length are compared whole. Of texts that are equally near nothing is chosen: all links count, and the
+    smallest id names the class. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(document_frequencies(docs, text_col, share))
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    slim = pick(docs, _id=id_col, _text=text_col)
     kind = slim.schema["_id"].dataType.simpleString()
 
     def sign(batches):
@@ -250,14 +240,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(slim.mapInArrow(sign, f"_id {kind}, n_words long, h1 long, h2 long, bands array<long>"), "minhash")
     text_key = ["n_words", "h1", "h2"]
     usable = signed.filter("n_words > 0 and _id is not null")
-    copies = materialize(usable.groupBy(*text_key).agg(F.min("_id").alias("rep"), F.first("bands").alias("bands")), "minhash-classes")
+    copies = materialize(usable.groupBy(*text_key).agg(F.min("_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "minhash-classes")
     placed = copies.select("rep", F.posexplode("bands").alias("band", "h"))
     sizes = placed.groupBy("band", "h").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.min("rep").alias("pivot")).filter("n > 1")
+    sizes = materialize(sizes, "minhash-sizes")
     # buckets with the same members are one bucket
     buckets = sizes.groupBy("n", "s", "pivot").agg(F.min(F.struct("band", "h")).alias("x")).select("n", "pivot", F.col("x.band").alias("band"), F.col("x.h").alias("h"))
-    members = materialize(placed.join(buckets, ["band", "h"]), "minhash-members")
+    members = materialize(join_hot(placed, buckets, ["band", "h"], sizes.filter(F.col("n") > block)), "minhash-members")
     involved = members.select(F.col("rep").alias("_id")).distinct()
-    texts = materialize(slim.join(involved, "_id").join(copies.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi").dropDuplicates(["_id"]), "minhash-texts")
+    texts = materialize(slim.join(involved, "_id").join(copies.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text")), "minhash-texts")
 
     def compare(group: pa.Table) -> pa.Table:
         ids = group.column("rep").combine_chunks()
@@ -279,10 +270,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = compared(members.filter(F.col("n") <= block), None)
     large = members.filter(F.col("n") > block)
     edges = materialize(small, "minhash-links")
+    done = [edges]
     if not large.isEmpty():
         # against one member first: linear in the bucket
         pairs = large.filter("rep <> pivot").select("rep", "pivot").distinct()
-        paired = pairs.join(texts.toDF("rep", "_left"), "rep").join(texts.toDF("pivot", "_right"), "pivot").select("rep", "pivot", "_left", "_right")
+        right = texts.toDF("pivot", "_right").join(pairs.select("pivot").distinct(), "pivot", "left_semi")
+        small_enough = right.agg(F.coalesce(F.sum(F.octet_length("_right").cast("long") + 64), F.lit(0)).alias("b")).first()["b"] <= MAX_PIVOT_BYTES
+        paired = pairs.join(texts.toDF("rep", "_left"), "rep").join(F.broadcast(right) if small_enough else right, "pivot").select("rep", "pivot", "_left", "_right")
 
         def verify(batches):
             for b in batches:
@@ -297,21 +291,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         star = materialize(paired.mapInArrow(verify, edge), "minhash-stars")
         edges = edges.union(star)
         nodes = materialize(connected(edges), "minhash-nodes")
+        done += [star, nodes]
         labelled = large.join(nodes, large.rep == nodes.node, "left").withColumn("label", F.coalesce("label", "rep"))
         mixed = labelled.groupBy("band", "h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band", "h")
         rest = compared(large.join(mixed, ["band", "h"], "left_semi"), nodes)
-        edges = edges.union(materialize(rest, "minhash-rest"))
+        done.append(materialize(rest, "minhash-rest"))
+        edges = edges.union(done[-1])
     nodes = connected(edges)
+    release(*done, sizes, members, texts)
     final = copies.select(*text_key, "rep").join(nodes, F.col("rep") == F.col("node"), "left").select(*text_key, F.coalesce("label", "rep").alias("cluster_id"))
-    judged = usable.select("_id", *text_key).join(final, text_key, "left")
+    judged = join_hot(usable.select("_id", *text_key), final, text_key, copies.filter(F.col("copies") > HOT_COPIES), "left")
     others = signed.filter("n_words = 0 or _id is null").select("_id", *text_key, F.col("_id").alias("cluster_id"))
     out = judged.select("_id", *text_key, "cluster_id").union(others)
     return out.select(F.col("_id").alias(id_col), "cluster_id", F.coalesce(F.col("_id") == F.col("cluster_id"), F.lit(True)).alias("kept"), "n_words")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without near copies: of each class the row with the smallest id stays; of rows with one id, one stays."""
+    """`docs` without near copies, with all columns: of each class the row with the smallest id stays; of rows with one id, one
+    stays; rows with null ids all stay."""
     found = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("_id")).distinct()
-    own = docs.join(found, docs[id_col].eqNullSafe(found["_id"]), "left_semi")
-    named = own.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(own.filter(F.col(id_col).isNull()))
+    numbered, own = plain(docs), f"c{at(docs, id_col)}"
+    named = numbered.join(found, numbered[own] == found["_id"], "left_semi").dropDuplicates([own])
+    return named.unionByName(numbered.filter(F.col(own).isNull())).toDF(*docs.columns)
