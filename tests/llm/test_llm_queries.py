@@ -203,8 +203,13 @@ def test_null_ids(spark):
     assert got == [(1, 1, True), (None, None, True), (None, None, True)]
     assert weighted_minhash.keep_first(df).count() == 3
     assert packing.pack(df).count() == 3 and deleted_interpolation.score(df).count() == 3
-    with pytest.raises(Exception, match="null document id"):
-        simple8b.tokenize_to_segments(df).count()
+    ids = sorted(((r.doc_id, r.start, r.n_tokens) for r in simple8b.tokenize_to_segments(df).collect()), key=lambda r: r[1])
+    assert [r[0] for r in ids] == [None, None, 1] and [r[1] for r in ids] == [0, ids[0][2], ids[0][2] + ids[1][2]]
+    words = df.select(F.when(F.col("doc_id").isNotNull(), "x7").alias("doc_id"), "text")  # ids that aren't integers
+    assert [r.doc_id for r in simple8b.tokenize_to_segments(words).collect()] == [None] * 3
+    labels, items = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    for made in (repetition.repetition_rules(df), neighbours.score_quality(df, labels), toxicity.score_toxicity(df, labels), decontaminate.contamination(df, items)):
+        assert made.count() == 3
 
 
 def test_odd_pages(spark):
