@@ -7,33 +7,29 @@ sequences. Empty tables pass through; what a stage does with nulls and repeated
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tarnwick.llm import decontaminate, neighbours, packing, repetition, weighted_minhash
+from tarnwick.llm.common import materialize, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or repeat too much go."""
-    judged = repetition.repetition_rules(docs)
-    return judged.filter(F.col(judged.columns[-1])["kept"]).select(*docs.columns)
+    """Documents that fail the base rules or repeat too much go; null and empty texts do. Repeated rows are judged alike."""
+    return repetition.passing(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be of quality 1 go."""
-    scored = neighbours.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter(F.col(scored.columns[-1])["predicted"] == 1).select(*docs.columns)
+    """Documents that are not predicted to be of quality 1 go; the labels of the tables' folder are learned from."""
+    return neighbours.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
+    """Of each class of near copies the document with the smallest id stays; of rows with one id, one; rows without id all stay."""
     return weighted_minhash.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages to the contract's share go."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("_contaminated"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_contaminated"]), "left_anti")
+    """Documents that hold benchmark passages to the contract's share go, by their texts, whatever their ids."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Pieces of packed sequences of the documents that all stages keep. Each stage is written once and read by the next."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        made = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            release(before)
+        docs = before = made
+    return STAGES[-1][1](spark, docs, sf_dir)
