@@ -64,12 +64,23 @@ def generate(prompts: DataFrame, load: Callable[[], Callable[[str], str]], colum
     return prompts.mapInPandas(apply, schema)
 
 
-#: Own prompt: what to use, how to cite, what not to do.
+#: Own prompts by source and generation: what to use, how to cite, what not to do.
+PROMPTS = {
+    ("3gpp", 1): "You answer questions about specifications.\nUse the passages alone and name the clause that each statement comes from.\n\nPassages:\n{evidence}\n\nQuestion: {query}\n\nAnswer:",
+    ("hedex", 1): "You answer questions about parameters of network elements.\nUse the passages alone. Give each parameter's name, object, default and range where they stand there.\n\nPassages:\n{evidence}\n\nQuestion: {query}\n\nAnswer:",
+    ("3gpp", 2): "You answer questions about specifications.\nUse the numbered evidence alone. After each statement put the mark of its evidence, such as [E1], and cite clauses only as they stand there, word for word. Say so if the evidence does not answer.\n\nEvidence:\n{evidence}\n\nQuestion: {query}\n\nAnswer:",
+    ("hedex", 2): "You answer questions about parameters of network elements.\nUse the numbered evidence alone. For each parameter give name, object path, default, range and unit as they stand there, with the mark of the evidence, such as [E1]. Leave out what it does not say.\n\nEvidence:\n{evidence}\n\nQuestion: {query}\n\nAnswer:",
+}
+#: Own prompt for any other corpus.
 PROMPT = "You answer questions about one {kind} corpus.\nUse the evidence alone. Cite only references that stand in it, word for word. Say so if it does not answer.\n\nEvidence:\n{evidence}\n\nQuestion: {query}\n\nAnswer:"
 
 
-def prompt(kind: Column, query: Column, evidence: Column) -> Column:
+def prompt(kind: Column, query: Column, evidence: Column, generation: int | None = None) -> Column:
+    """The prompt of `kind` ("3gpp" or "hedex") and generation; the general one for other kinds or without a generation."""
     out = F.lit(PROMPT)
+    for (name, of), text in PROMPTS.items():
+        if of == generation:
+            out = F.when(kind == name, F.lit(text)).otherwise(out)
     for name, c in (("kind", kind), ("query", query), ("evidence", evidence)):
         out = F.replace(out, F.lit("{" + name + "}"), c)
     return out

@@ -14,6 +14,10 @@ from tarnwick.functions import scoring
 from tarnwick.functions.text import query_entities
 
 
+#: Characters of a query that its matches are found by.
+GRAM = 3
+
+
 def entity_targets(queries: DataFrame, id_col: str = "qid", text_col: str = "text") -> DataFrame:
     """(qid, field, value): what a query's names are compared with; a name may be a class or a path."""
     e = queries.select(F.col(id_col).alias("qid"), query_entities(F.col(text_col)).alias("e"))
@@ -29,24 +33,28 @@ def exact_hits(corpus: DataFrame, targets: DataFrame, fields: list[str], limit:
     return targets.join(known, ["field", "value"]).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).select("qid", "doc_id", "field", "value")
 
 
+def _grams(column: str, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.length(column) - n + 1)
+    return F.when(F.length(column) >= n, F.transform(starts, lambda i: F.substring(F.col(column), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def exact_match(corpus: DataFrame, queries: DataFrame, rules: list[tuple[str, str]], limit: int = 5, id_col: str = "doc_id") -> DataFrame:
     """(qid, doc_id, match_type, priority): rules (field, 'eq' or 'contains') in order, `limit` ids each, a document's first rule wins.
 
-    The whole trimmed query is compared. Both are equi-joins: for containment, the distinct values' substrings of the queries' lengths.
+    The whole trimmed query is compared. Both are equi-joins: for containment, distinct values meet the queries whose first
+    `GRAM` characters stand somewhere in them, and only those are compared.
     """
-    q = queries.select("qid", F.trim("text").alias("_q")).filter("_q <> ''")
-    if q.isEmpty():
-        return q.select("qid", F.lit(None).cast(corpus.schema[id_col].dataType).alias("doc_id"), F.lit("").alias("match_type"), F.lit(0).alias("priority"))
+    q = queries.select("qid", F.trim("text").alias("_q")).filter("_q <> ''").withColumn("_g", F.left("_q", F.lit(GRAM)))
     parts = []
     for k, (field, op) in enumerate(rules):
         rows = corpus.select(F.col(id_col).alias("doc_id"), F.col(field).cast("string").alias("_v"))
         if op == "eq":
             hit = q.join(rows, F.col("_q") == F.col("_v"))
         else:
-            sizes = [r[0] for r in q.select(F.length("_q")).distinct().collect()]  # as many as the longest query at most
-            cut = rows.select("_v").distinct().withColumn("_n", F.explode(F.array(*map(F.lit, sizes)))).filter(F.length("_v") >= F.col("_n"))
-            cut = cut.select("_v", F.explode(F.transform(F.sequence(F.lit(1), F.length("_v") - F.col("_n") + 1), lambda i: F.substring(F.col("_v"), i, F.col("_n")))).alias("_q")).distinct()
-            hit = q.join(cut, "_q").join(rows, "_v")
+            grams = F.flatten(F.array(*(_grams("_v", n) for n in range(1, GRAM + 1))))
+            cut = rows.select("_v").distinct().filter("_v <> ''").select("_v", F.explode(F.array_distinct(grams)).alias("_g"))
+            pairs = q.select("_q", "_g").distinct().join(cut, "_g").filter(F.contains("_v", "_q")).select("_q", "_v")
+            hit = q.join(pairs, "_q").join(rows, "_v")
         first = F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))
         parts.append(hit.select("qid", "doc_id").withColumn("_n", first).filter(F.col("_n") <= limit).select("qid", "doc_id", F.lit("exact" if op == "eq" else "exact_contains").alias("match_type"), F.lit(k).alias("priority")))
     every = reduce(DataFrame.unionByName, parts)
@@ -54,12 +62,14 @@ def exact_match(corpus: DataFrame, queries: DataFrame, rules: list[tuple[str, st
     return every.withColumn("_n", best).filter("_n = 1").drop("_n")
 
 
-def merge(exact: DataFrame, vector: DataFrame, bm25: DataFrame, prefix: int = 100) -> DataFrame:
+def merge(exact: DataFrame, vector: DataFrame, bm25: DataFrame, prefix: int = 100, heads: DataFrame | None = None, vector_weight: float = 0.65, bm25_weight: float = 0.35) -> DataFrame:
     """One candidate for each query and text prefix: the first of exact, vector, bm25 (then smallest id) stays, scores are the largest.
 
-    Inputs are candidates; a prefix stands for the text, so pieces that begin alike are one.
+    Inputs are candidates; a prefix stands for the text, so pieces that begin alike are one. With `heads` (doc_id, text) the
+    inputs have no text and get it there: whole texts need not be shuffled before the winners are known.
     """
     every = exact.withColumn("_p", F.lit(0)).unionByName(vector.withColumn("_p", F.lit(1))).unionByName(bm25.withColumn("_p", F.lit(2)))
+    every = every if heads is None else every.join(heads, "doc_id")
     every = every.withColumn("_key", F.left("text", F.lit(prefix)))
     merged = every.groupBy("qid", "_key").agg(
         F.min_by(F.struct("doc_id", "text", "stage"), F.struct("_p", "doc_id")).alias("c"),
@@ -67,7 +77,7 @@ def merge(exact: DataFrame, vector: DataFrame, bm25: DataFrame, prefix: int = 10
         F.max("bm25_score").alias("bm25_score"),
     )
     out = merged.select("qid", "c.doc_id", "c.text", "vector_score", "bm25_score", "c.stage")
-    return out.withColumn("hybrid_score", F.round(scoring.hybrid(F.col("vector_score"), F.col("bm25_score"), F.col("stage")), 8))
+    return out.withColumn("hybrid_score", F.round(scoring.hybrid(F.col("vector_score"), F.col("bm25_score"), F.col("stage"), vector_weight, bm25_weight), 8))
 
 
 def merge_by_id(candidates: DataFrame) -> DataFrame:
@@ -77,10 +87,16 @@ def merge_by_id(candidates: DataFrame) -> DataFrame:
 
 
 def rerank(candidates: DataFrame, scorer, k: int = 30, chars: int = 512) -> DataFrame:
-    """rerank_score of each query's k best by hybrid score, from scorer(query column, text column); a null falls back to the hybrid score."""
+    """rerank_score of each query's k best by hybrid score, from scorer(query column, text column).
+
+    A query of one candidate is not scored: it, and a null score, has the hybrid score.
+    """
     order = Window.partitionBy("qid").orderBy(F.col("hybrid_score").desc(), F.col("doc_id"))
     few = candidates.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
-    return few.withColumn("rerank_score", F.coalesce(scorer(F.col("query"), F.left("text", F.lit(chars))), F.col("hybrid_score")))
+    some = F.count("*").over(Window.partitionBy("qid")) > 1
+    few = few.withColumn("_some", some)
+    score = F.when(F.col("_some"), scorer(F.col("query"), F.left("text", F.lit(chars))))
+    return few.withColumn("rerank_score", F.coalesce(score, F.col("hybrid_score"))).drop("_some")
 
 
 def floor_v1(scored: DataFrame, source: Column, score: str = "score", key: str = "qid") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.operators.index import top
+from tarnwick.sources.shared import stored
 
 #: Bytes of query vectors that one broadcast may hold; more queries are answered in several runs over the corpus.
 MAX_BROADCAST = 64 << 20
@@ -37,7 +38,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 30, id_col: str = "vec_i
     usable = usable.filter(F.size(vector_col) == dims).select(query_id, vector_col)
     rows = corpus.filter(F.size(vector_col) == dims).select(id_col, vector_col)
 
-    def run(j: int) -> DataFrame:
+    def run(j: int):
         part = usable if runs == 1 else usable.filter(F.pmod(F.xxhash64(query_id), F.lit(runs)) == j)
         block = part.toArrow()
         q = _matrix(block.column(vector_col).combine_chunks(), dims)
@@ -58,7 +59,13 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 30, id_col: str = "vec_i
                     at, to = np.nonzero(near >= least[:, None])  # ties at the limit stay, for the final order to settle
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + s)), b.column(0).take(pa.array(to)), pa.array(near[at, to])], [query_id, id_col, "score"])
 
-        return rows.mapInArrow(apply, kinds)
+        return rows.mapInArrow(apply, kinds), shared
 
-    found = reduce(DataFrame.unionByName, [run(j) for j in range(runs)])
-    return top(found, k, key=query_id, tie=id_col)
+    if runs == 1:
+        return top(run(0)[0], k, key=query_id, tie=id_col)
+    done = []
+    for j in range(runs):  # one block of queries is held at a time
+        found, shared = run(j)
+        done.append(stored(top(found, k, key=query_id, tie=id_col), "knn"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, done)

@@ -6,6 +6,7 @@ from tarnwick.functions import text
 from tarnwick.functions import vocab as V
 from tarnwick.operators import chunk
 from tarnwick.plans.registry import query, quoted, table
+from tarnwick.plans.text_queries import _STRIP as STRIP_SQL
 
 #: DuckDB: sliding windows of all documents.
 _WINDOWS_SQL = """cut AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk_idx, substring(text, i * 1000 + 1, 1200) AS chunk FROM (SELECT doc_id, text, unnest(range((length(text) + 999) // 1000)) AS i FROM documents)),
@@ -82,19 +83,43 @@ def clause_chunks_v1(spark, d):
     return made.select("doc_id", "idx", "c.section_number", "c.chunk_type", F.md5(F.col("c.text").cast("binary")).alias("chunk_md5"))
 
 
-@query()
+def _folded_sql(paras: str, fits: str, grown: str, after: str, closes: str) -> str:
+    """DuckDB: paragraphs folded into chunks, one a step for all documents: chunk(doc_id, i, c), i in order."""
+    return f"""WITH RECURSIVE paras AS (SELECT doc_id, {paras} AS ps FROM documents),
+st AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, '' AS cur, CAST(NULL AS VARCHAR) AS done FROM paras
+  UNION ALL SELECT st.doc_id, i + 1, CASE WHEN {fits} THEN {grown} ELSE {after} END, CASE WHEN NOT ({fits}) AND {closes} THEN cur END
+  FROM (SELECT st.*, ps[i + 1] AS p, len(ps) AS n FROM st JOIN paras USING (doc_id)) st WHERE i < n),
+chunk AS (SELECT doc_id, i, done AS c FROM st WHERE done IS NOT NULL UNION ALL SELECT doc_id, i + 1, cur FROM st JOIN paras USING (doc_id) WHERE i = len(ps) AND {closes})"""
+
+
+_PACK_SQL = _folded_sql(
+    "list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n{2,}'), lambda x: " + STRIP_SQL("x") + "), lambda x: x <> '')",
+    "length(cur) + length(p) <= 1200", "CASE WHEN cur = '' THEN p ELSE cur || chr(10) || chr(10) || p END", "p", "length(cur) > 50",
+)
+_OVER_SQL = _folded_sql(
+    "string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))",
+    "length(cur) + length(p) + 2 <= 1200", "CASE WHEN cur = '' THEN p ELSE " + STRIP_SQL("cur || chr(10) || chr(10) || p") + " END",
+    STRIP_SQL("right(cur, 200) || chr(10) || chr(10) || p"), "cur <> ''",
+) + """, whole AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents),
+cut AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx, c FROM chunk JOIN whole USING (doc_id) WHERE length(t) > 1200 UNION ALL SELECT doc_id, 0, t FROM whole WHERE length(t) <= 1200)"""
+
+
+@query(
+    f"""{_OVER_SQL} SELECT doc_id, idx AS sub_chunk, md5({STRIP_SQL("'[TS 38.331]' || chr(10) || chr(10) || c")}) AS chunk_md5 FROM cut
+ WHERE NOT (length({STRIP_SQL('c')}) < 150 OR length(regexp_replace(c, '[^\\p{{L}}]', '', 'g')) < length({STRIP_SQL('c')}) * 0.25)"""
+)
 def simple_chunks(spark, d):
     made = documents(spark, d).select("doc_id", F.explode(chunk.simple_chunks(F.regexp_replace("text", "\n", "\n\n"), F.lit("TS 38.331"))).alias("c"))
     return made.select("doc_id", "c.sub_chunk", F.md5(F.col("c.text").cast("binary")).alias("chunk_md5"))
 
 
-@query()
+@query(f"{_PACK_SQL} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx, md5(c) AS chunk_md5, CAST(length(c) AS INTEGER) AS n_chars FROM chunk")
 def paragraph_pack(spark, d):
     made = documents(spark, d).select("doc_id", F.posexplode(chunk.pack(F.regexp_replace("text", "\n", "\n\n"))).alias("idx", "c"))
     return made.select("doc_id", "idx", F.md5(F.col("c").cast("binary")).alias("chunk_md5"), F.length("c").alias("n_chars"))
 
 
-@query()
+@query(f"{_OVER_SQL} SELECT doc_id, idx, md5(c) AS chunk_md5, CAST(length(c) AS INTEGER) AS n_chars FROM cut")
 def paragraph_pack_overlap(spark, d):
     made = documents(spark, d).select("doc_id", F.posexplode(chunk.pack_overlap(F.regexp_replace("text", "\n", "\n\n"))).alias("idx", "c"))
     return made.select("doc_id", "idx", F.md5(F.col("c").cast("binary")).alias("chunk_md5"), F.length("c").alias("n_chars"))

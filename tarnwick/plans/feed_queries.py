@@ -74,7 +74,7 @@ def ttl_purge(spark, d):
     return both.groupBy("event_type").agg(F.count_if(F.col("k") == 1).alias("kept"), F.count_if(F.col("k") == 0).alias("removed"))
 
 
-@query()
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, d):
     """Events as a stream: one event of each user and type within the watermark."""
     from tarnwick.streaming.dedup import run_once

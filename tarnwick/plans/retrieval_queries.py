@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import scoring
 from tarnwick.operators import models, retrieval, vector
-from tarnwick.plans.registry import query, table
-from tarnwick.plans.text_queries import BM25_SQL, _named, _NAMES_SQL, search
+from tarnwick.plans.registry import query, quoted, table
+from tarnwick.plans.text_queries import BM25_SQL, _named, _NAMES_SQL, search, tokens_sql
 from tarnwick.functions import vocab as V
 
 # -- candidates: item i asks for source 'src(i % 20)' exactly, and its vector is that of vec_id i -----------------
@@ -31,17 +31,25 @@ def _parts(spark, d):
     targets = items.select(F.col("item_id").alias("qid"), F.lit("source").alias("field"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("value"))
     vecs = table(spark, d, "embeddings")
     asked = items.select(F.col("item_id").alias("qid")).join(vecs, F.col("qid") == F.col("vec_id")).select("qid", "embedding")
-    text = docs.select("doc_id", "text")
-    row = lambda df, v, b, s: df.join(text, "doc_id").select("qid", "doc_id", "text", v.alias("vector_score"), b.alias("bm25_score"), F.lit(s).alias("stage"))
+    row = lambda df, v, b, s: df.select("qid", "doc_id", v.alias("vector_score"), b.alias("bm25_score"), F.lit(s).alias("stage"))
     zero, one = F.lit(0.0), F.lit(1.0)
     exact = row(retrieval.exact_hits(docs, targets, ["source"]), zero, one, 0)
     near = row(vector.knn(vecs, asked).withColumnRenamed("vec_id", "doc_id"), F.col("score"), zero, 1)
     return exact, near, row(search(spark, d), zero, F.col("bm25"), 1)
 
 
+def _heads(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.left("text", F.lit(100)).alias("text"))
+
+
+def _whole(spark, d, found):
+    """Whole texts for what is left of the candidates."""
+    return found.drop("text").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
 def candidates(spark, d):
-    """Merged candidates, with a score that stands for a reranker's logit: 10 x hybrid - 4."""
-    return retrieval.merge(*_parts(spark, d)).withColumn("score", F.round(F.col("hybrid_score") * 10 - 4, 7))
+    """Merged candidates, with a score that stands for a reranker's logit: 10 x hybrid - 4. Their texts are heads."""
+    return retrieval.merge(*_parts(spark, d), heads=_heads(spark, d)).withColumn("score", F.round(F.col("hybrid_score") * 10 - 4, 7))
 
 
 @query(
@@ -57,7 +65,7 @@ def vector_topk(spark, d):
 
 @query(f"WITH {CANDIDATES_SQL} SELECT qid, doc_id, vector_score, bm25_score, stage FROM merged")
 def hybrid_merge(spark, d):
-    return retrieval.merge(*_parts(spark, d)).select("qid", "doc_id", "vector_score", "bm25_score", "stage")
+    return retrieval.merge(*_parts(spark, d), heads=_heads(spark, d)).select("qid", "doc_id", "vector_score", "bm25_score", "stage")
 
 
 @query(f"WITH {CANDIDATES_SQL} SELECT qid, doc_id, hybrid_score FROM hybrid")
@@ -72,10 +80,15 @@ def hybrid_topk(spark, d):
     return top(candidates(spark, d), 30, by="hybrid_score").select("qid", "doc_id", "hybrid_score", "rank")
 
 
-@query()
+_OVERLAP_SQL = f"""{CANDIDATES_SQL}, few AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hybrid_score DESC, doc_id) AS o FROM hybrid) WHERE o <= 30),
+pair AS (SELECT qid, doc_id, stage, hybrid_score, n, list_distinct({tokens_sql('b.text')}) AS own, list_distinct({tokens_sql('left(d.text, 512)')}) AS other FROM few JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = qid),
+again AS (SELECT qid, doc_id, stage, CASE WHEN n > 1 THEN CAST(round(10 * len(list_intersect(own, other)) / greatest(len(own), 1) - 5, 6) AS DOUBLE) ELSE hybrid_score END AS rerank_score FROM pair)"""
+
+
+@query(f"WITH {_OVERLAP_SQL} SELECT * FROM (SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN stage = 0 THEN 0 ELSE 1 END, rerank_score DESC, doc_id) AS INTEGER) AS rank, rerank_score FROM again) WHERE rank <= 8")
 def rerank_topn(spark, d):
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    scored = retrieval.rerank(candidates(spark, d).join(queries, "qid"), models.overlap_score)
+    scored = retrieval.rerank(_whole(spark, d, candidates(spark, d)).join(queries, "qid"), models.overlap_score)
     return retrieval.final(scored, 8, "rerank_score").select("qid", "doc_id", "rank", "rerank_score")
 
 
@@ -148,14 +161,25 @@ def panel_confidence(spark, d):
 
 @query(f"WITH {CANDIDATES_SQL}, {_KEPT_SQL} SELECT qid, string_agg('[E' || rank || '] doc ' || doc_id || ' (score=' || printf('%.2f', round(score, 2)) || ')' || chr(10) || left(text, 800), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS evidence FROM final GROUP BY qid")
 def evidence_block(spark, d):
-    return retrieval.evidence_block(_final(spark, d).withColumn("citation", F.concat(F.lit("doc "), F.col("doc_id").cast("string"))))
+    return _evidence(spark, d)
+
+
+def _evidence(spark, d):
+    return retrieval.evidence_block(_whole(spark, d, _final(spark, d)).withColumn("citation", F.concat(F.lit("doc "), F.col("doc_id").cast("string"))))
 
 
-@query()
+_EVIDENCE_SQL = "string_agg('[E' || rank || '] doc ' || doc_id || ' (score=' || printf('%.2f', round(score, 2)) || ')' || chr(10) || left(d.text, 800), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)"
+_PROMPT_SQL = " ".join(f"WHEN '{name}' THEN {quoted([text])}" for (name, of), text in models.PROMPTS.items() if of == 2)
+
+
+@query(
+    f"""WITH {CANDIDATES_SQL}, {_KEPT_SQL}, ev AS (SELECT qid, {_EVIDENCE_SQL} AS evidence FROM final JOIN documents d USING (doc_id) GROUP BY qid)
+SELECT qid, md5(replace(replace(replace(CASE {_LABEL_SQL} {_PROMPT_SQL} ELSE {quoted([models.PROMPT])} END, '{{kind}}', {_LABEL_SQL}), '{{query}}', text), '{{evidence}}', evidence)) AS prompt_md5 FROM ev JOIN benchmark ON item_id = qid"""
+)
 def prompt_build(spark, d):
-    evidence = retrieval.evidence_block(_final(spark, d).withColumn("citation", F.concat(F.lit("doc "), F.col("doc_id").cast("string"))))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return evidence.join(asked, "qid").select("qid", models.prompt(F.lit("specification"), F.col("text"), F.col("evidence")).alias("prompt"))
+    made = models.prompt(_label(), F.col("text"), F.col("evidence"), 2)
+    return _evidence(spark, d).join(asked, "qid").select("qid", F.md5(made.cast("binary")).alias("prompt_md5"))
 
 
 _MATCHES_SQL = f"""{CANDIDATES_SQL}, {_KEPT_SQL}, matched AS (SELECT *, CASE WHEN stage = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'exact' ELSE 'exact_contains' END ELSE 'vector' END AS match_type FROM final)"""
@@ -172,6 +196,28 @@ def match_type_counts(spark, d):
     return _matched(spark, d).groupBy("qid").agg(F.count_if(exact).alias("n_exact"), F.count_if(~exact).alias("n_vector"))
 
 
+_ENGINE_SQL = f"""{BM25_SQL}, vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS (SELECT * FROM (SELECT qid, vec_id AS doc_id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS n
+  FROM (SELECT b.item_id AS qid, v.vec_id, {_KNN_SQL} AS s FROM benchmark b JOIN vecs q ON b.item_id = q.vec_id, vecs v JOIN documents ON vec_id = doc_id)) WHERE n <= 30),
+cand AS (SELECT qid, doc_id, s AS v, 0 AS b, 1 AS p FROM near UNION ALL SELECT qid, doc_id, 0, bm25, 2 FROM hits),
+merged AS (SELECT qid, arg_min(doc_id, p * 1000000000 + doc_id) AS doc_id, max(v) AS v, max(b) AS b FROM cand JOIN documents USING (doc_id) GROUP BY qid, left(text, 100)),
+hybrid AS (SELECT qid, doc_id, 1 AS stage, round(0.65 * v + 0.35 * b, 8) AS hybrid_score FROM merged),
+{_OVERLAP_SQL[len(CANDIDATES_SQL) + 2:]},
+ranked AS (SELECT *, rerank_score AS score FROM again), {_KEPT_SQL.replace(_FLOOR_SQL, '-3.0')}"""
+
+
+@query(f"WITH {_ENGINE_SQL} SELECT qid, rank, doc_id, score, CAST(least(100, greatest(0, trunc((score + 5) / 10 * 100))) AS INTEGER) AS confidence, stage FROM final")
+def engine_answer(spark, d):
+    """The facade's whole request path over documents and their vectors, without expansion: items bring their own vectors."""
+    from tarnwick.api import Engine, Settings
+
+    docs, vecs = table(spark, d, "documents"), table(spark, d, "embeddings")
+    docs.join(vecs.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").select("doc_id", "text", "embedding").createOrReplaceTempView("engine_documents")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text").join(vecs.select(F.col("vec_id").alias("qid"), "embedding"), "qid", "left")
+    found = Engine(spark, Settings(max_terms=0)).query(items, "engine_documents")
+    return found.select("qid", "rank", "doc_id", "score", "confidence", "stage")
+
+
 _SCORE_LABEL = "CASE WHEN s >= 0.8 THEN 'High' WHEN s >= 0.65 THEN 'Medium' WHEN s >= 0.45 THEN 'Low' ELSE 'Not found' END"
 
 

@@ -100,7 +100,7 @@ def test_python_functions(spark):
     assert one(spark, python.normalise_switch, "CONN VONR EPS FB ADAPT SW is ON OFF") == "CONN_VONR_EPS_FB_ADAPT_SW is ON OFF"
     assert one(spark, python.extract_json, 'so: {"a": {"b": 1}} and {"c": 2}') == '{"a":{"b":1}}'
     assert one(spark, python.extract_json, "nothing") is None
-    assert python.join_capitals(None) is None
+    assert one(spark, python.normalise_switch, None) is None
 
 
 def test_parameter_metadata(spark):

@@ -203,9 +203,45 @@ def test_engine(spark):
     assert got[0].stage == 0 and "t3xx" in got[0].text
     assert {r.collection: r.status for r in engine.stats([name, "none"]).collect()} == {name: "ok", "none": "not_ingested"}
     assert engine.health().first().status == "ok"
+    assert {"embedding", "ingested_at"} <= set(spark.table(name).columns)
+    # the vector stage and the weights: words that no chunk has, and a vector that one chunk has
+    chunk = spark.table(name).orderBy("doc_id").first()
+    lost = spark.createDataFrame([(5, "zzzz", chunk.embedding)], "qid long, text string, embedding array<float>")
+    seen = engine.query(lost, name, scorer=lambda q, t: F.lit(None).cast("double")).collect()
+    assert seen[0].doc_id == chunk.doc_id and abs(seen[0].score - 0.65) < 1e-6
+    other = Engine(spark, Settings(vector_weight=0.2, bm25_weight=0.8)).query(lost, name, scorer=lambda q, t: F.lit(None).cast("double")).collect()
+    assert abs(other[0].score - 0.2) < 1e-6
+    asked = spark.createDataFrame([(1, "what is t3xx in 3.1")], "qid long, text string")
+    found = engine.query_sources(asked, {"3gpp": name, "hedex": name})
+    assert {r.source for r in found.collect()} == {"3gpp", "hedex"}
+    parts = engine.answer_parts(found.filter("source = '3gpp'"), asked).first()
+    assert "t3xx" in parts.prompt and "[E1]" in parts.prompt and parts.confidence >= 75 and parts.n_evidence >= 1
+    answers, evidence = spark.createDataFrame([(1, "see §5.3.5 and §9.9.9")], "qid long, answer string"), spark.createDataFrame([(1, "as §5.3.5 says")], "qid long, evidence string")
+    assert engine.checked(answers, evidence).first().answer == "see §5.3.5 and [§ref]"
+    stamps = spark.sql("select 1 as id, timestamp'2024-01-01' as inserted_at union all select 2, timestamp'2024-03-20'")
+    assert [r.id for r in engine.purge_seen(stamps, F.lit("2024-04-15").cast("timestamp"))[0].collect()] == [2]
     spark.sql(f"drop table {name}")
 
 
+def test_vectors_in_blocks(spark, monkeypatch):
+    from tarnwick.operators import vector
+
+    rows = [(k, [float((k * 7 + j * j) % 11 - 5) for j in range(8)]) for k in range(60)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = corpus.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "qid")
+    whole = sorted(map(tuple, vector.knn(corpus, asked, 5).collect()))
+    monkeypatch.setattr(vector, "MAX_BROADCAST", 8 * 8 * 6)
+    assert sorted(map(tuple, vector.knn(corpus, asked, 5).collect())) == whole
+
+
+def test_containment(spark):
+    corpus = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, None), (4, "")], "doc_id long, v string")
+    asked = spark.createDataFrame([(1, "a b"), (2, " ta "), (3, "beta"), (4, "x"), (5, "  "), (6, "p")], "qid long, text string")
+    got = {(r.qid, r.doc_id, r.match_type) for r in retrieval.exact_match(corpus, asked, [("v", "eq"), ("v", "contains")]).collect()}
+    assert got == {(1, 1, "exact_contains"), (2, 1, "exact_contains"), (2, 2, "exact_contains"), (3, 2, "exact"), (3, 1, "exact_contains"), (6, 1, "exact_contains")}
+    assert retrieval.exact_match(corpus, asked.limit(0), [("v", "contains")]).count() == 0
+
+
 def test_sinks(spark):
     from tarnwick.sources import sinks
 
