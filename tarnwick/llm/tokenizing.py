@@ -60,7 +60,7 @@ class _Lists:
 class Encoder:
     """encode_flat(texts) gives the library's own ids of many texts; `limit` and `part_limit` bound the words and letter runs held."""
 
-    def __init__(self, path: str | None = None, limit: int = 2_000_000, part_limit: int = 1_000_000):
+    def __init__(self, path: str | None = None, limit: int = 800_000, part_limit: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         path = path or default_path()

@@ -58,6 +58,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Bytes of text that are hashed at a time.
+_BLOCK = 600_000
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down, up_p, down_p = _powers(data.size)
+    total, values = np.empty(data.size + 1, np.uint64), data.astype(np.uint64) + np.uint64(1)
+    total[0] = 0
+    np.cumsum(values * up[: data.size], out=total[1:])
+    h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    values *= up_p[: data.size]
+    np.cumsum(values if data.size < 1 << 24 else _fold(values), out=total[1:])
+    residue = _modulo(_fold(total[ends] - total[starts]) * down_p[starts])
+    return mix(h ^ residue * np.uint64(_MIX)) | np.uint64(1)
+
+
 class Words:
     """Words of a slice: starts and ends in `data`, hashes (never 0), and `counts` of each text."""
 
@@ -76,15 +92,13 @@ class Words:
         if data.size and inside[0]:
             turn = np.concatenate([[0], turn])
         self.starts, self.ends = turn[0::2], turn[1::2]  # a text ends with a line feed, so every start has an end
-        up, down, up_p, down_p = _powers(data.size)
-        total, values = np.empty(data.size + 1, np.uint64), data.astype(np.uint64) + np.uint64(1)
-        total[0] = 0
-        np.cumsum(values * up[: data.size], out=total[1:])
-        h = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
-        terms = values * up_p[: data.size]
-        np.cumsum(terms if data.size < 1 << 24 else _fold(terms), out=total[1:])
-        residue = _modulo(_fold(total[self.ends] - total[self.starts]) * down_p[self.starts])
-        self.hashes = mix(h ^ residue * np.uint64(_MIX)) | np.uint64(1)
+        self.hashes = np.empty(self.starts.size, np.uint64)
+        k = 0
+        while k < self.starts.size:  # blocks of whole words, so that a very long text takes no more room than many short ones
+            base = self.starts[k]
+            e = max(k + 1, int(np.searchsorted(self.ends, base + _BLOCK, side="right")))
+            self.hashes[k:e] = _hashes(data[base : self.ends[e - 1]], self.starts[k:e] - base, self.ends[k:e] - base)
+            k = e
         self.counts = np.diff(np.searchsorted(self.starts, bounds)) if len(texts) else np.zeros(0, np.int64)
 
     def __len__(self) -> int:
