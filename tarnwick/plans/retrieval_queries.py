@@ -246,6 +246,7 @@ SELECT qid, doc_id, match_type FROM (SELECT *, row_number() OVER (PARTITION BY q
 def merge_by_id_v1(spark, d):
     exact, near, _ = _parts(spark, d)
     one = exact.select("qid", "doc_id", F.lit("exact").alias("match_type"), F.lit(0).alias("priority"))
+    near = near.join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_semi")
     two = near.select("qid", "doc_id", F.lit("vector").alias("match_type"), F.lit(1).alias("priority"))
     return retrieval.merge_by_id(one.unionByName(two)).select("qid", "doc_id", "match_type")
 
