@@ -57,4 +57,15 @@ its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
-ORACLES = {"op2_repetition": REPETITION, "op3_url_rules": URL_RULES, "op4_host_suffix_array": HTML_TEXT, "op5_decontaminate": DECONTAMINATE}
+RANKED = f"""
+WITH {_words("d", "documents", "doc_id")}, {_words("i", "benchmark", "item_id")},
+post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2),
+tot AS (SELECT CAST(count(*) FILTER (WHERE len(w) > 0) AS BIGINT) AS n_all, CAST(sum(len(w)) AS BIGINT) AS l_all FROM d),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * max(n_all) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post, tot GROUP BY term),
+m AS (SELECT doc_id, 10 + (90 * len(w) * n_all) // l_all AS m FROM d, tot),
+q AS (SELECT item_id, unnest(list_distinct(w)) AS term FROM i),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN wt USING (term) JOIN post USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+ORACLES = {"op2_repetition": REPETITION, "op3_url_rules": URL_RULES, "op4_host_suffix_array": HTML_TEXT, "op5_decontaminate": DECONTAMINATE, "op12_inverted_treaps": RANKED}
