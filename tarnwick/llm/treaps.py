@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import pick, release, shuffle_partitions
+from tarnwick.llm.common import materialize, pick
 from tarnwick.llm.decontaminate import words_of
 from tarnwick.llm.packed import write_chunks
 from tarnwick.llm.words import trim
@@ -44,7 +45,7 @@ _LOWER[0x41:0x5B] += 32
 @dataclass(frozen=True)
 class Treaps:
     """lists: (chunk, term, docs, impacts, lefts, sizes), and a row with null term and the ids of each shard; n_docs with a
-    term, n_terms with repeats. The table is deleted by release()."""
+    term, n_terms with repeats."""
 
     lists: DataFrame
     n_docs: int
@@ -293,14 +294,11 @@ def search(index: Treaps, items: DataFrame, k: int = 10, item_id: str = "item_id
     numbered = t.select("_id", F.array_distinct(words_of(F.col("_text"))).alias("terms")).filter(F.size("terms") > 0)
     pairs = numbered.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = -(-pairs // max_pairs) or 1
-    parts = []
-    for block in range(blocks):
-        mine = numbered if blocks == 1 else numbered.filter(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == block)
-        found = _search_block(spark, index, mine.toArrow(), k, kind)
-        parts.append(found)
-    hits = parts[0]
-    for more in parts[1:]:
-        hits = hits.unionByName(more)
+    if blocks > 1:  # written, so that each item is in one block
+        numbered = materialize(numbered.withColumn("_b", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))), "items")
+    of_block = lambda b: numbered if blocks == 1 else numbered.filter(F.col("_b") == b)
+    parts = [_search_block(spark, index, of_block(b).select("_id", "terms").toArrow(), k, kind).withColumn("_n", F.col("_n") + (b << 32)) for b in range(blocks)]
+    hits = reduce(DataFrame.unionByName, parts)
     # by score alone first: ids are only fetched for what may be among the k best
     close = hits.withColumn("_r", F.rank().over(Window.partitionBy("_n").orderBy(F.desc("score")))).filter(F.col("_r") <= k)
     ids = index.lists.filter("term is null").select("chunk", "ids")
