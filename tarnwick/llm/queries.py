@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import decontaminate, deleted_interpolation, html_text, neighbours, oracles, packing, repetition, simple8b, toxicity, treaps, turn_repair, url_rules, weighted_minhash
+from tarnwick.llm import decontaminate, deleted_interpolation, html_text, neighbours, oracles, packing, prefix_forest, repetition, simple8b, toxicity, treaps, turn_repair, url_rules, weighted_minhash
 from tarnwick.llm.common import table
 
 
@@ -51,6 +51,12 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.tokenize_to_segments(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest `embeddings` of each whose id is divisible by 50, among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return prefix_forest.search(prefix_forest.build(vectors), vectors.filter("vec_id % 50 = 0"))
+
+
 def op12_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best `documents` of each `benchmark` item, from treaps of all terms of all documents."""
     return treaps.search(treaps.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
@@ -61,5 +67,5 @@ def op13_turn_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")), dropped_col="dropped")
 
 
-QUERIES = {f.__name__: f for f in (op1_weighted_minhash, op2_repetition, op3_url_rules, op4_host_suffix_array, op5_decontaminate, op6_toxicity, op7_neighbours, op8_packing, op9_deleted_interpolation, op10_simple8b, op12_inverted_treaps, op13_turn_matrices)}
+QUERIES = {f.__name__: f for f in (op1_weighted_minhash, op2_repetition, op3_url_rules, op4_host_suffix_array, op5_decontaminate, op6_toxicity, op7_neighbours, op8_packing, op9_deleted_interpolation, op10_simple8b, op11_prefix_forest, op12_inverted_treaps, op13_turn_matrices)}
 ORACLES = oracles.ORACLES
