@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.functions import vocab as V
@@ -55,6 +55,11 @@ def expand_v1(q: Column, table: dict[str, list[str]] | None = None) -> Column:
     return F.when(F.size(own) > 0, F.concat(q, F.lit(" "), F.array_join(own, " "))).otherwise(q)
 
 
+def dictionary_sizes(dictionary: DataFrame, topic: str, term: str, trigger: str) -> DataFrame:
+    """(topic, n_terms, n_triggers) of a dictionary that is a table, each counted once a topic."""
+    return dictionary.groupBy(F.col(topic).alias("topic")).agg(F.countDistinct(term).alias("n_terms"), F.countDistinct(trigger).alias("n_triggers"))
+
+
 def source_votes(q: Column) -> tuple[Column, Column]:
     low = F.lower(q)
     count = lambda ws: sum((low.contains(w).cast("int") for w in ws), F.lit(0))

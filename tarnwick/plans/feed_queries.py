@@ -125,26 +125,23 @@ def payload_json(spark, d):
     return full.drop("brand").select(F.to_json(F.struct("issue_number", "issue_date", "sections")).alias("payload"))
 
 
-_SECTIONS_SQL = "sec(id, number, title, eyebrow, meta) AS (VALUES " + ", ".join(f"({quoted(s)})" for s in V.SECTIONS) + ")"
-
-
 @query(
-    f"""WITH {_SECTIONS_SQL} SELECT id AS section, CAST(i + 1 AS INTEGER) AS pos, title || ': Sample headline ' || (i + 1) AS title, split_part(meta, ' · ', 1) AS source,
- array_to_string(string_split(eyebrow, ' · ')[1:5], '|') AS keywords, array_to_string(string_split(meta, ' · ')[1:2], '|') AS vendors, CAST(95 - 3 * i AS INTEGER) AS score FROM sec, range(6) t(i)"""
+    """WITH lead AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation)
+SELECT r_name AS section, CAST(i AS INTEGER) AS pos, r_name || ': trade of ' || n_name AS title, n_name AS source, array_to_string([r_name, n_name, 'trade', 'orders', 'parts'], '|') AS keywords,
+ array_to_string([n_name, r_name], '|') AS vendors, CAST(98 - 3 * i AS INTEGER) AS score FROM lead JOIN region ON n_regionkey = r_regionkey WHERE i <= 6"""
 )
 def demo_payload(spark, d):
-    sections = spark.createDataFrame(V.SECTIONS, "id string, number string, title string, eyebrow string, meta string")
-    # six sample entries for each of the few sections
-    rows = sections.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
-    split = lambda c, n: F.array_join(F.slice(F.split(c, " · "), 1, n), "|")
+    """A sample issue: a section a region, an entry for each of its first six nations."""
+    lead = feed.first_n(table(spark, d, "nation"), "n_regionkey", "n_nationkey", 6)
+    rows = lead.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.select(
-        F.col("id").alias("section"),
-        (F.col("i") + 1).alias("pos"),
-        F.concat("title", F.lit(": Sample headline "), (F.col("i") + 1).cast("string")).alias("title"),
-        F.split_part("meta", F.lit(" · "), F.lit(1)).alias("source"),
-        split("eyebrow", 5).alias("keywords"),
-        split("meta", 2).alias("vendors"),
-        (95 - 3 * F.col("i")).alias("score"),
+        F.col("r_name").alias("section"),
+        "pos",
+        F.concat("r_name", F.lit(": trade of "), "n_name").alias("title"),
+        F.col("n_name").alias("source"),
+        F.concat_ws("|", "r_name", "n_name", F.lit("trade"), F.lit("orders"), F.lit("parts")).alias("keywords"),
+        F.concat_ws("|", "n_name", "r_name").alias("vendors"),
+        (98 - 3 * F.col("pos")).alias("score"),
     )
 
 

@@ -6,6 +6,7 @@ from tarnwick.functions import python, scoring, text
 from tarnwick.functions import vocab as V
 from tarnwick.operators import expand, index
 from tarnwick.plans.registry import query, quoted, table
+from tarnwick.sources.shared import fingerprint
 
 #: DuckDB: tokens of a text expression.
 def tokens_sql(c: str) -> str:
@@ -36,9 +37,9 @@ _INDEXES: dict = {}
 
 
 def built(spark, d):
-    """The index of a folder's documents, written once for a session and the files that it was made from."""
+    """The index of a folder's documents, written once for a session and the files that it was made from: names, sizes, times."""
     docs = documents(spark, d)
-    key = (spark.sparkContext.applicationId, d, tuple(sorted(docs.inputFiles())))
+    key = (spark.sparkContext.applicationId, d, fingerprint(spark, docs.inputFiles()))
     if key not in _INDEXES:
         _INDEXES[key] = index.build(docs)
     return _INDEXES[key]
@@ -343,10 +344,10 @@ def expand_query_v1(spark, d):
     return _asked(spark, d).select("qid", expand.expand_v1(F.col("text")).alias("expanded"))
 
 
-@query(f"WITH {_TERMS_SQL} SELECT count(*) AS n_terms FROM dict")
+@query("SELECT p_brand AS topic, count(DISTINCT p_type) AS n_terms, count(DISTINCT p_name) AS n_triggers FROM part GROUP BY p_brand")
 def expansion_term_count(spark, d):
-    rows = [(t, ws) for t, ws in V.TERMS.items()]
-    return spark.createDataFrame(rows, "topic string, terms array<string>").agg(F.sum(F.size("terms")).alias("n_terms"))
+    """Sizes of an expansion dictionary that is kept as a table: topics are brands."""
+    return expand.dictionary_sizes(table(spark, d, "part"), "p_brand", "p_type", "p_name")
 
 
 _VOTES = lambda ws: " + ".join(f"CAST(contains(lower(text), {quoted([w])}) AS INTEGER)" for w in ws)
