@@ -82,6 +82,20 @@ def stream_dedup(spark, d):
     return run_once(spark, d, "events", ["user_id", "event_type"], "ts", "90 days")
 
 
+@query(
+    """WITH RECURSIVE passed AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2
+  UNION ALL SELECT user_id, event_type, min(e.ts) AS ts FROM passed p JOIN events e USING (user_id, event_type) WHERE e.ts >= p.ts + INTERVAL 5 DAY GROUP BY user_id, event_type),
+held AS (SELECT p.user_id, p.event_type, p.ts, count(*) AS n FROM passed p JOIN events e ON e.user_id = p.user_id AND e.event_type = p.event_type AND e.ts >= p.ts AND e.ts < p.ts + INTERVAL 5 DAY GROUP BY ALL)
+SELECT user_id, event_type, ts, 'passed' AS kind, CAST(1 AS BIGINT) AS n FROM passed
+UNION ALL SELECT user_id, event_type, ts, 'purged', n FROM held WHERE ts + INTERVAL 5 DAY <= (SELECT max(ts) FROM events)"""
+)
+def stream_seen(spark, d):
+    """Events as a stream: each user and type is remembered for five days; what passes and what is forgotten."""
+    from tarnwick.streaming.seen import run_once
+
+    return run_once(spark, f"{d}/events.parquet", ["user_id", "event_type"], "ts", 5)
+
+
 _SCORED_SQL = "scored AS (SELECT doc_id, source AS section, CAST(quality * 60 + doc_id % 41 AS INTEGER) AS score FROM documents JOIN labels USING (doc_id))"
 
 

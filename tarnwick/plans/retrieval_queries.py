@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tarnwick.functions import scoring
-from tarnwick.operators import models, retrieval, vector
+from tarnwick.operators import ivf, models, retrieval, vector
 from tarnwick.plans.registry import query, quoted, table
 from tarnwick.plans.text_queries import BM25_SQL, _named, _NAMES_SQL, search, tokens_sql
 from tarnwick.functions import vocab as V
@@ -52,17 +52,28 @@ def candidates(spark, d):
     return retrieval.merge(*_parts(spark, d), heads=_heads(spark, d)).withColumn("score", F.round(F.col("hybrid_score") * 10 - 4, 7))
 
 
-@query(
+_VECTOR_SQL = (
     f"""WITH vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
 SELECT qid, vec_id, score, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS n
  FROM (SELECT q.vec_id AS qid, v.vec_id, {_KNN_SQL} AS score FROM vecs q, vecs v WHERE q.vec_id % 50 = 0)) WHERE n <= 30"""
 )
+
+
+@query(_VECTOR_SQL)
 def vector_topk(spark, d):
     """Queries are the rows whose id is divisible by 50, against all rows."""
     vecs = table(spark, d, "embeddings")
     return vector.knn(vecs, vecs.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"))
 
 
+@query(_VECTOR_SQL)
+def vector_ivf(spark, d):
+    """The answer of vector_topk through the inverted file, all lists probed."""
+    v = table(spark, d, "embeddings")
+    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return ivf.search(ivf.build(v), asked)
+
+
 @query(f"WITH {CANDIDATES_SQL} SELECT qid, doc_id, vector_score, bm25_score, stage FROM merged")
 def hybrid_merge(spark, d):
     return retrieval.merge(*_parts(spark, d), heads=_heads(spark, d)).select("qid", "doc_id", "vector_score", "bm25_score", "stage")

@@ -33,3 +33,12 @@ def fingerprint(spark: SparkSession, files) -> tuple:
         status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
         found.append((name, status.getLen(), status.getModificationTime()))
     return tuple(found)
+
+
+def stored_buckets(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Like stored(), in buckets of the columns `by`, so that grouping or joining by them needs no shuffle of this side."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    df.write.bucketBy(n, *by).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
