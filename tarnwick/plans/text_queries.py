@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import python, scoring, text
 from tarnwick.functions import vocab as V
-from tarnwick.operators import expand, index
+from tarnwick.operators import blockmax, expand, index
 from tarnwick.plans.registry import query, quoted, table
 from tarnwick.sources.shared import fingerprint
 
@@ -70,6 +70,13 @@ def bm25_topk(spark, d):
     return search(spark, d).select(F.col("qid").alias("item_id"), "doc_id", "rank", "score")
 
 
+@query(f"WITH {BM25_SQL} SELECT qid AS item_id, doc_id, rank, score FROM hits")
+def bm25_pruned(spark, d):
+    """The rows of bm25_topk, found by block bounds."""
+    found = blockmax.search(blockmax.build(built(spark, d)), table(spark, d, "benchmark"))
+    return found.hits.select(F.col("qid").alias("item_id"), "doc_id", "rank", "score")
+
+
 @query(f"WITH {BM25_SQL} SELECT qid AS item_id, doc_id, rank, bm25 FROM hits")
 def bm25_normalised(spark, d):
     return search(spark, d).select(F.col("qid").alias("item_id"), "doc_id", "rank", "bm25")
