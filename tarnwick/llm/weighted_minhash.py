@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import at, join_hot, materialize, pick, plain, release
+from tarnwick.llm.common import MAX_KEYS, at, join_hot, materialize, pick, plain, release
 from tarnwick.llm.words import Table, Words, mix, slices
 
 SHINGLE = 5
@@ -162,12 +162,40 @@ def links(texts: pa.Array, sides: np.ndarray, known: np.ndarray, idf: Idf, simil
     return out
 
 
-def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, label): the smallest node of each component, by alternating large and small stars.
+def forest(batches):
+    """Of a task's links: each node with the smallest that it is connected to."""
+    root: dict = {}
 
-    Rounds grow as the logarithm of the longest path; a labelling that isn't finished after `rounds` is an error.
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    if kind is not None:
+        nodes = [x for x in root if root[x] != x]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["a", "b"])
+
+
+def connected(edges: DataFrame, rounds: int = 100, few: int = MAX_KEYS) -> DataFrame:
+    """(node, label): the smallest node of each component, for nodes other than that; a table of its own, for release().
+
+    Each task first contracts the links that it has. What is left, if no more than `few` links, is contracted by one
+    task; else by alternating large and small stars, whose rounds grow as the logarithm of the longest path. A labelling that
+    isn't finished after `rounds` is an error.
     """
-    star = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
+    kind = edges.schema["a"].dataType.simpleString()
+    star = materialize(edges.mapInArrow(forest, f"a {kind}, b {kind}"), "links")
+    if star.count() <= few:
+        done = materialize(star.coalesce(1).mapInArrow(forest, f"a {kind}, b {kind}").toDF("node", "label"), "components")
+        release(star)
+        return done
     state = None
     for _ in range(rounds):
         both = star.select("a", "b").union(star.select(F.col("b"), F.col("a")))
@@ -176,14 +204,17 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
-        star = small.filter("a <> b").distinct().checkpoint()
+        before, star = star, materialize(small.filter("a <> b").distinct(), "links")
+        release(before)
         new = star.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:
             break
         state = new
     else:
         raise RuntimeError(f"components aren't connected after {rounds} rounds")
-    return star.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    done = materialize(star.toDF("node", "label"), "components")
+    release(star)
+    return done
 
 
 def document_frequencies(docs: DataFrame, text_col: str, share: float) -> Idf:
@@ -215,7 +246,7 @@ def document_frequencies(docs: DataFrame, text_col: str, share: float) -> Idf:
     return Idf(got.column("h").to_numpy().view(np.uint64), got.column("df").to_numpy(), n_docs, share)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 12, rows: int = 4, share: float = 1e-3, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 12, rows: int = 4, share: float = 1e-3, block: int = 512, block_words: int = 1_000_000) -> DataFrame:
     """Per row: id_col, cluster_id (the smallest id of its class), kept (it is that id's), n_words.
 
     A class is a component of the links of weighted Jaccard similarity of at least `similarity`. Words are compared with A-Z
@@ -241,12 +272,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text_key = ["n_words", "h1", "h2"]
     usable = signed.filter("n_words > 0 and _id is not null")
     copies = materialize(usable.groupBy(*text_key).agg(F.min("_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "minhash-classes")
-    placed = copies.select("rep", F.posexplode("bands").alias("band", "h"))
-    sizes = placed.groupBy("band", "h").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.min("rep").alias("pivot")).filter("n > 1")
+    placed = copies.select("rep", "n_words", F.posexplode("bands").alias("band", "h"))
+    sizes = placed.groupBy("band", "h").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.min("rep").alias("pivot")).filter("n > 1")
     sizes = materialize(sizes, "minhash-sizes")
     # buckets with the same members are one bucket
-    buckets = sizes.groupBy("n", "s", "pivot").agg(F.min(F.struct("band", "h")).alias("x")).select("n", "pivot", F.col("x.band").alias("band"), F.col("x.h").alias("h"))
-    members = materialize(join_hot(placed, buckets, ["band", "h"], sizes.filter(F.col("n") > block)), "minhash-members")
+    buckets = sizes.groupBy("n", "words", "s", "pivot").agg(F.min(F.struct("band", "h")).alias("x")).select("n", "words", "pivot", F.col("x.band").alias("band"), F.col("x.h").alias("h"))
+    members = materialize(join_hot(placed.drop("n_words"), buckets, ["band", "h"], sizes.filter(F.col("n") > block)), "minhash-members")
     involved = members.select(F.col("rep").alias("_id")).distinct()
     texts = materialize(slim.join(involved, "_id").join(copies.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text")), "minhash-texts")
 
@@ -258,8 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edge = f"a {kind}, b {kind}"
 
     def compared(rows: DataFrame, nodes: DataFrame | None) -> DataFrame:
-        """Links of buckets, by pairs of blocks."""
-        blocks = F.ceil(F.col("n") / block).cast("int")
+        """Links of buckets, by pairs of blocks of about `block` texts and `block_words` words."""
+        blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("words") / block_words)).cast("int")
         own = rows.withColumn("_i", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
         own = own.select("band", "h", "rep", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), F.when(F.col("_i") == F.col("_j"), 2).when(F.col("_i") < F.col("_j"), 0).otherwise(1).alias("side"))
         # numbers of what is connected already; a document by itself has its own
@@ -290,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         star = materialize(paired.mapInArrow(verify, edge), "minhash-stars")
         edges = edges.union(star)
-        nodes = materialize(connected(edges), "minhash-nodes")
+        nodes = connected(edges)
         done += [star, nodes]
         labelled = large.join(nodes, large.rep == nodes.node, "left").withColumn("label", F.coalesce("label", "rep"))
         mixed = labelled.groupBy("band", "h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band", "h")

@@ -223,6 +223,7 @@ def test_hot_keys_and_unfinished_components(spark):
         for how, n in (("inner", 20), ("left", 31)):
             assert join_hot(left, right, ["key"], hot.select("key"), how).count() == n
     path = spark.createDataFrame([(k, k + 1) for k in range(64)], "a long, b long")
-    assert {r.label for r in weighted_minhash.connected(path).collect()} == {0}
+    for few in (0, 1000):  # by stars, by one task
+        assert {(r.node, r.label) for r in weighted_minhash.connected(path.repartition(5), few=few).collect()} == {(k, 0) for k in range(1, 65)}
     with pytest.raises(RuntimeError, match="aren't connected"):
-        weighted_minhash.connected(path, rounds=2)
+        weighted_minhash.connected(path.repartition(5), rounds=2, few=0)
