@@ -146,10 +146,22 @@ def suffix_classes(codes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return rank[at] if widths else np.unique(codes[at], return_inverse=True)[1]
 
 
-def pages_of(classes: np.ndarray, page: np.ndarray, n: int) -> np.ndarray:
-    """On how many pages each of n classes stands; page: that of each occurrence."""
+#: What a page counts; of n equal pages of a host each counts UNIT div n.
+UNIT = 1 << 40
+
+
+def pages_of(classes: np.ndarray, page: np.ndarray, n: int, weight: np.ndarray) -> np.ndarray:
+    """What the pages that each of n classes stands on count together; page: that of each occurrence; weight: what each page counts."""
     key = np.unique(classes * (np.int64(page.max(initial=0)) + 1) + page)
-    return np.bincount(key // (np.int64(page.max(initial=0)) + 1), minlength=n)
+    of, page = np.divmod(key, np.int64(page.max(initial=0)) + 1)
+    out = np.zeros(n, np.int64)
+    np.add.at(out, of, weight[page])
+    return out
+
+
+def whole_pages(counts: np.ndarray) -> np.ndarray:
+    """Of what pages count together, their number: n equal pages lack less than n / UNIT of one."""
+    return (counts + UNIT // 2) // UNIT
 
 
 #: A run on so many pages of a host at least, and on half of them, is part of the host's template even inside articles.
@@ -183,7 +195,8 @@ class Stream:
     """The pages of a chunk, laid end to end: words, the first words of its runs of `min_words`, and their anchors."""
 
     def __init__(self, row: pa.Table, min_words: int):
-        self.ids, self.urls, self.inside, hosts, self.n_blocks, self.texts = (row.column(k).combine_chunks().flatten() for k in ("ids", "urls", "inside", "hosts", "n_blocks", "texts"))
+        self.ids, self.urls, self.inside, hosts, self.n_blocks, self.texts, copies = (row.column(k).combine_chunks().flatten() for k in ("ids", "urls", "inside", "hosts", "n_blocks", "texts", "copies"))
+        self.weight = UNIT // copies.to_numpy()
         n_blocks = self.n_blocks.to_numpy()
         words = [Words(self.texts.slice(k, n)) for k, n in slices(self.texts)] or [Words(self.texts)]
         self.counts, self.min_words = np.concatenate([w.counts for w in words]), min_words
@@ -202,7 +215,7 @@ class Stream:
         return mix(h)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted distinct hashes of anchors, on how many pages of the chunk each stands, number of each run's anchor)."""
+        """(sorted distinct hashes of anchors, what the chunk's pages with each count, number of each run's anchor)."""
         width = min(ANCHOR, self.min_words)
         every = self._hash(np.arange(max(self.page.size - width + 1, 0)), width)
         least = every[self.at]
@@ -213,12 +226,12 @@ class Stream:
         turn = np.ones(least.size, bool)
         turn[1:] = (least[1:] != least[:-1]) | (page[1:] != page[:-1])
         keys, of = np.unique(least[turn], return_inverse=True)
-        return keys, pages_of(of, page[turn], keys.size), of[np.cumsum(turn) - 1]
+        return keys, pages_of(of, page[turn], keys.size, self.weight), of[np.cumsum(turn) - 1]
 
     def runs(self, told: pa.Table) -> None:
         """Keep the runs whose anchors stand on two pages of their host, and sort them into classes."""
         _, _, of = self.anchors()
-        self.at = self.at[answers(told, "pages", width=4)[of] > 1] if of.size else self.at
+        self.at = self.at[whole_pages(answers(told, "pages"))[of] > 1] if of.size else self.at
         classes = suffix_classes(self.words, self.at, self.min_words) if self.at.size else self.at
         n = int(classes.max(initial=-1)) + 1
         first = np.zeros(n, np.int64)
@@ -236,43 +249,45 @@ class Stream:
 
 def _chunks(rows: DataFrame, kind: str, chunk_bytes: int) -> DataFrame:
     """Pages' blocks outside marked-up boilerplate, in chunks of about `chunk_bytes` of text."""
-    names = ["chunk", "ids", "urls", "hosts", "sizes", "n_blocks", "texts", "inside", "n_words"]
+    names = ["chunk", "ids", "urls", "hosts", "sizes", "copies", "n_blocks", "texts", "inside", "n_words"]
 
     def parse(batches):
         task, seq, held = TaskContext.get().partitionId(), 0, 0
-        ids, urls, hosts, sizes, found = [], [], [], [], []
+        ids, urls, hosts, sizes, copies, found = [], [], [], [], [], []
 
         def flush():
             flat = [x for b in found for x in b]
-            lists = [pa.concat_arrays(x) for x in (ids, urls, hosts, sizes)]
+            lists = [pa.concat_arrays(x) for x in (ids, urls, hosts, sizes, copies)]
             lists += [pa.array([len(b) for b in found], pa.int32()), pa.array([t for t, _ in flat], pa.string()), pa.array([a for _, a in flat], pa.bool_())]
             own = [pa.array([(task << 24) + seq])] + [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
             return pa.RecordBatch.from_arrays([*own, pa.array([sum(t.count(" ") + 1 for t, _ in flat)])], names)
 
         for b in batches:
-            for k, n in slices(b.column(4)):
+            for k, n in slices(b.column(5)):
                 cut = b.slice(k, n)
-                for x, j in ((ids, 0), (urls, 1), (hosts, 2), (sizes, 3)):
+                for x, j in ((ids, 0), (urls, 1), (hosts, 2), (sizes, 3), (copies, 4)):
                     x.append(cut.column(j))
-                got = [blocks(p) for p in cut.column(4).to_pylist()]
+                got = [blocks(p) for p in cut.column(5).to_pylist()]
                 found += got
                 held += sum(len(t) for x in got for t, _ in x) + 64 * n
                 if held >= chunk_bytes:
                     yield flush()
-                    seq, ids, urls, hosts, sizes, found, held = seq + 1, [], [], [], [], [], 0
+                    seq, ids, urls, hosts, sizes, copies, found, held = seq + 1, [], [], [], [], [], [], 0
         if found:
             yield flush()
         trim()
 
-    schema = f"chunk long, ids array<{kind}>, urls array<string>, hosts array<long>, sizes array<long>, n_blocks array<int>, texts array<string>, inside array<boolean>, n_words long"
+    schema = f"chunk long, ids array<{kind}>, urls array<string>, hosts array<long>, sizes array<long>, copies array<long>, n_blocks array<int>, texts array<string>, inside array<boolean>, n_words long"
     return write_chunks(rows.mapInArrow(parse, schema), "html_chunks")
 
 
 def _added(group: pa.Table) -> pa.Table:
-    """Of each key that a chunk sent: on how many pages it stands in all."""
-    cuts, keys, of, _, (own,) = gathered(group, 1)
-    every = totals(of, own, keys.size)[of]
-    back = pa.array([squeeze(every[a:e]) for a, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+    """Of each key that a chunk sent: what all pages that it stands on count."""
+    cuts, keys, of, _, (own,) = gathered(group, 1, 8)
+    total = np.zeros(keys.size, np.int64)
+    np.add.at(total, of, own)
+    every = total[of]
+    back = pa.array([squeeze(every[a:e], 8) for a, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
     return pa.Table.from_arrays([group.column("chunk"), group.column("range"), group.column("size"), back], ["chunk", "range", "size", "pages"])
 
 
@@ -289,17 +304,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     words than the articles.
 
     Null and empty pages have an empty text, and an empty table has no rows. Pages without a host form a host of their own.
-    Repeated rows and exact copies are pages of their own: without an article they cover each other, so that nothing of them
-    stays. A page of any length is read whole; it is a chunk of its own if it is longer than `chunk_bytes`. The result does
+    Equal pages of a host, repeated rows among them, count as one page and keep the same text. A page of any length is read whole; it is a chunk of its own if it is longer than `chunk_bytes`. The result does
     not depend on how pages fall into chunks. Other columns are not read, whatever their names.
     """
     df = pick(pages, _id=id_col, _url=url_col, _html=html_col)
     df = df.withColumn("_host", F.lower(F.regexp_extract(F.coalesce(F.col("_url"), F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1)))
-    hosts = df.groupBy("_host").agg(F.count("*").alias("_n"))
+    df = df.withColumn("_key", F.xxhash64("_host", F.sha2(F.coalesce(F.col("_html"), F.lit("")).cast("binary"), 256)))
+    # equal pages of a host are one page: slim rows tell how many there are of each
+    equal = materialize(df.groupBy("_host", "_key").agg(F.count("*").alias("_copies")), "html-pages")
+    hosts = equal.groupBy("_host").agg(F.count("*").alias("_n"))
     small = hosts.count() <= MAX_BROADCAST
     sized = df.join(F.broadcast(hosts) if small else hosts, "_host")
+    several = equal.filter("_copies > 1").select("_key", "_copies")
+    few = several.count() <= MAX_BROADCAST
+    sized = sized.join(F.broadcast(several) if few else several, "_key", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
     kind = df.schema["_id"].dataType.simpleString()
-    chunks = _chunks(sized.select("_id", "_url", F.xxhash64("_host").alias("_host"), "_n", "_html"), kind, chunk_bytes)
+    chunks = _chunks(sized.select("_id", "_url", F.xxhash64("_host").alias("_host"), "_n", "_copies", "_html"), kind, chunk_bytes)
     spark = chunks.sparkSession
     n_words = int(chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"])
     bounds = key_bounds(spark, n_words // 3, range_rows)
@@ -311,7 +331,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for k in range(b.num_rows):
                 row = pa.Table.from_batches([b.slice(k, 1)])
                 keys, own, _ = Stream(row, min_words).anchors()
-                yield to_ranges(row.column("chunk")[0].as_py(), keys, [own], bounds)
+                yield to_ranges(row.column("chunk")[0].as_py(), keys, [own], bounds, 8)
                 trim()
 
     one = materialize(content.mapInArrow(first, sent_schema(1)).groupBy("range").applyInArrow(_added, told), "html-anchors")
@@ -320,7 +340,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         stream = Stream(left, min_words)
         stream.runs(by_range(right))
         trim()
-        return pa.Table.from_batches([to_ranges(left.column("chunk")[0].as_py(), stream.keys, [pages_of(stream.of, stream.page[stream.at], stream.keys.size)], bounds)])
+        return pa.Table.from_batches([to_ranges(left.column("chunk")[0].as_py(), stream.keys, [pages_of(stream.of, stream.page[stream.at], stream.keys.size, stream.weight)], bounds, 8)])
 
     sent = content.groupBy("chunk").cogroup(one.groupBy("chunk")).applyInArrow(second, sent_schema(1))
     two = sent.groupBy("range").applyInArrow(_added, told)
@@ -329,7 +349,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         anchors, runs = (by_range(right.filter(pa.array(right.column("round").to_numpy() == k))) for k in (1, 2))
         stream = Stream(left, min_words)
         stream.runs(anchors)
-        pages = answers(runs, "pages", width=4)[stream.of] if stream.of.size else stream.of
+        pages = whole_pages(answers(runs, "pages"))[stream.of] if stream.of.size else stream.of
         least = np.maximum(TEMPLATE_PAGES, (left.column("sizes").combine_chunks().flatten().to_numpy() + 1) // 2)
         covered = stream.covered(stream.at[pages > 1])
         template = stream.covered(stream.at[pages >= least[stream.page[stream.at]]])

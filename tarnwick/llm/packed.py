@@ -47,17 +47,17 @@ def sent_schema(values: int) -> str:
     return "range int, chunk long, size int, keys binary" + "".join(f", v{k} binary" for k in range(values))
 
 
-def to_ranges(chunk: int, keys: np.ndarray, values: list[np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
+def to_ranges(chunk: int, keys: np.ndarray, values: list[np.ndarray], bounds: np.ndarray, width: int = 4) -> pa.RecordBatch:
     """A row for each range that a chunk has some of its sorted distinct keys in."""
     cuts = np.append(np.searchsorted(keys, bounds), keys.size).tolist()
     own = [(r, a, e) for r, (a, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > a]
     columns = [pa.array([r for r, _, _ in own], pa.int32()), pa.array([chunk] * len(own), pa.int64()), pa.array([e - a for _, a, e in own], pa.int32())]
     columns.append(pa.array([squeeze(np.diff(keys[a:e], prepend=np.uint64(0)), 8) for _, a, e in own], pa.binary()))
-    columns += [pa.array([squeeze(x[a:e]) for _, a, e in own], pa.binary()) for x in values]
+    columns += [pa.array([squeeze(x[a:e], width) for _, a, e in own], pa.binary()) for x in values]
     return pa.RecordBatch.from_arrays(columns, ["range", "chunk", "size", "keys", *(f"v{k}" for k in range(len(values)))])
 
 
-def gathered(group: pa.Table, values: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def gathered(group: pa.Table, values: int, width: int = 4) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of a range: (first and last place of each row's keys, distinct keys, number of each sent key, order of the sent keys by
     key, values as sent)."""
     sizes = group.column("size").to_pylist()
@@ -67,7 +67,7 @@ def gathered(group: pa.Table, values: int) -> tuple[list[int], np.ndarray, np.nd
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
     first, of = np.flatnonzero(new), np.empty(order.size, np.int64)
     of[order] = np.cumsum(new) - 1
-    own = [np.concatenate([unsqueeze(x.as_buffer(), n) for x, n in zip(group.column(f"v{k}"), sizes, strict=True)]).astype(np.int64) for k in range(values)]
+    own = [np.concatenate([unsqueeze(x.as_buffer(), n, width) for x, n in zip(group.column(f"v{k}"), sizes, strict=True)]).astype(np.int64) for k in range(values)]
     return np.cumsum([0, *sizes]).tolist(), keys[first], of, order, own
 
 

@@ -19,7 +19,7 @@ def uncovered(pages, m=10):
     on, split = defaultdict(set), {k: " ".join(b).split() for k, b in pages.items()}
     for k, ws in split.items():
         for i in range(len(ws) - m + 1):
-            on[tuple(ws[i : i + m])].add(k)
+            on[tuple(ws[i : i + m])].add(tuple(pages[k]))  # equal pages are one page
     out = {}
     for k, ws in split.items():
         gone = {i + j for i in range(len(ws) - m + 1) if len(on[tuple(ws[i : i + m])]) > 1 for j in range(m)}
@@ -72,3 +72,18 @@ def test_short_runs_of_any_length(spark):
         wanted = uncovered({k: [" ".join(b)] for k, b in pages.items()}, m)
         got = {x.page_id: x.text for x in html_text.extract(df, min_words=m, chunk_bytes=2000, range_rows=300).collect()}
         assert got == wanted, m
+
+
+def test_equal_pages_are_one(spark):
+    """A page, its mirror and a repeated row keep their text; what another page has too goes from all of them."""
+    r = random.Random(2)
+    words = lambda k: " ".join(f"w{r.randrange(100_000)}" for _ in range(k))
+    own, shared, other, lone = words(40), words(15), words(30), words(25)
+    page = f"<p>{own}</p><p>{shared}</p>"
+    rows = [(1, "http://m.example.net/a", page), (2, "https://m.example.net/a", page), (2, "https://m.example.net/a", page), (3, "http://m.example.net/b", f"<p>{other}</p><p>{shared}</p>")]
+    rows += [(k, f"http://n.example.net/{k}", f"<p>{lone}</p>") for k in range(10, 40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    wanted = {1: own, 2: own, 3: other} | dict.fromkeys(range(10, 40), lone)
+    for settings in ({}, {"chunk_bytes": 300, "range_rows": 20}):
+        got = html_text.extract(df, **settings).collect()
+        assert len(got) == len(rows) and {x.page_id: x.text for x in got} == wanted
