@@ -2,8 +2,8 @@
 
 The tokenizers library spends most of its time normalising and pre-splitting. Where a tokenizer
 drops white space before it splits, each white-space word's ids depend on that word alone. So words
-are hashed and numbered, ids are kept by word in one flat array, and a batch's ids are gathered from
-there with NumPy. New words are split by the tokenizer's own rule and their letter runs encoded in
+are numbered by their bytes, ids are kept by word in one flat array, and a batch's ids are gathered from
+there with NumPy; no two words share a number. New words are split by the tokenizer's own rule and their letter runs encoded in
 one call of a bare copy of the model; words with other than Latin letters go to the library itself.
 """
 
@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from tarnwick.llm.words import Table, Words
+from tarnwick.llm.words import word_array
 
 #: Latin letters that lower-casing and NFC leave alone, after lower-casing: ranges of U+00C0 to U+024F.
 _LATIN = "ß-öø-ɏ"
@@ -60,7 +60,7 @@ class _Lists:
 class Encoder:
     """encode_flat(texts) gives the library's own ids of many texts; `limit` and `part_limit` bound the words and letter runs held."""
 
-    def __init__(self, path: str | None = None, limit: int = 800_000, part_limit: int = 400_000):
+    def __init__(self, path: str | None = None, limit: int = 400_000, part_limit: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         path = path or default_path()
@@ -78,10 +78,12 @@ class Encoder:
         self._clear_parts()
 
     def _clear_words(self) -> None:
-        self.table, self.word_ids = Table(), _Lists()
+        self.numbers: dict[bytes, int] = {}
+        self.word_ids = _Lists()
 
     def _clear_parts(self) -> None:
-        self.parts, self.part_ids = Table(), _Lists()
+        self.parts: dict[str, int] = {}
+        self.part_ids = _Lists()
 
     @staticmethod
     def _drops_white_space(spec: dict) -> bool:
@@ -106,18 +108,16 @@ class Encoder:
         """Ids of n words, which "\n" joins."""
         found = _PIECE.findall(lowered)
         ends = np.fromiter(map("\n".__eq__, found), bool, len(found))
-        pieces = Words(pa.array(["\n".join(found)], pa.string()))  # pieces hold no white space, so they are its words
-        codes = self.parts.lookup(pieces.hashes)
-        missing = np.flatnonzero(codes < 0)
-        if missing.size:
-            new, first = np.unique(pieces.hashes[missing], return_index=True)
-            self.parts.insert(new)
-            ids = np.array(self.bare.encode_batch_fast([" ".join(pieces.strings(missing[first]))], add_special_tokens=False)[0].ids, np.uint32)
+        pieces = [x for x in found if x != "\n"]
+        new = [x for x in dict.fromkeys(pieces) if x not in self.parts]
+        if new:
+            ids = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if cuts.size != new.size:
+            if cuts.size != len(new):
                 raise ValueError("the model's end-of-word tokens don't mark every piece")
             self.part_ids.extend(ids, np.diff(np.concatenate([[0], cuts])))
-            codes[missing] = self.parts.lookup(pieces.hashes[missing])
+            self.parts.update(zip(new, range(len(self.parts), len(self.parts) + len(new)), strict=True))
+        codes = np.fromiter(map(self.parts.__getitem__, pieces), np.int64, len(pieces))
         ids, sizes = self.part_ids.gather(codes)
         return ids, np.bincount(np.cumsum(ends)[~ends], weights=sizes, minlength=n).astype(np.int64)
 
@@ -140,18 +140,18 @@ class Encoder:
         if self.by_word:
             if self.word_ids.n > self.limit:
                 self._clear_words()
-            if self.parts.n > self.part_limit:
+            if len(self.parts) > self.part_limit:
                 self._clear_parts()
-            words = Words(texts)
-            codes = self.table.lookup(words.hashes)
-            missing = np.flatnonzero(codes < 0)
-            if missing.size:
-                new, first = np.unique(words.hashes[missing], return_index=True)
-                self.table.insert(new)
-                self._learn(words.strings(missing[first]))
-                codes[missing] = self.table.lookup(words.hashes[missing])
+            words, counts = word_array(texts)
+            coded = words.dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            new = [w for w in names if w not in self.numbers]
+            if new:
+                self._learn([w.decode("utf-8", "replace") for w in new])
+                self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+            codes = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
             ids, sizes = self.word_ids.gather(codes)
-            cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(words.counts)])]
+            cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
             sizes = np.diff(cuts)
         else:
             ids, sizes = self._library([t or "" for t in texts.to_pylist()])

@@ -74,24 +74,37 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix(h ^ residue * np.uint64(_MIX)) | np.uint64(1)
 
 
+def _cut(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, a line feed after each; starts and ends of words; number of words of each text)."""
+    joined = pc.binary_join_element_wise(pc.coalesce(texts.cast(pa.large_string()), pa.scalar("", pa.large_string())), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
+    bounds = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+    data = np.frombuffer(joined.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if len(joined) else np.empty(0, np.uint8)
+    bounds = bounds - (bounds[0] if len(joined) else 0)
+    if lower:
+        data = _LOWER[data]
+    inside = ~_SPACE[data]
+    turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if data.size and inside[0]:
+        turn = np.concatenate([[0], turn])
+    starts, ends = turn[0::2], turn[1::2]  # a text ends with a line feed, so every start has an end
+    return data, starts, ends, np.diff(np.searchsorted(starts, bounds)) if len(texts) else np.zeros(0, np.int64)
+
+
+def word_array(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts in order, as bytes; number of words of each text): for what must tell words apart for certain."""
+    data, starts, ends, counts = _cut(texts, False)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), starts.size, [None, pa.py_buffer(offsets), pa.py_buffer(data[~_SPACE[data]])]), counts
+
+
 class Words:
     """Words of a slice: starts and ends in `data`, hashes (never 0), and `counts` of each text."""
 
     __slots__ = ("data", "starts", "ends", "hashes", "counts")
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        joined = pc.binary_join_element_wise(pc.coalesce(texts.cast(pa.large_string()), pa.scalar("", pa.large_string())), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
-        bounds = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
-        data = np.frombuffer(joined.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if len(joined) else np.empty(0, np.uint8)
-        bounds = bounds - (bounds[0] if len(joined) else 0)
-        if lower:
-            data = _LOWER[data]
+        data, self.starts, self.ends, self.counts = _cut(texts, lower)
         self.data = data
-        inside = ~_SPACE[data]
-        turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        if data.size and inside[0]:
-            turn = np.concatenate([[0], turn])
-        self.starts, self.ends = turn[0::2], turn[1::2]  # a text ends with a line feed, so every start has an end
         self.hashes = np.empty(self.starts.size, np.uint64)
         k = 0
         while k < self.starts.size:  # blocks of whole words, so that a very long text takes no more room than many short ones
@@ -99,7 +112,6 @@ class Words:
             e = max(k + 1, int(np.searchsorted(self.ends, base + _BLOCK, side="right")))
             self.hashes[k:e] = _hashes(data[base : self.ends[e - 1]], self.starts[k:e] - base, self.ends[k:e] - base)
             k = e
-        self.counts = np.diff(np.searchsorted(self.starts, bounds)) if len(texts) else np.zeros(0, np.int64)
 
     def __len__(self) -> int:
         return self.starts.size
