@@ -227,3 +227,22 @@ def test_hot_keys_and_unfinished_components(spark):
         assert {(r.node, r.label) for r in weighted_minhash.connected(path.repartition(5), few=few).collect()} == {(k, 0) for k in range(1, 65)}
     with pytest.raises(RuntimeError, match="aren't connected"):
         weighted_minhash.connected(path.repartition(5), rounds=2, few=0)
+
+
+def test_words_with_equal_hashes(spark, monkeypatch):
+    """Ids don't depend on hashes: with one hash for all words they are still the library's, and packing and segments agree."""
+    from tokenizers import Tokenizer
+
+    from tarnwick.llm import words
+
+    monkeypatch.setattr(words, "_hashes", lambda data, starts, ends: np.ones(starts.size, np.uint64))
+    library = Tokenizer.from_file(default_path())
+    texts = [*REGULAR, "one two three two", "Ünder the straße, don't!", "\u0101\u0436 mixed 42", None, ""]
+    flat, sizes = Encoder().encode_flat(pa.array(texts))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_does_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces = lambda df: sorted(map(tuple, packing.pack(df).collect()))
+    assert pieces(docs.coalesce(1)) == pieces(docs.repartition(7))
