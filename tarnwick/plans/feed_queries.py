@@ -44,6 +44,37 @@ def feed_first_n(spark, d):
     return feed.first_n(_items(spark, d), "feed", "page_id").select("feed", "page_id", "pos")
 
 
+_ENTRY_SQL = r"""page AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host, page_id // 20 AS part FROM pages),
+feeds AS (SELECT *, host || '/' || part AS feed, CAST(row_number() OVER (PARTITION BY host, part ORDER BY page_id) AS INTEGER) AS pos FROM page)"""
+
+
+def _feeds(spark, d):
+    """(feed, content): RSS and Atom documents of the pages of a host, for each 20 ids; every fifth lacks its end."""
+    p = table(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.floor(F.col("page_id") / 20).alias("part"))
+    title = text.html_escape(F.concat(F.lit("Page <"), F.col("page_id").cast("string"), F.lit("> & more")))
+    rss = F.concat(F.lit("<item><title> "), title, F.lit("</title><link>"), text.html_escape(F.col("url")), F.lit("</link><description><![CDATA[<p>Sum]]></description></item>"))
+    atom = F.concat(F.lit("<entry><title>"), title, F.lit("</title><link rel='self' href='x'/><link href='"), text.html_escape(F.col("url")), F.lit("'/><updated>2026-03-23</updated></entry>"))
+    is_rss = F.col("part") % 2 == 0
+    per = p.withColumn("e", F.struct("page_id", F.when(is_rss, rss).otherwise(atom).alias("x"))).groupBy("host", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["x"]), "\n").alias("body"))
+    feed_name = F.concat("host", F.lit("/"), F.col("part").cast("string"))
+    begin = F.when(is_rss, F.concat(F.lit("<rss version='2.0'><channel><title>"), "host", F.lit("</title>"))).otherwise("<feed xmlns='http://www.w3.org/2005/Atom'>")
+    end = F.when(F.col("part") % 5 == 4, "").when(is_rss, "</channel></rss>").otherwise("</feed>")
+    return per.select(feed_name.alias("feed"), F.concat(begin, "body", end).alias("content"))
+
+
+@query(
+    f"""WITH {_ENTRY_SQL}
+SELECT feed, pos, 'Page <' || page_id || '> & more' AS title, url, CASE WHEN part % 2 = 0 THEN '<p>Sum' END AS summary, CASE WHEN part % 2 = 1 THEN '2026-03-23' END AS published, CASE WHEN part % 2 = 0 THEN host ELSE feed END AS source, false AS faulty FROM feeds
+UNION ALL SELECT DISTINCT feed, 0, NULL, NULL, NULL, NULL, NULL, true FROM feeds WHERE part % 5 = 4"""
+)
+def feed_entries(spark, d):
+    """Entries and faults of feed documents made of the pages."""
+    from tarnwick.sources import feeds
+
+    made = feeds.entries(_feeds(spark, d))
+    return made.withColumn("pos", F.coalesce("pos", F.lit(0))).withColumn("faulty", F.col("error").isNotNull()).drop("error")
+
+
 _SEEN_SQL = "seen AS (SELECT sha256(lower(trim(url))) AS url_hash, url, page_id FROM pages WHERE page_id % 3 = 0)"
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import python, scoring, text
 from tarnwick.functions import vocab as V
-from tarnwick.operators import blockmax, expand, index
+from tarnwick.operators import blockmax, expand, index, triggers
 from tarnwick.plans.registry import query, quoted, table
 from tarnwick.sources.shared import fingerprint
 
@@ -327,6 +327,26 @@ def detect_topics(spark, d):
     return _asked(spark, d).select("qid", F.array_join(expand.detect_topics(F.col("text")), ",").alias("topics"))
 
 
+@query(f"WITH {_TOPICS_SQL} SELECT qid, coalesce(string_agg(topic, ',' ORDER BY topic), '') AS topics FROM asked LEFT JOIN topics USING (qid) GROUP BY qid")
+def trigger_topics(spark, d):
+    """The topics of detect_topics by one automaton."""
+    words = spark.createDataFrame([(t, w) for t, ws in V.TRIGGERS.items() for w in ws], "topic string, word string")
+    return triggers.topics(_asked(spark, d), words).select("qid", F.array_join("topics", ",").alias("topics"))
+
+
+@query(
+    r"""WITH ws AS (SELECT item_id, string_split_regex(lower(text), '[^\p{L}]+') AS w FROM benchmark), pairs AS (SELECT DISTINCT item_id, w[k] || ' ' || w[k + 1] AS word FROM (SELECT item_id, w, unnest(range(1, len(w))) AS k FROM ws)),
+hits AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS topic FROM documents JOIN pairs ON contains(lower(text), word) WHERE length(word) >= 14)
+SELECT doc_id, count(topic) AS n_items, coalesce(string_agg(topic, ',' ORDER BY topic), '') AS items FROM documents LEFT JOIN hits USING (doc_id) GROUP BY doc_id"""
+)
+def document_mentions(spark, d):
+    """Benchmark items of which a document has two long words that follow each other: thousands of triggers at once."""
+    w = table(spark, d, "benchmark").select(F.col("item_id").alias("topic"), F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
+    pairs = w.select("topic", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.concat(F.get("w", k - 1), F.lit(" "), F.get("w", k)))).alias("word")).filter(F.length("word") >= 14)
+    found = triggers.topics(documents(spark, d), pairs.distinct(), "doc_id")
+    return found.select("doc_id", F.size("topics").cast("long").alias("n_items"), F.array_join("topics", ",").alias("items"))
+
+
 @query(f"WITH {_FOUND_SQL} SELECT qid, coalesce(string_agg(term, ',' ORDER BY o), '') AS terms, count(term) AS n FROM asked LEFT JOIN found USING (qid) GROUP BY qid")
 def expansion_terms_all(spark, d):
     t = expand.all_terms(F.col("text"))
