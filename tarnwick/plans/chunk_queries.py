@@ -70,22 +70,9 @@ def clause_boundaries(spark, d):
     return found.select("doc_id", "pos", "c.number", "c.heading")
 
 
-@query()
-def clause_chunks(spark, d):
-    """Clause chunks of headed documents; tests compare with a plain restatement."""
-    made = _headed(spark, d).select("doc_id", F.posexplode(chunk.clause_chunks(F.col("text"), F.lit("TS 38.331"))).alias("idx", "c"))
-    return made.select("doc_id", "idx", "c.section_number", "c.sub_chunk", F.md5(F.col("c.text").cast("binary")).alias("chunk_md5"))
-
-
-@query()
-def clause_chunks_v1(spark, d):
-    made = _headed(spark, d).select("doc_id", F.posexplode(chunk.clause_chunks_v1(F.col("text"))).alias("idx", "c"))
-    return made.select("doc_id", "idx", "c.section_number", "c.chunk_type", F.md5(F.col("c.text").cast("binary")).alias("chunk_md5"))
-
-
-def _folded_sql(paras: str, fits: str, grown: str, after: str, closes: str) -> str:
-    """DuckDB: paragraphs folded into chunks, one a step for all documents: chunk(doc_id, i, c), i in order."""
-    return f"""WITH RECURSIVE paras AS (SELECT doc_id, {paras} AS ps FROM documents),
+def _folded_sql(paras: str, fits: str, grown: str, after: str, closes: str, source: str = "documents", before: str = "") -> str:
+    """DuckDB: paragraphs folded into chunks, one a step for all rows of `source`: chunk(doc_id, i, c), i in order."""
+    return f"""WITH RECURSIVE {before} paras AS (SELECT doc_id, {paras} AS ps FROM {source}),
 st AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, '' AS cur, CAST(NULL AS VARCHAR) AS done FROM paras
   UNION ALL SELECT st.doc_id, i + 1, CASE WHEN {fits} THEN {grown} ELSE {after} END, CASE WHEN NOT ({fits}) AND {closes} THEN cur END
   FROM (SELECT st.*, ps[i + 1] AS p, len(ps) AS n FROM st JOIN paras USING (doc_id)) st WHERE i < n),
@@ -96,14 +83,21 @@ _PACK_SQL = _folded_sql(
     "list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n{2,}'), lambda x: " + STRIP_SQL("x") + "), lambda x: x <> '')",
     "length(cur) + length(p) <= 1200", "CASE WHEN cur = '' THEN p ELSE cur || chr(10) || chr(10) || p END", "p", "length(cur) > 50",
 )
-_OVER_SQL = _folded_sql(
-    "string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))",
-    "length(cur) + length(p) + 2 <= 1200", "CASE WHEN cur = '' THEN p ELSE " + STRIP_SQL("cur || chr(10) || chr(10) || p") + " END",
-    STRIP_SQL("right(cur, 200) || chr(10) || chr(10) || p"), "cur <> ''",
-) + """, whole AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents),
+
+
+def _over_sql(text: str, source: str = "documents", before: str = "") -> str:
+    """DuckDB: pack_overlap of the expression `text`: cut(doc_id, idx, c)."""
+    folded = _folded_sql(
+        f"string_split({text}, chr(10) || chr(10))", "length(cur) + length(p) + 2 <= 1200", "CASE WHEN cur = '' THEN p ELSE " + STRIP_SQL("cur || chr(10) || chr(10) || p") + " END",
+        STRIP_SQL("right(cur, 200) || chr(10) || chr(10) || p"), "cur <> ''", source, before,
+    )
+    return f"""{folded}, whole AS (SELECT doc_id, {text} AS t FROM {source}),
 cut AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx, c FROM chunk JOIN whole USING (doc_id) WHERE length(t) > 1200 UNION ALL SELECT doc_id, 0, t FROM whole WHERE length(t) <= 1200)"""
 
 
+_OVER_SQL = _over_sql("replace(text, chr(10), chr(10) || chr(10))")
+
+
 @query(
     f"""{_OVER_SQL} SELECT doc_id, idx AS sub_chunk, md5({STRIP_SQL("'[TS 38.331]' || chr(10) || chr(10) || c")}) AS chunk_md5 FROM cut
  WHERE NOT (length({STRIP_SQL('c')}) < 150 OR length(regexp_replace(c, '[^\\p{{L}}]', '', 'g')) < length({STRIP_SQL('c')}) * 0.25)"""
@@ -125,8 +119,50 @@ def paragraph_pack_overlap(spark, d):
     return made.select("doc_id", "idx", F.md5(F.col("c").cast("binary")).alias("chunk_md5"), F.length("c").alias("n_chars"))
 
 
-@query()
+#: DuckDB: the headed documents of _headed(), by clause: its heading's line, number and title, and what stands under it.
+_CLAUSES_SQL = r"""lines AS (SELECT doc_id, l, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+headed AS (SELECT doc_id, i, l, i % 4 = 3 AS annex, CASE WHEN i % 4 = 3 THEN 'Annex ' || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(i % 26 AS INTEGER) + 1, 1) ELSE (i + 1) || '.1' END AS number,
+ CASE WHEN i % 4 = 3 THEN 'Part of it' ELSE 'Heading of part ' || (i + 1) END AS heading, count(*) OVER (PARTITION BY doc_id) AS n FROM lines),
+lined AS (SELECT *, number || CASE WHEN annex THEN ' (normative): ' ELSE '  ' END || heading || chr(10) || chr(10) || l AS part FROM headed)"""
+#: Rules written out: noise is short, or has few letters.
+_NOISY = lambda c: f"(length({STRIP_SQL(c)}) < 150 OR length(regexp_replace({c}, '[^\\p{{L}}]', '', 'g')) < length({STRIP_SQL(c)}) * 0.25)"
+_UNITS_SQL = f"""{_CLAUSES_SQL},
+units AS (SELECT doc_id * 100000 + i + 1 AS doc_id, doc_id AS own, i, number, heading, {STRIP_SQL('part')} AS text FROM lined WHERE n >= 3
+  UNION ALL SELECT doc_id * 100000, doc_id, -1, NULL, NULL, string_agg(part, chr(10) ORDER BY i) FROM lined WHERE n < 3 GROUP BY doc_id),"""
+
+
+@query(
+    f"""{_over_sql('text', 'units', _UNITS_SQL)},
+made AS (SELECT own, i, 0 AS j, CAST(NULL AS INTEGER) AS sub_chunk, number, '[TS 38.331 §' || number || '] ' || heading || chr(10) || chr(10) || text AS t FROM units WHERE i >= 0 AND length(text) <= 1200 AND NOT {_NOISY('text')}
+  UNION ALL SELECT own, i, idx, idx, number, '[TS 38.331 §' || number || '] ' || heading || ' (part ' || (idx + 1) || ')' || chr(10) || chr(10) || c FROM cut JOIN units USING (doc_id) WHERE i >= 0 AND length(text) > 1200 AND NOT {_NOISY('text')} AND NOT {_NOISY('c')}
+  UNION ALL SELECT own, i, idx, idx, NULL, {STRIP_SQL("'[TS 38.331]' || chr(10) || chr(10) || c")} FROM cut JOIN units USING (doc_id) WHERE i < 0 AND NOT {_NOISY('c')})
+SELECT own AS doc_id, CAST(row_number() OVER (PARTITION BY own ORDER BY i, j) - 1 AS INTEGER) AS idx, number AS section_number, coalesce(sub_chunk, -1) AS sub_chunk, md5(t) AS chunk_md5 FROM made"""
+)
+def clause_chunks(spark, d):
+    """Clause chunks of headed documents; sub_chunk is -1 for whole clauses."""
+    made = _headed(spark, d).select("doc_id", F.posexplode(chunk.clause_chunks(F.col("text"), F.lit("TS 38.331"))).alias("idx", "c"))
+    return made.select("doc_id", "idx", "c.section_number", F.coalesce("c.sub_chunk", F.lit(-1)).alias("sub_chunk"), F.md5(F.col("c.text").cast("binary")).alias("chunk_md5"))
+
+
+@query(
+    f"""WITH {_CLAUSES_SQL}, placed AS (SELECT *, i - CASE WHEN annex THEN 1 ELSE 0 END AS o FROM lined),
+clause AS (SELECT doc_id, o AS i, (o + 1) || '.1' AS number, {STRIP_SQL("string_agg(part, chr(10) ORDER BY i)")} AS body FROM placed GROUP BY doc_id, o),
+pieces AS (SELECT doc_id, i, number, 0 AS j, body AS t FROM clause WHERE length(body) <= 1200
+  UNION ALL SELECT doc_id, i, number, j, substring(body, j * 1000 + 1, 1200) FROM (SELECT *, unnest(range((length(body) + 999) // 1000)) AS j FROM clause WHERE length(body) > 1200))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INTEGER) AS idx, number AS section_number, CASE WHEN j = 0 THEN 'clause' ELSE 'clause_continued' END AS chunk_type, md5(t) AS chunk_md5 FROM pieces WHERE length({STRIP_SQL('t')}) > 50"""
+)
+def clause_chunks_v1(spark, d):
+    """First-generation chunks; an annex's heading is no heading there, so it belongs to the clause before."""
+    made = _headed(spark, d).select("doc_id", F.posexplode(chunk.clause_chunks_v1(F.col("text"))).alias("idx", "c"))
+    return made.select("doc_id", "idx", "c.section_number", "c.chunk_type", F.md5(F.col("c.text").cast("binary")).alias("chunk_md5"))
+
+
+@query(
+    f"""WITH lines AS (SELECT doc_id, i, l, sum(length(l) + 20) OVER (PARTITION BY doc_id) AS size FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx, (i + 1) || ' Narrative part' AS section, md5(left({STRIP_SQL('l')}, 2000)) AS description_md5 FROM lines WHERE length({STRIP_SQL('l')}) > 60"""
+)
 def narrative_sections(spark, d):
+    """Sections of pages without tables; a section that is kept is longer than the 80 characters that a page needs, with its heading."""
     t = documents(spark, d).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit("  Narrative part\n"), x)), "\n").alias("text"))
     made = t.select("doc_id", F.posexplode(chunk.narrative_sections(F.col("text"), F.col("doc_id"))).alias("idx", "s"))
     return made.select("doc_id", "idx", "s.section", F.md5(F.col("s.description").cast("binary")).alias("description_md5"))
