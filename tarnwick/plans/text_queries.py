@@ -92,6 +92,28 @@ def best_score(spark, d):
     return search(spark, d).groupBy(F.col("qid").alias("item_id")).agg(F.round(scoring.sigmoid(F.max("score")), 6).alias("best_score"))
 
 
+@query(
+    r"""WITH ps AS (SELECT doc_id, doc_id % 4 AS kind, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))) AS page, unnest(range(1, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))) + 1)) AS k,
+ list_sum(list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')), lambda x: length(x))) AS size FROM documents WHERE text IS NOT NULL),
+good AS (SELECT * FROM ps WHERE size >= 300 AND kind < 2)
+SELECT doc_id, CASE WHEN kind = 0 THEN 'xml' ELSE 'plain' END AS extractor, CAST(k AS INTEGER) AS page, md5(page) AS page_md5, CAST(CASE WHEN kind = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_reasons FROM good
+UNION ALL SELECT doc_id, 'none', 0, md5(''), 2 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM good)"""
+)
+def extract_chain(spark, d):
+    """Documents as files: XML pages, plain pages, and broken ones, read by a chain of two extractors."""
+    from tarnwick.sources import extract
+
+    pages = F.filter(F.split("text", "\n"), lambda p: p.rlike(r"\S"))
+    xml = F.concat(F.lit("<doc>"), F.array_join(F.transform(pages, lambda p: F.concat(F.lit("<page>"), text.html_escape(p), F.lit("</page>"))), ""), F.lit("</doc>")).cast("binary")
+    plain, kind = F.array_join(pages, "\f").cast("binary"), F.col("doc_id") % 4
+    body = F.when(kind == 0, xml).when(kind == 1, plain).when(kind == 2, F.concat(F.lit("<doc>").cast("binary"), F.unhex(F.lit("FF")), plain))
+    files = documents(spark, d).select("doc_id", body.alias("content"))
+    made = extract.extracted(files, [("xml", extract.xml_pages), ("plain", lambda c: [] if c.startswith(b"<doc>") else extract.plain_pages(c))], min_chars=300, path="doc_id")
+    # a file without content is refused before any extractor is asked
+    n = F.when(F.col("page").isNull(), 2).otherwise(F.size("reasons"))
+    return made.select(F.col("path").cast("long").alias("doc_id"), F.coalesce("extractor", F.lit("none")).alias("extractor"), F.coalesce("page", F.lit(0)).alias("page"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("page_md5"), n.alias("n_reasons"))
+
+
 _CLEAN = f"translate(text, {quoted([V.CHARACTERS[0]])}, {quoted([V.CHARACTERS[1]])})"
 for _old, _new in V.LIGATURES:
     _CLEAN = f"replace({_CLEAN}, '{_old}', '{_new}')"
