@@ -1,12 +1,15 @@
 """Queries over text functions and the inverted index."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tarnwick.functions import python, scoring, text
 from tarnwick.functions import vocab as V
 from tarnwick.operators import blockmax, expand, index, triggers
 from tarnwick.plans.registry import query, quoted, table
-from tarnwick.sources.shared import fingerprint
+from tarnwick.sources import lookup
+from tarnwick.sources.shared import fingerprint, shared_dir
 
 #: DuckDB: tokens of a text expression.
 def tokens_sql(c: str) -> str:
@@ -87,6 +90,15 @@ def bm25_fetch_docs(spark, d):
     return search(spark, d).join(documents(spark, d), "doc_id").select(F.col("qid").alias("item_id"), "doc_id", "rank", "source", F.left("text", F.lit(300)).alias("preview"))
 
 
+@query("SELECT doc_id, source, left(text, 300) AS preview FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)")
+def lookup_docs(spark, d):
+    """Few documents by their ids from a table that is kept for it: the benchmark's numbers stand for ids."""
+    path = f"{shared_dir(spark)}/lookup-{uuid.uuid4().hex}"
+    lookup.write(documents(spark, d).select("doc_id", "source", "text"), path, "doc_id", group_bytes=1 << 20)
+    found = lookup.by_ids(spark, path, table(spark, d, "benchmark").select("item_id"), "doc_id")
+    return found.select("doc_id", "source", F.left("text", F.lit(300)).alias("preview"))
+
+
 @query(f"WITH {BM25_SQL} SELECT qid AS item_id, round(1 / (1 + exp(-0.6 * max(score))), 6) AS best_score FROM hits GROUP BY qid")
 def best_score(spark, d):
     return search(spark, d).groupBy(F.col("qid").alias("item_id")).agg(F.round(scoring.sigmoid(F.max("score")), 6).alias("best_score"))

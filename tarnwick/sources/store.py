@@ -61,18 +61,6 @@ def collection_counts(chunks: DataFrame, column: str, expected: list[str]) -> Da
     return names.join(n, "collection", "left").select("collection", F.coalesce("n", F.lit(0)).alias("n_chunks"), F.when(F.col("n").isNull(), "not_ingested").otherwise("ok").alias("status"))
 
 
-def rewrite(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> None:
-    """Copy on write for plain files: the new version is written beside the old one, then takes its name."""
-    jvm, new, old = spark._jvm, f"{path}.new", f"{path}.old"
-    at = jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    change(spark.read.parquet(path)).write.mode("overwrite").parquet(new)
-    fs.delete(at(old), True)
-    fs.rename(at(path), at(old))
-    fs.rename(at(new), at(path))
-    fs.delete(at(old), True)
-
-
 def write_payload(payload: DataFrame, path: str) -> None:
     """Issue payloads as JSON, without the brand."""
     payload.drop("brand").write.mode("overwrite").json(path)

@@ -165,10 +165,6 @@ def test_sources(spark, tmp_path):
     assert [r.error for r in bad.collect()] == ["no pages"]
     (tmp_path / "c.txt").write_text("hello\nthere")
     assert [r.text for r in store.text_corpus(spark, str(tmp_path)).collect()] == ["hello\nthere"]
-    path = str(tmp_path / "set")
-    spark.range(10).write.parquet(path)
-    store.rewrite(spark, path, lambda df: df.filter("id < 4"))
-    assert spark.read.parquet(path).count() == 4
 
 
 def test_generate_keeps_failures(spark):
