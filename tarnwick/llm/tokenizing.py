@@ -2,8 +2,9 @@
 
 The tokenizers library spends most of its time normalising and pre-splitting. Where a tokenizer
 drops white space before it splits, each white-space word's ids depend on that word alone. So words
-are numbered by their bytes, ids are kept by word in one flat array, and a batch's ids are gathered from
-there with NumPy; no two words share a number. New words are split by the tokenizer's own rule and their letter runs encoded in
+are hashed and numbered, ids are kept by word in one flat array, and a batch's ids are gathered from
+there with NumPy. The bytes of each word are compared with those that its hash was learned with, so words whose hashes meet
+still get their own ids. New words are split by the tokenizer's own rule and their letter runs encoded in
 one call of a bare copy of the model; words with other than Latin letters go to the library itself.
 """
 
@@ -16,7 +17,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from tarnwick.llm.words import word_array
+from tarnwick.llm.words import Table, Words
 
 #: Latin letters that lower-casing and NFC leave alone, after lower-casing: ranges of U+00C0 to U+024F.
 _LATIN = "ß-öø-ɏ"
@@ -33,18 +34,18 @@ def default_path() -> str:
 
 
 class _Lists:
-    """Number -> id list, kept flat."""
+    """Number -> list of numbers, kept flat."""
 
-    def __init__(self):
+    def __init__(self, kind=np.uint32):
         self.n, self.used = 0, 0
-        self.start, self.size, self.flat = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
+        self.start, self.size, self.flat = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, kind)
 
     def extend(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         n, used = self.n + sizes.size, self.used + ids.size
         if n > self.start.size:
             self.start, self.size = (np.concatenate([x, np.zeros(max(n, x.size), np.int32)]) for x in (self.start, self.size))
         if used > self.flat.size:
-            self.flat = np.concatenate([self.flat, np.zeros(max(used, self.flat.size), np.uint32)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(used, self.flat.size), self.flat.dtype)])
         self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
         self.size[self.n : n] = sizes
         self.flat[self.used : used] = ids
@@ -52,15 +53,55 @@ class _Lists:
 
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.size[codes]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        at = np.repeat(self.start[codes] - (ends - sizes), sizes)
-        return self.flat[at + np.arange(at.size)], sizes
+        return self.flat[_spread(self.start[codes], sizes)], sizes
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of runs, one run after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = np.repeat(starts - (ends - sizes), sizes)
+    return at + np.arange(at.size)
+
+
+class _Known:
+    """Words with their ids, found by hash and checked by bytes."""
+
+    def __init__(self, learn):
+        self.table, self.ids, self.bytes, self.learn, self.met = Table(), _Lists(), _Lists(np.uint8), learn, {}
+
+    def _add(self, words: Words, at: np.ndarray) -> None:
+        self.bytes.extend(words.data[_spread(words.starts[at], words.ends[at] - words.starts[at])], words.ends[at] - words.starts[at])
+        self.ids.extend(*self.learn(words.strings(at)))
+
+    def codes(self, words: Words) -> np.ndarray:
+        codes = self.table.lookup(words.hashes)
+        missing = np.flatnonzero(codes < 0)
+        if missing.size:
+            new, first = np.unique(words.hashes[missing], return_index=True)
+            self.table.insert(new)
+            self._add(words, missing[first])
+            codes[missing] = self.table.lookup(words.hashes[missing])
+        sizes = words.ends - words.starts
+        same = self.bytes.size[codes] == sizes
+        known, _ = self.bytes.gather(codes[same])
+        differs = known != words.data[_spread(words.starts[same], sizes[same])]
+        if differs.any() or not same.all():
+            ends = np.cumsum(sizes[same])
+            wrong = np.add.reduceat(differs, ends - sizes[same]) > 0 if ends.size else np.zeros(0, bool)
+            for k in np.sort(np.concatenate([np.flatnonzero(~same), np.flatnonzero(same)[wrong]])).tolist():
+                word = words.data[words.starts[k] : words.ends[k]].tobytes()
+                if word not in self.met:  # its hash is another word's: it has a number outside the table
+                    self.met[word] = self.ids.n
+                    self.table.n += 1
+                    self._add(words, np.array([k]))
+                codes[k] = self.met[word]
+        return codes
 
 
 class Encoder:
     """encode_flat(texts) gives the library's own ids of many texts; `limit` and `part_limit` bound the words and letter runs held."""
 
-    def __init__(self, path: str | None = None, limit: int = 400_000, part_limit: int = 200_000):
+    def __init__(self, path: str | None = None, limit: int = 800_000, part_limit: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         path = path or default_path()
@@ -78,12 +119,10 @@ class Encoder:
         self._clear_parts()
 
     def _clear_words(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.word_ids = _Lists()
+        self.words = _Known(self._learn)
 
     def _clear_parts(self) -> None:
-        self.parts: dict[str, int] = {}
-        self.part_ids = _Lists()
+        self.parts = _Known(self._pieces_of)
 
     @staticmethod
     def _drops_white_space(spec: dict) -> bool:
@@ -108,24 +147,23 @@ class Encoder:
         """Ids of n words, which "\n" joins."""
         found = _PIECE.findall(lowered)
         ends = np.fromiter(map("\n".__eq__, found), bool, len(found))
-        pieces = [x for x in found if x != "\n"]
-        new = [x for x in dict.fromkeys(pieces) if x not in self.parts]
-        if new:
-            ids = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if cuts.size != len(new):
-                raise ValueError("the model's end-of-word tokens don't mark every piece")
-            self.part_ids.extend(ids, np.diff(np.concatenate([[0], cuts])))
-            self.parts.update(zip(new, range(len(self.parts), len(self.parts) + len(new)), strict=True))
-        codes = np.fromiter(map(self.parts.__getitem__, pieces), np.int64, len(pieces))
-        ids, sizes = self.part_ids.gather(codes)
+        pieces = Words(pa.array(["\n".join(found)], pa.string()))  # pieces hold no white space, so they are its words
+        ids, sizes = self.parts.ids.gather(self.parts.codes(pieces))
         return ids, np.bincount(np.cumsum(ends)[~ends], weights=sizes, minlength=n).astype(np.int64)
 
-    def _learn(self, words: list[str]) -> None:
+    def _pieces_of(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of letter runs, from the bare model."""
+        ids = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if cuts.size != len(new):
+            raise ValueError("the model's end-of-word tokens don't mark every piece")
+        return ids, np.diff(np.concatenate([[0], cuts]))
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "\n".join(words)
         lowered = joined.lower()
         if not _OTHER.search(lowered) and "oftext|>" not in lowered:
-            return self.word_ids.extend(*self._pieces(lowered, len(words)))
+            return self._pieces(lowered, len(words))
         odd = np.array([bool(_OTHER.search(w.lower())) or "oftext|>" in w.lower() for w in words])
         plain = [w for w, o in zip(words, odd, strict=True) if not o]
         sizes = np.zeros(len(words), np.int64)
@@ -133,25 +171,18 @@ class Encoder:
         rest, sizes[~odd] = self._pieces("\n".join(plain).lower(), len(plain)) if plain else (np.empty(0, np.uint32), np.zeros(0, np.int64))
         ids, is_odd = np.empty(int(sizes.sum()), np.uint32), np.repeat(odd, sizes)
         ids[is_odd], ids[~is_odd] = some, rest
-        self.word_ids.extend(ids, sizes)
+        return ids, sizes
 
     def encode_flat(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each); `end_id` is appended to each text. A null text is empty."""
         if self.by_word:
-            if self.word_ids.n > self.limit:
+            if self.words.ids.n > self.limit:
                 self._clear_words()
-            if len(self.parts) > self.part_limit:
+            if self.parts.ids.n > self.part_limit:
                 self._clear_parts()
-            words, counts = word_array(texts)
-            coded = words.dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            new = [w for w in names if w not in self.numbers]
-            if new:
-                self._learn([w.decode("utf-8", "replace") for w in new])
-                self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
-            codes = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
-            ids, sizes = self.word_ids.gather(codes)
-            cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+            words = Words(texts)
+            ids, sizes = self.words.ids.gather(self.words.codes(words))
+            cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(words.counts)])]
             sizes = np.diff(cuts)
         else:
             ids, sizes = self._library([t or "" for t in texts.to_pylist()])

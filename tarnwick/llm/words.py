@@ -90,13 +90,6 @@ def _cut(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return data, starts, ends, np.diff(np.searchsorted(starts, bounds)) if len(texts) else np.zeros(0, np.int64)
 
 
-def word_array(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(the words of all texts in order, as bytes; number of words of each text): for what must tell words apart for certain."""
-    data, starts, ends, counts = _cut(texts, False)
-    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), starts.size, [None, pa.py_buffer(offsets), pa.py_buffer(data[~_SPACE[data]])]), counts
-
-
 class Words:
     """Words of a slice: starts and ends in `data`, hashes (never 0), and `counts` of each text."""
 
