@@ -58,7 +58,7 @@ class Engine:
         s = self.settings
         cleaned = docs.select("name", clean_text(F.col("text")).alias("text"))
         made = cleaned.select("name", F.posexplode(chunk.clause_chunks(F.col("text"), F.col("name"), s.chunk_size, s.chunk_overlap)).alias("idx", "c"))
-        new = made.select(chunk_id_v1(F.col("name"), F.col("idx")).alias("doc_id"), "name", "c.text", "c.section_number", "c.section_heading").withColumn("ingested_at", F.current_timestamp())
+        new = made.select(chunk_id_v1(F.col("name"), F.col("idx")).alias("doc_id"), "name", "c.text", "c.section_number", "c.section_heading").withColumn("ingested_at", F.current_timestamp()).withColumn("ingested_epoch", scoring.epoch_seconds(F.current_timestamp()))
         if not reset and self.spark.catalog.tableExists(collection):
             new = new.join(self.spark.table(collection).select("doc_id"), "doc_id", "left_anti")
         new = new.withColumn("embedding", self.embed(F.col("text")))  # of what is new alone

@@ -51,3 +51,8 @@ def is_exact(match_type: Column) -> Column:
 
 def route(collection: Column) -> Column:
     return F.when(F.lower(collection).contains("hedex"), "hedex").otherwise("3gpp")
+
+
+def epoch_seconds(at: Column) -> Column:
+    """Whole seconds since 1970 of a date or a time."""
+    return F.unix_seconds(at.cast("timestamp"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tarnwick.functions import scoring
 from tarnwick.operators import ivf, models, retrieval, vector
 from tarnwick.plans.registry import query, quoted, table
-from tarnwick.plans.text_queries import BM25_SQL, _named, _NAMES_SQL, search, tokens_sql
+from tarnwick.plans.text_queries import _ASKED_SQL, _FOUND_SQL, _NAMES_SQL, _PARTS, BM25_SQL, _named, search, tokens_sql
 from tarnwick.functions import vocab as V
 
 # -- candidates: item i asks for source 'src(i % 20)' exactly, and its vector is that of vec_id i -----------------
@@ -229,6 +229,60 @@ def engine_answer(spark, d):
     return found.select("qid", "rank", "doc_id", "score", "confidence", "stage")
 
 
+#: Items that also name a clause, a topic or a parameter, and documents that have clauses and parameters.
+_ASKED_ITEMS_SQL = "asked_items AS (SELECT item_id, text || CASE item_id % 3 WHEN 0 THEN ' §5.3.' || item_id % 7 || '.2 at handover' WHEN 1 THEN ' VonrHoTimer' || item_id % 5 || ' of vonr' ELSE '' END AS text FROM benchmark)"
+_FULL_SQL = f"""{_ASKED_ITEMS_SQL}, {_FOUND_SQL.replace(_ASKED_SQL, "asked AS (SELECT item_id AS qid, text FROM asked_items)")},
+used AS (SELECT qid, term, o FROM (SELECT qid, term, o, row_number() OVER (PARTITION BY qid ORDER BY o) AS n FROM found JOIN asked USING (qid) WHERE NOT contains(lower(text), lower(term))) WHERE n <= 40),
+expanded AS (SELECT asked.qid AS item_id, text || coalesce(' ' || string_agg(term, ' ' ORDER BY o), '') AS text FROM asked LEFT JOIN used USING (qid) GROUP BY asked.qid, text),
+{BM25_SQL.replace("FROM benchmark", "FROM expanded")}, vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+meta AS (SELECT doc_id, 'section_number' AS field, '5.3.' || doc_id % 7 || '.2' AS value FROM documents UNION ALL SELECT doc_id, 'parameter_name', 'VonrHoTimer' || doc_id % 5 FROM documents),
+targets AS (SELECT DISTINCT qid, 'parameter_name' AS field, unnest(regexp_extract_all(text, '{V.CAMEL_QUERY}')) AS value FROM asked UNION SELECT DISTINCT qid, 'section_number', unnest(regexp_extract_all(text, '{V.SECTION_QUERY}', 1)) FROM asked),
+exact AS (SELECT DISTINCT qid, doc_id FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid, field, value ORDER BY doc_id) AS n FROM targets JOIN meta USING (field, value)) WHERE n <= 5),
+near AS (SELECT * FROM (SELECT qid, vec_id AS doc_id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS n
+  FROM (SELECT b.item_id AS qid, v.vec_id, {_KNN_SQL} AS s FROM benchmark b JOIN vecs q ON b.item_id = q.vec_id, vecs v JOIN documents ON vec_id = doc_id)) WHERE n <= 30),
+cand AS (SELECT qid, doc_id, 0 AS v, 1 AS b, 0 AS stage, 0 AS p FROM exact UNION ALL SELECT qid, doc_id, s, 0, 1, 1 FROM near UNION ALL SELECT qid, doc_id, 0, bm25, 1, 2 FROM hits),
+merged AS (SELECT qid, arg_min(doc_id, p * 1000000000 + doc_id) AS doc_id, arg_min(stage, p * 1000000000 + doc_id) AS stage, max(v) AS v, max(b) AS b FROM cand JOIN documents USING (doc_id) GROUP BY qid, left(text, 100)),
+hybrid AS (SELECT qid, doc_id, stage, round(CASE WHEN stage = 0 THEN greatest(0.65 * v + 0.35 * b, 0.95) ELSE 0.65 * v + 0.35 * b END, 8) AS hybrid_score FROM merged),
+{_OVERLAP_SQL[len(CANDIDATES_SQL) + 2:].replace("benchmark b", "asked_items b")},
+ranked AS (SELECT *, rerank_score AS score FROM again), {_KEPT_SQL.replace(_FLOOR_SQL, '-3.0')}"""
+
+
+@query(f"WITH {_FULL_SQL} SELECT qid, rank, doc_id, score, CAST(least(100, greatest(0, trunc((score + 5) / 10 * 100))) AS INTEGER) AS confidence, stage FROM final")
+def engine_full(spark, d):
+    """The facade's request path with all its stages: expansion, exact hits by parameter and clause, vectors, BM25, rerank, floors."""
+    from tarnwick.api import Engine
+
+    docs, vecs = table(spark, d, "documents"), table(spark, d, "embeddings")
+    key = F.col("doc_id")
+    docs = docs.select("doc_id", "text", F.concat(F.lit("5.3."), (key % 7).cast("string"), F.lit(".2")).alias("section_number"), F.concat(F.lit("VonrHoTimer"), (key % 5).cast("string")).alias("parameter_name"))
+    docs.join(vecs.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").createOrReplaceTempView("engine_full_documents")
+    item = F.col("item_id")
+    more = F.when(item % 3 == 0, F.concat(F.lit(" §5.3."), (item % 7).cast("string"), F.lit(".2 at handover"))).when(item % 3 == 1, F.concat(F.lit(" VonrHoTimer"), (item % 5).cast("string"), F.lit(" of vonr"))).otherwise("")
+    items = table(spark, d, "benchmark").select(item.alias("qid"), F.concat("text", more).alias("text")).join(vecs.select(F.col("vec_id").alias("qid"), "embedding"), "qid", "left")
+    return Engine(spark).query(items, "engine_full_documents").select("qid", "rank", "doc_id", "score", "confidence", "stage")
+
+
+@query(
+    rf"""WITH {_NAMES_SQL}, cited AS (SELECT id, text || '; TS 38.310 §5.3.7, §7.7.7.7 and §5.3' AS answer, text FROM named),
+ok AS (SELECT *, list_transform(regexp_extract_all(text, '{V.CLAUSE_REF_3}'), lambda x: replace(replace(x, '§', ''), ' ', '')) AS allowed, regexp_extract_all(answer, '{V.CLAUSE_REF_3}') AS found FROM cited),
+judged AS (SELECT *, list_transform(found, lambda m: CASE WHEN list_contains(allowed, replace(replace(m, '§', ''), ' ', '')) THEN m ELSE '[§ref]' END) AS made FROM ok)
+SELECT id AS qid, {_PARTS('answer', V.CLAUSE_REF_3, 'made')} AS answer FROM judged"""
+)
+def engine_checked(spark, d):
+    """Answers less the references that their evidence does not hold, through the facade."""
+    from tarnwick.api import Engine
+
+    named = _named(spark, d).select(F.col("id").alias("qid"), F.col("text").alias("evidence"))
+    answers = named.select("qid", F.concat("evidence", F.lit("; TS 38.310 §5.3.7, §7.7.7.7 and §5.3")).alias("answer"))
+    return Engine(spark).checked(answers, named)
+
+
+@query("SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS ingested_epoch FROM orders")
+def epoch_seconds(spark, d):
+    """Whole seconds since 1970, as ingest stamps its rows."""
+    return table(spark, d, "orders").select("o_orderkey", scoring.epoch_seconds(F.col("o_orderdate")).alias("ingested_epoch"))
+
+
 _SCORE_LABEL = "CASE WHEN s >= 0.8 THEN 'High' WHEN s >= 0.65 THEN 'Medium' WHEN s >= 0.45 THEN 'Low' ELSE 'Not found' END"
 
 

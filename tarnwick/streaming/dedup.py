@@ -29,15 +29,17 @@ def incremental_ingest(source: DataFrame, target: str, state: str, key: str = "i
     """Append rows of a stream whose key the Parquet folder `target` lacks; returns the started query.
 
     Each micro-batch is anti-joined before `prepare` (such as an embedding), so known rows cost nothing. A batch that is run
-    again after a failure finds its own rows stored and adds none.
+    again after a failure finds its own rows stored and adds none. Files carry Bloom filters of the key: a batch of few keys only
+    reads the row groups that may hold them.
     """
+    from tarnwick.sources import lookup
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates([key])
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.parquet(target).select(key), key, "left_anti")
-        prepare(new).write.mode("append").parquet(target)
+            new = new.join(lookup.by_ids(spark, target, new.select(key), key).select(key), key, "left_anti")
+        prepare(new).write.option(f"parquet.bloom.filter.enabled#{key}", "true").mode("append").parquet(target)
 
     return source.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start()
