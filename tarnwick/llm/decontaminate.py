@@ -94,7 +94,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str =
 
     n_hit counts the words in the union of the spans. Null and empty texts have no words and are clean; empty tables of
     either side give no hits; repeated rows are separate documents, and so are rows with null ids; an item without words has
-    no windows, and items that share a window all count; very long texts are walked whole. Other columns are not read,
+    no windows, items that share a window all count, and an item without id gives hits but is not counted; very long texts are walked whole. Other columns are not read,
     whatever their names.
     """
     found = find_hits(numbered_words(docs, id_col, text_col), items, n, item_id, item_text)
@@ -122,7 +122,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str =
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that aren't contaminated, with all columns. Texts decide: rows of one text stay or go together."""
+    """The rows of `docs` that aren't contaminated, with all columns. Texts decide: rows of one text stay or go together; null and
+    empty texts stay, whatever their ids, and an empty table of items removes nothing."""
     numbered = plain(docs)
     digest = F.unhex(F.sha2(F.coalesce(F.col(f"c{at(docs, text_col)}"), F.lit("")).cast("binary"), 256))
     keyed = numbered.select(digest.alias("doc_id"), F.col(f"c{at(docs, text_col)}").alias("text"))
@@ -132,7 +133,8 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, text: the documents' words with those inside spans removed, joined by spaces (a cleaned, lower-cased text)."""
+    """id_col, text: the documents' words with those inside spans removed, joined by spaces (a cleaned, lower-cased text). Null and
+    empty texts become empty ones; repeated rows and rows without id are documents of their own."""
     words = materialize(numbered_words(docs, id_col, text_col), "words")  # so that a row keeps its number in both readings
     joined = words.join(find_hits(words, items, n).select("_row", "spans"), "_row")
     kept = F.filter("_w", lambda w, k: ~F.exists("spans", lambda s: (k >= s["at"]) & (k < s["at"] + s["size"])))

@@ -9,45 +9,55 @@ from tarnwick.llm.common import table
 
 
 def op1_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents`: each row's class of near copies, by its smallest id."""
     return weighted_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents`: base figures of every whole text, and whether the rules keep it."""
     return repetition.repetition_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*").drop("longest_repeat", "covered_fraction")
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pages`: host, path, rule and verdict of every url."""
     return url_rules.judge_urls(table(spark, sf_dir, "pages")).drop("n_candidates", "pattern")
 
 
 def op4_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pages`: the main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` against `benchmark`: words that stand in passages of items, and whether they are too many."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contamination(docs, items).drop("item_ids", "spans")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents`: toxicity of every text, learned from `labels` outside the held-out quarter."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score_toxicity(docs, labels).drop("passages")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents`: quality of every text, learned from `labels` outside the held-out fifth."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return neighbours.score_quality(docs.select("doc_id", "text"), labels).select("doc_id", "vote.*")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents`: the pieces of all texts in sequences of 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents`: log10 probability of every text, learned outside the held-out seventh."""
     return deleted_interpolation.score(table(spark, sf_dir, "documents"))
 
 
 def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents`: what the written segments hold of every text, read back."""
     return simple8b.tokenize_to_segments(table(spark, sf_dir, "documents"))
 
 
