@@ -16,11 +16,19 @@ def _checked(table: dict[str, list[str]]) -> dict[str, list[str]]:
     return table
 
 
+def by_topic(triggers: dict[str, str]) -> dict[str, list[str]]:
+    """Topic to triggers, of a table from trigger to topic."""
+    out: dict[str, list[str]] = {}
+    for word, topic in triggers.items():
+        out.setdefault(topic, []).append(word)
+    return out
+
+
 def detect_topics(q: Column, triggers: dict[str, list[str]] | None = None) -> Column:
     """Topics with a trigger inside the lower-cased query (as a substring), sorted."""
     low = F.lower(q)
     found = []
-    for topic, words in sorted(_checked(triggers or V.TRIGGERS).items()):
+    for topic, words in sorted(_checked(triggers or by_topic(V.TRIGGERS)).items()):
         hit = low.contains(words[0])
         for w in words[1:]:
             hit = hit | low.contains(w)

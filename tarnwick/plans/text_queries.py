@@ -350,7 +350,7 @@ def _asked(spark, d):
     return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
 
 
-_TRIGGERS_SQL = "triggers(topic, word) AS (VALUES " + ", ".join(f"('{t}', {quoted([w])})" for t, ws in V.TRIGGERS.items() for w in ws) + ")"
+_TRIGGERS_SQL = "triggers(topic, word) AS (VALUES " + ", ".join(f"('{t}', {quoted([w])})" for w, t in V.TRIGGERS.items()) + ")"
 _TERMS_SQL = "dict(topic, pos, term) AS (VALUES " + ", ".join(f"('{t}', {k}, {quoted([w])})" for t, ws in V.TERMS.items() for k, w in enumerate(ws)) + ")"
 _TOPICS_SQL = f"{_ASKED_SQL}, {_TRIGGERS_SQL}, {_TERMS_SQL}, topics AS (SELECT DISTINCT qid, topic FROM asked JOIN triggers ON contains(lower(text), word))"
 _FOUND_SQL = f"{_TOPICS_SQL}, found AS (SELECT qid, term, min(topic || lpad(CAST(pos AS VARCHAR), 4, '0')) AS o FROM topics JOIN dict USING (topic) GROUP BY 1, 2)"
@@ -364,7 +364,7 @@ def detect_topics(spark, d):
 @query(f"WITH {_TOPICS_SQL} SELECT qid, coalesce(string_agg(topic, ',' ORDER BY topic), '') AS topics FROM asked LEFT JOIN topics USING (qid) GROUP BY qid")
 def trigger_topics(spark, d):
     """The topics of detect_topics by one automaton."""
-    words = spark.createDataFrame([(t, w) for t, ws in V.TRIGGERS.items() for w in ws], "topic string, word string")
+    words = spark.createDataFrame([(t, w) for w, t in V.TRIGGERS.items()], "topic string, word string")
     return triggers.topics(_asked(spark, d), words).select("qid", F.array_join("topics", ",").alias("topics"))
 
 
