@@ -68,4 +68,43 @@ s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
 
-ORACLES = {"op2_repetition": REPETITION, "op3_url_rules": URL_RULES, "op4_host_suffix_array": HTML_TEXT, "op5_decontaminate": DECONTAMINATE, "op12_inverted_treaps": RANKED}
+def _edit(state: str, cost: str, letter: str, line: str = "''") -> str:
+    """DuckDB: a state's cheapest edits (cost, audit, repaired lines), and one edit more."""
+    return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', r := {state}.r || {line})"
+
+
+_USER, _ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+
+
+def _inserted(s: str) -> tuple[str, str]:
+    """DuckDB: states 2 and 3 after any insertions."""
+    twos = ", ".join(_edit(f"{s}{k}", "3", "I", _USER) for k in (0, 1, 3))
+    threes = ", ".join(_edit(f"{s}{k}", "6", "II", f"{_USER} || {_ASSISTANT}") for k in (0, 1))
+    return f"list_min([{s}2, {twos}])", f"list_min([{s}3, {_edit(s + '2', '3', 'I', _ASSISTANT)}, {threes}])"
+
+
+_TWO, _THREE = _inserted("s")
+_OFF, _SAID = "CASE WHEN must THEN 1000000000 ELSE more END", "chr(10) || role || ':' || text"
+_SET = "struct_pack(c := {}, a := '', r := '')"
+#: One step a turn for all conversations; a thousand million stands for what can't be.
+REPAIR = rf"""
+WITH RECURSIVE crcs AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM conversations),
+dealt AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS d FROM keyed, crcs),
+damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM dealt),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), text, copy) AS k FROM damaged),
+told AS (SELECT conv_id, turn, k, role, text, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+  WHEN regexp_extract(text, '([^ 	-])[ 	-]*\z', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+turns AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more, lead(initial) OVER (PARTITION BY conv_id ORDER BY k) AS after FROM told),
+st AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, {_SET.format("CAST(0 AS BIGINT)")} AS s0, {_SET.format("CAST(1000000000 AS BIGINT)")} AS s1, {_SET.format("CAST(1000000000 AS BIGINT)")} AS s2, {_SET.format("CAST(1000000000 AS BIGINT)")} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, k, {_edit("s0", "4", "D")}, list_min([{_edit("s1", "4", "D")}, {_edit("s0", f"CASE WHEN initial = 's' THEN {_OFF} ELSE 1000000000 END", "K", _SAID)}]),
+   list_min([{_edit("t2", "4", "D")}, {", ".join(x for t in ("s0", "s1", "t3") for x in (_edit(t, f"3 + {_OFF}", "R", f"{_USER} || text"), _edit(t, f"CASE WHEN initial = 'u' THEN {_OFF} ELSE 1000000000 END", "K", _SAID)))}]),
+   list_min([{_edit("t3", "4", "D")}, {_edit("t2", f"3 + {_OFF}", "R", f"{_ASSISTANT} || text")}, {_edit("t2", f"CASE WHEN initial = 'a' THEN {_OFF} ELSE 1000000000 END", "K", _SAID)}])
+  FROM (SELECT st.conv_id, turns.k, role, text, initial, must, more, s0, s1, {_TWO} AS t2, {_THREE} AS t3 FROM st JOIN turns ON turns.conv_id = st.conv_id AND turns.k = st.k + 1)),
+per AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (after IS NOT NULL AND initial || after NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+best AS (SELECT st.conv_id, list_min([s0, {_THREE}]) AS b FROM st LEFT JOIN per USING (conv_id) WHERE k = coalesce(n, 0))
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(b.c AS BIGINT) AS cost, b.a AS audit, sha256(substr(b.r, 2)) AS repaired_sha256
+FROM best LEFT JOIN per USING (conv_id)"""
+
+ORACLES = {"op2_repetition": REPETITION, "op3_url_rules": URL_RULES, "op4_host_suffix_array": HTML_TEXT, "op5_decontaminate": DECONTAMINATE, "op12_inverted_treaps": RANKED, "op13_turn_matrices": REPAIR}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwick.llm import turn_repair
-from tarnwick.llm.queries import QUERIES
+from tarnwick.llm.queries import ORACLES, QUERIES
 
 WHITE = " \t\n\x0b\x0c\r"
 AFTER = {"": "user", "s": "user", "u": "assistant", "a": "user"}
@@ -77,6 +77,10 @@ def found(df):
     return {r["conv_id"]: {k: v for k, v in r.asDict().items() if k != "conv_id"} for r in df.collect()}
 
 
+def test_query_by_sql(spark, sf_dir, duck, same):
+    same(QUERIES["op13_turn_matrices"](spark, sf_dir), duck.execute(ORACLES["op13_turn_matrices"]).fetch_df())
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls everywhere, conversations longer than a run, turns that tie, roles of no pattern, clashing columns."""
