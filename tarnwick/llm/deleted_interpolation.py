@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm.common import at, crc_bucket, materialize, pick, release, tidy
-from tarnwick.llm.packed import answers, by_range, gathered, key_bounds, sent_schema, squeeze, to_ranges, totals, unsqueeze, write_chunks
+from tarnwick.llm.packed import answers, by_range, gathered, key_ranges, sent_schema, squeeze, to_ranges, totals, unsqueeze, write_chunks
 from tarnwick.llm.words import Words, mix, slices, trim
 
 #: Hashes of words are odd, keys of n-grams even; these stand for the end and for the place before a text.
@@ -172,14 +172,14 @@ class Chunk:
         return np.where(n == 0, of > 0, n - 1), np.where(n == 0, of == 1, main[at])
 
 
-def _send(first: bool, bounds: np.ndarray):
+def _send(first: bool, ranges: int):
     def rows(chunk: Chunk, number: int) -> pa.RecordBatch:
         if first:
             places, keys = ((chunk.word, chunk.of), (chunk.pair, chunk.of)), chunk.keys
         else:
             keys, at = chunk.second()
             places = ((at, chunk.of[chunk.wanted]),)
-        made = to_ranges(number, keys, chunk.tallies(keys.size, *places), bounds)
+        made = to_ranges(number, keys, chunk.tallies(keys.size, *places), ranges)
         trim()
         return made
 
@@ -212,11 +212,11 @@ def counted(chunks: DataFrame, n_tokens: int, n_main: int, range_rows: int) -> D
     """One row a chunk, written once: its texts, the corpus counts of each token's word, bigram and trigram, counts of
     quantised estimates on the part that the mixture weights are learned on, and numbers of known words."""
     spark = chunks.sparkSession
-    bounds = key_bounds(spark, 2 * n_tokens, range_rows)
+    ranges = key_ranges(spark, 2 * n_tokens, range_rows)
     content = chunks.select("chunk", "part", "counts", "tokens", "words")
 
     def first(batches):
-        send = _send(True, bounds)
+        send = _send(True, ranges)
         for b in batches:
             for k in range(b.num_rows):
                 row = pa.Table.from_batches([b.slice(k, 1)])
@@ -228,7 +228,7 @@ def counted(chunks: DataFrame, n_tokens: int, n_main: int, range_rows: int) -> D
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = Chunk(left)
         chunk.first(by_range(right))
-        return pa.Table.from_batches([_send(False, bounds)(chunk, left.column("chunk")[0].as_py())])
+        return pa.Table.from_batches([_send(False, ranges)(chunk, left.column("chunk")[0].as_py())])
 
     sent = content.groupBy("chunk").cogroup(one.select("chunk", "range", "size", "n").groupBy("chunk")).applyInArrow(second, sent_schema(3))
     two = materialize(sent.groupBy("range").applyInArrow(_answered, _TOLD), "lm-second")

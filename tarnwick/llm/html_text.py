@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm.common import materialize, pick
-from tarnwick.llm.packed import answers, by_range, gathered, key_bounds, sent_schema, squeeze, to_ranges, totals, write_chunks
+from tarnwick.llm.packed import answers, by_range, gathered, key_ranges, sent_schema, squeeze, to_ranges, totals, write_chunks
 from tarnwick.llm.words import Words, mix, slices, trim
 
 #: Elements whose content is never text of the page.
@@ -322,7 +322,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     chunks = _chunks(sized.select("_id", "_url", F.xxhash64("_host").alias("_host"), "_n", "_copies", "_html"), kind, chunk_bytes)
     spark = chunks.sparkSession
     n_words = int(chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"])
-    bounds = key_bounds(spark, n_words // 3, range_rows)
+    ranges = key_ranges(spark, n_words // 3, range_rows)
     content = chunks.drop("n_words")
     told = "chunk long, range int, size int, pages binary"
 
@@ -331,7 +331,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for k in range(b.num_rows):
                 row = pa.Table.from_batches([b.slice(k, 1)])
                 keys, own, _ = Stream(row, min_words).anchors()
-                yield to_ranges(row.column("chunk")[0].as_py(), keys, [own], bounds, 8)
+                yield to_ranges(row.column("chunk")[0].as_py(), keys, [own], ranges, 8)
                 trim()
 
     one = materialize(content.mapInArrow(first, sent_schema(1)).groupBy("range").applyInArrow(_added, told), "html-anchors")
@@ -340,7 +340,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         stream = Stream(left, min_words)
         stream.runs(by_range(right))
         trim()
-        return pa.Table.from_batches([to_ranges(left.column("chunk")[0].as_py(), stream.keys, [pages_of(stream.of, stream.page[stream.at], stream.keys.size, stream.weight)], bounds, 8)])
+        return pa.Table.from_batches([to_ranges(left.column("chunk")[0].as_py(), stream.keys, [pages_of(stream.of, stream.page[stream.at], stream.keys.size, stream.weight)], ranges, 8)])
 
     sent = content.groupBy("chunk").cogroup(one.groupBy("chunk")).applyInArrow(second, sent_schema(1))
     two = sent.groupBy("range").applyInArrow(_added, told)

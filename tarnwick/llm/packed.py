@@ -37,20 +37,25 @@ def write_chunks(df: DataFrame, tag: str) -> DataFrame:
     return written(spark.table(name), path, name)
 
 
-def key_bounds(spark, n_keys: int, range_rows: int) -> np.ndarray:
-    """Lower bounds of ranges of about `range_rows` of the keys: ranges grow in number, not in size."""
-    ranges = max(4 * shuffle_partitions(spark), -(-n_keys // range_rows))
-    return np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
+def key_ranges(spark, n_keys: int, range_rows: int) -> int:
+    """Number of ranges of about `range_rows` of the keys: they grow in number, not in size. Ranges are equal steps of the keys."""
+    return max(4 * shuffle_partitions(spark), -(-n_keys // range_rows))
+
+
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each key, in their order: of the key's first 32 bits, as a share of all."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
 def sent_schema(values: int) -> str:
     return "range int, chunk long, size int, keys binary" + "".join(f", v{k} binary" for k in range(values))
 
 
-def to_ranges(chunk: int, keys: np.ndarray, values: list[np.ndarray], bounds: np.ndarray, width: int = 4) -> pa.RecordBatch:
+def to_ranges(chunk: int, keys: np.ndarray, values: list[np.ndarray], ranges: int, width: int = 4) -> pa.RecordBatch:
     """A row for each range that a chunk has some of its sorted distinct keys in."""
-    cuts = np.append(np.searchsorted(keys, bounds), keys.size).tolist()
-    own = [(r, a, e) for r, (a, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > a]
+    of = _range_of(keys, ranges)
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if of.size else np.zeros(0, np.int64)
+    own = list(zip(of[first].tolist(), first.tolist(), np.append(first[1:], of.size).tolist() if of.size else [], strict=True))
     columns = [pa.array([r for r, _, _ in own], pa.int32()), pa.array([chunk] * len(own), pa.int64()), pa.array([e - a for _, a, e in own], pa.int32())]
     columns.append(pa.array([squeeze(np.diff(keys[a:e], prepend=np.uint64(0)), 8) for _, a, e in own], pa.binary()))
     columns += [pa.array([squeeze(x[a:e], width) for _, a, e in own], pa.binary()) for x in values]
