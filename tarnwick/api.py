@@ -12,6 +12,7 @@ from tarnwick.functions import scoring
 from tarnwick.functions.text import chunk_id_v1, clause_numbers, clean_text, validate_citations_v2
 from tarnwick.operators import chunk, expand, feed, index, models, retrieval, vector
 from tarnwick.sources import store
+from tarnwick.sources.shared import fingerprint
 
 
 @dataclass(frozen=True)
@@ -50,8 +51,9 @@ class Engine:
     def stats(self, expected: list[str]) -> DataFrame:
         """collection, n_chunks, status."""
         have = {t.name for t in self.spark.catalog.listTables()}
-        counts = [(n, self.spark.table(n).count() if n in have else 0, "ok" if n in have else "not_ingested") for n in expected]
-        return self.spark.createDataFrame(counts, "collection string, n_chunks long, status string")
+        absent = self.spark.createDataFrame([(n, 0, "not_ingested") for n in expected if n not in have], "collection string, n_chunks long, status string")
+        counted = [self.spark.table(n).agg(F.count(F.lit(1)).alias("n_chunks")).select(F.lit(n).alias("collection"), "n_chunks", F.lit("ok").alias("status")) for n in expected if n in have]
+        return reduce(DataFrame.unionByName, counted, absent)
 
     def ingest(self, docs: DataFrame, collection: str, reset: bool = False) -> int:
         """Clean, chunk by clauses and add what the collection lacks; returns how many chunks were added. docs: name, text."""
@@ -77,9 +79,10 @@ class Engine:
         s, corpus = self.settings, self.spark.table(collection)
         asked = queries.filter(F.trim("text") != "").select("qid", F.col("text").alias("query"))
         expanded = asked.select("qid", expand.expand_v2(F.col("query"), s.max_terms).alias("text"))
-        if collection not in self.indexes:
-            self.indexes[collection] = index.build(corpus)
-        hits = index.search(self.indexes[collection], expanded, s.top_k, id_col="qid")
+        state = fingerprint(self.spark, corpus.inputFiles())  # a collection may be changed by others
+        if self.indexes.get(collection, (None, None))[0] != state:
+            self.indexes[collection] = (state, index.build(corpus))
+        hits = index.search(self.indexes[collection][1], expanded, s.top_k, id_col="qid")
         side = lambda df, near, words, stage: df.select("qid", "doc_id", near.alias("vector_score"), words.alias("bm25_score"), F.lit(stage).alias("stage"))
         zero, text = F.lit(0.0), corpus.select("doc_id", "text")
         words = side(hits, zero, F.col("bm25"), 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -18,10 +20,34 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="tarnwick-")
 
 
+#: Folders and tables that are kept for results still to be read; a program that ends leaves none of them.
+_KEPT: dict[str, str | None] = {}
+
+
+def _keep(spark: SparkSession, path: str, name: str | None = None) -> None:
+    if not _KEPT:
+        atexit.register(forget, spark)
+    _KEPT[path] = name
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete all that stored() and stored_buckets() have written in this program; frames that read it are void. The number of tables deleted."""
+    n = 0
+    while _KEPT:
+        path, name = _KEPT.popitem()
+        with contextlib.suppress(Exception):  # a session that has ended leaves them to the folder's owner
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            n += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return n
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """`df` written to the shared folder and read back, so that what reads it often computes it once."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _keep(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,5 +66,7 @@ def stored_buckets(df: DataFrame, tag: str, *by: str) -> DataFrame:
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
     n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
-    df.write.bucketBy(n, *by).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(n, *by).option("path", path).format("parquet").saveAsTable(name)
+    _keep(spark, path, name)
     return spark.table(name)
