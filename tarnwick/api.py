@@ -96,7 +96,7 @@ class Engine:
             exact = retrieval.exact_hits(corpus, retrieval.entity_targets(asked.withColumnRenamed("query", "text")), fields).select("qid", "doc_id").distinct()
         heads = text.select("doc_id", F.left("text", F.lit(100)).alias("text"))
         merged = retrieval.merge(side(exact, zero, F.lit(1.0), 0), near, words, heads=heads, vector_weight=s.vector_weight, bm25_weight=s.bm25_weight)
-        merged = merged.drop("text").join(text, "doc_id").join(asked, "qid")
+        merged = retrieval.best(merged.drop("text"), s.top_k).join(text, "doc_id").join(asked, "qid")
         ranked = retrieval.rerank(merged, scorer, s.top_k).withColumn("score", F.col("rerank_score"))
         kept = retrieval.final(retrieval.discard_v2(ranked, scoring.floor_of(F.lit(source))), s.top_n)
         return kept.select("qid", "rank", "doc_id", "text", "score", scoring.row_confidence(F.col("score")).alias("confidence"), "stage")

@@ -86,13 +86,18 @@ def merge_by_id(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("_n", best).filter("_n = 1").drop("_n")
 
 
+def best(candidates: DataFrame, k: int = 30) -> DataFrame:
+    """Each query's k best by hybrid score: the cut before whole texts are fetched."""
+    order = Window.partitionBy("qid").orderBy(F.col("hybrid_score").desc(), F.col("doc_id"))
+    return candidates.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+
+
 def rerank(candidates: DataFrame, scorer, k: int = 30, chars: int = 512) -> DataFrame:
     """rerank_score of each query's k best by hybrid score, from scorer(query column, text column).
 
     A query of one candidate is not scored: it, and a null score, has the hybrid score.
     """
-    order = Window.partitionBy("qid").orderBy(F.col("hybrid_score").desc(), F.col("doc_id"))
-    few = candidates.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+    few = best(candidates, k)
     some = F.count("*").over(Window.partitionBy("qid")) > 1
     few = few.withColumn("_some", some)
     score = F.when(F.col("_some"), scorer(F.col("query"), F.left("text", F.lit(chars))))

@@ -99,7 +99,7 @@ again AS (SELECT qid, doc_id, stage, CASE WHEN n > 1 THEN CAST(round(10 * len(li
 @query(f"WITH {_OVERLAP_SQL} SELECT * FROM (SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN stage = 0 THEN 0 ELSE 1 END, rerank_score DESC, doc_id) AS INTEGER) AS rank, rerank_score FROM again) WHERE rank <= 8")
 def rerank_topn(spark, d):
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    scored = retrieval.rerank(_whole(spark, d, candidates(spark, d)).join(queries, "qid"), models.overlap_score)
+    scored = retrieval.rerank(_whole(spark, d, retrieval.best(candidates(spark, d))).join(queries, "qid"), models.overlap_score)
     return retrieval.final(scored, 8, "rerank_score").select("qid", "doc_id", "rank", "rerank_score")
 
 
