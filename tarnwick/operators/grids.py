@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwick.sources.shared import stored
+
 STRATEGIES = ("lines", "edges", "blanks")
 
 
@@ -26,7 +28,10 @@ def snapped(rows: DataFrame, by: list[str], value: str, name: str, tolerance: fl
 
 
 def phrases(words: DataFrame, tolerance: float = 3, gap: float = 2) -> DataFrame:
-    """Words with `line` (the top that a text line shares) and `phrase` (its number on the line): a gap of more than `gap` characters begins one."""
+    """Words with `line` (the top that a text line shares) and `phrase` (its number on the line): a gap of more than `gap` characters begins one.
+    Words that have both are left as they are."""
+    if "phrase" in words.columns:
+        return words
     lined = snapped(words, ["page"], "top", "line", tolerance)
     order = Window.partitionBy("page", "line").orderBy("x0", "x1", "text")
     width = F.try_divide(F.col("x1") - F.col("x0"), F.length("text"))
@@ -94,7 +99,8 @@ def by_lines(words: DataFrame, lines: DataFrame, snap: float = 3, tolerance: flo
     spread = cells.join(steps, "page").select("page", "table", "row", "column", "x2", "y2", F.explode(inside("xs", "x", "x2")).alias("sx"), "ys", "y")
     spread = spread.select("page", "table", "row", "column", "x2", "y2", "sx", F.explode(inside("ys", "y", "y2")).alias("sy"))
     last = lambda values, at: F.array_max(F.filter(values, lambda v: v <= at))
-    lined = snapped(words, ["page"], "top", "line", snap).withColumn("_x", (F.col("x0") + F.col("x1")) / 2)
+    lined = words if "line" in words.columns else snapped(words, ["page"], "top", "line", snap)
+    lined = lined.withColumn("_x", (F.col("x0") + F.col("x1")) / 2)
     placed = lined.join(steps, "page").withColumn("sx", last("xs", F.col("_x"))).withColumn("sy", last("ys", F.col("top")))
     placed = placed.join(spread, ["page", "sx", "sy"]).filter((F.col("_x") < F.col("x2")) & (F.col("top") < F.col("y2")))
     return _filled(placed, cells.select("page", "table", "row", "column"))
@@ -120,8 +126,9 @@ def by_blanks(words: DataFrame, tolerance: float = 3, gap: float = 2) -> DataFra
 
 def page_grids(words: DataFrame, lines: DataFrame, snap: float = 3, gap: float = 2, least: int = 2, enough: float = 0.5) -> DataFrame:
     """(page, strategy, table, cells) of the strategy chosen for each page. Pages without words have no grids."""
+    words, lines = stored(phrases(words, snap, gap), "words"), stored(lines, "rules")  # each strategy reads them
     found = (by_lines(words, lines, snap, snap), by_edges(words, snap, gap, least), by_blanks(words, snap, gap))
-    every = reduce(DataFrame.unionByName, (g.select("page", F.lit(k).alias("_k"), "table", "cells") for k, g in enumerate(found)))
+    every = stored(reduce(DataFrame.unionByName, (g.select("page", F.lit(k).alias("_k"), "table", "cells") for k, g in enumerate(found))), "grids")
     full = F.filter("cells", lambda r: F.size(F.filter(r, lambda c: c.isNotNull())) >= 2)
     sized = every.withColumn("_ok", (F.size("cells") >= 2) & F.exists("cells", lambda r: F.size(r) >= 2))
     per = sized.groupBy("page", "_k").agg(F.try_divide(F.sum(F.when(F.col("_ok"), F.size(full)).otherwise(0)), F.sum(F.size("cells"))).alias("score"))

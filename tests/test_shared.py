@@ -17,6 +17,7 @@ def test_forget(spark):
     assert shared.forget(spark) == 2 and not shared._KEPT
     assert not any(os.path.exists(p.removeprefix("file://")) for p in paths)
     text_queries._INDEXES.clear()  # it read what was deleted
+    text_queries._BLOCKS.clear()
 
 
 def test_an_index_follows_its_files(spark, tmp_path):
