@@ -63,14 +63,32 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return at + np.arange(at.size)
 
 
+#: By the number of bytes that count, from 0 to 8: which bits of a little-endian number those are.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _lanes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first eight bytes of each word and the next eight, as numbers; bytes after its end are zero."""
+    wide = np.concatenate([data, np.zeros(16, np.uint8)])
+    every = np.lib.stride_tricks.as_strided(wide[:8].view("<u8"), shape=(wide.size - 7,), strides=(1,))
+    return every[starts] & _BYTES[np.minimum(sizes, 8)], every[starts + 8] & _BYTES[np.clip(sizes - 8, 0, 8)]
+
+
 class _Known:
-    """Words with their ids, found by hash and checked by bytes."""
+    """Words with their ids, found by hash and checked by bytes: sixteen of them as two numbers, the rest of long words one by one."""
 
     def __init__(self, learn):
-        self.table, self.ids, self.bytes, self.learn, self.met = Table(), _Lists(), _Lists(np.uint8), learn, {}
+        self.table, self.ids, self.learn, self.met = Table(), _Lists(), learn, {}
+        self.first, self.next, self.sizes, self.rest = _Lists(np.uint64), _Lists(np.uint64), _Lists(np.int64), _Lists(np.uint8)
 
     def _add(self, words: Words, at: np.ndarray) -> None:
-        self.bytes.extend(words.data[_spread(words.starts[at], words.ends[at] - words.starts[at])], words.ends[at] - words.starts[at])
+        starts, sizes = words.starts[at], words.ends[at] - words.starts[at]
+        one, two = _lanes(words.data, starts, sizes)
+        self.first.extend(one, np.ones(at.size, np.int64))
+        self.next.extend(two, np.ones(at.size, np.int64))
+        self.sizes.extend(sizes, np.ones(at.size, np.int64))
+        beyond = np.maximum(sizes - 16, 0)
+        self.rest.extend(words.data[_spread(starts + 16, beyond)], beyond)
         self.ids.extend(*self.learn(words.strings(at)))
 
     def codes(self, words: Words) -> np.ndarray:
@@ -82,19 +100,21 @@ class _Known:
             self._add(words, missing[first])
             codes[missing] = self.table.lookup(words.hashes[missing])
         sizes = words.ends - words.starts
-        same = self.bytes.size[codes] == sizes
-        known, _ = self.bytes.gather(codes[same])
-        differs = known != words.data[_spread(words.starts[same], sizes[same])]
-        if differs.any() or not same.all():
-            ends = np.cumsum(sizes[same])
-            wrong = np.add.reduceat(differs, ends - sizes[same]) > 0 if ends.size else np.zeros(0, bool)
-            for k in np.sort(np.concatenate([np.flatnonzero(~same), np.flatnonzero(same)[wrong]])).tolist():
-                word = words.data[words.starts[k] : words.ends[k]].tobytes()
-                if word not in self.met:  # its hash is another word's: it has a number outside the table
-                    self.met[word] = self.ids.n
-                    self.table.n += 1
-                    self._add(words, np.array([k]))
-                codes[k] = self.met[word]
+        one, two = _lanes(words.data, words.starts, sizes)
+        same = (self.sizes.flat[codes] == sizes) & (self.first.flat[codes] == one) & (self.next.flat[codes] == two)
+        long = np.flatnonzero(same & (sizes > 16))
+        if long.size:
+            beyond = sizes[long] - 16
+            differs = self.rest.gather(codes[long])[0] != words.data[_spread(words.starts[long] + 16, beyond)]
+            if differs.any():
+                same[long[np.add.reduceat(differs, np.cumsum(beyond) - beyond) > 0]] = False
+        for k in np.flatnonzero(~same).tolist():
+            word = words.data[words.starts[k] : words.ends[k]].tobytes()
+            if word not in self.met:  # its hash is another word's: it has a number outside the table
+                self.met[word] = self.ids.n
+                self.table.n += 1
+                self._add(words, np.array([k]))
+            codes[k] = self.met[word]
         return codes
 
 
