@@ -27,10 +27,14 @@ def entity_targets(queries: DataFrame, id_col: str = "qid", text_col: str = "tex
 
 
 def exact_hits(corpus: DataFrame, targets: DataFrame, fields: list[str], limit: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """(qid, doc_id, field, value): `limit` smallest ids for each target. The corpus is unpivoted, so one equi-join serves all fields."""
+    """(qid, doc_id, field, value): `limit` smallest ids for each target. The corpus is unpivoted, so one equi-join serves all fields.
+
+    Which ids a value has does not depend on who asks, so all but `limit` rows of a value go before the join.
+    """
     known = corpus.select(F.col(id_col).alias("doc_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x")).select("doc_id", "x.field", "x.value")
-    order = Window.partitionBy("qid", "field", "value").orderBy("doc_id")
-    return targets.join(known, ["field", "value"]).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).select("qid", "doc_id", "field", "value")
+    order = Window.partitionBy("field", "value").orderBy("doc_id")
+    few = known.filter(F.col("value").isNotNull()).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
+    return targets.join(few, ["field", "value"]).select("qid", "doc_id", "field", "value")
 
 
 def _grams(column: str, n: int) -> Column:
@@ -42,17 +46,18 @@ def exact_match(corpus: DataFrame, queries: DataFrame, rules: list[tuple[str, st
     """(qid, doc_id, match_type, priority): rules (field, 'eq' or 'contains') in order, `limit` ids each, a document's first rule wins.
 
     The whole trimmed query is compared. Both are equi-joins: for containment, distinct values meet the queries whose first
-    `GRAM` characters stand somewhere in them, and only those are compared.
+    `GRAM` characters stand somewhere in them, and only those are compared. Of a value's ids the `limit` smallest are joined.
     """
     q = queries.select("qid", F.trim("text").alias("_q")).filter("_q <> ''").withColumn("_g", F.left("_q", F.lit(GRAM)))
     parts = []
     for k, (field, op) in enumerate(rules):
-        rows = corpus.select(F.col(id_col).alias("doc_id"), F.col(field).cast("string").alias("_v"))
+        every = corpus.select(F.col(id_col).alias("doc_id"), F.col(field).cast("string").alias("_v"))
+        rows = every.withColumn("_k", F.row_number().over(Window.partitionBy("_v").orderBy("doc_id"))).filter(F.col("_k") <= limit).drop("_k")
         if op == "eq":
             hit = q.join(rows, F.col("_q") == F.col("_v"))
         else:
             grams = F.flatten(F.array(*(_grams("_v", n) for n in range(1, GRAM + 1))))
-            cut = rows.select("_v").distinct().filter("_v <> ''").select("_v", F.explode(F.array_distinct(grams)).alias("_g"))
+            cut = every.select("_v").distinct().filter("_v <> ''").select("_v", F.explode(F.array_distinct(grams)).alias("_g"))
             pairs = q.select("_q", "_g").distinct().join(cut, "_g").filter(F.contains("_v", "_q")).select("_q", "_v")
             hit = q.join(pairs, "_q").join(rows, "_v")
         first = F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))
