@@ -50,18 +50,20 @@ def pack_overlap(text: Column, size: int = 1200, overlap: int = 200) -> Column:
     return F.when(F.length(text) <= size, F.array(text)).otherwise(packed)
 
 
-def clause_pattern(heading_space: int = 1, levels: int = 2) -> str:
-    """A heading line: number of up to `levels` dots, white space, a capitalised title; or an annex."""
-    return rf"\d+(?:\.\d+){{0,{levels}}}\s{{{heading_space},}}[A-Z][^\n]{{3,80}}$|Annex\s+[A-Z]\s*\((?:normative|informative)\)\s*[:]?\s*.+$"
+def clause_pattern(heading_space: int = 1, levels: int = 2, title: str | None = None) -> str:
+    """A heading line: number of up to `levels` dots, white space, a capitalised title; or an annex. title: the pattern of titles,
+    where they are known; without it, a line that only looks like a heading is one."""
+    return rf"\d+(?:\.\d+){{0,{levels}}}\s{{{heading_space},}}{title or r'[A-Z][^\n]{3,80}'}$|Annex\s+[A-Z]\s*\((?:normative|informative)\)\s*[:]?\s*{title or '.+'}$"
 
 
-def clauses(text: Column, heading_space: int = 1) -> Column:
+def clauses(text: Column, heading_space: int = 1, title: str | None = None) -> Column:
     """array<struct<number, heading, body>> of a headed text; text before the first heading is dropped.
 
     heading_space: white space that the number needs before the title; 2 for texts whose blanks are not collapsed.
+    title: as in clause_pattern().
     """
-    start = f"(?md)^(?={clause_pattern(heading_space)})"
-    parts = F.filter(F.split(text, start, -1), lambda p: p.rlike(f"(?md)\\A(?:{clause_pattern(heading_space)})"))
+    pattern = clause_pattern(heading_space, title=title)
+    parts = F.filter(F.split(text, f"(?md)^(?={pattern})", -1), lambda p: p.rlike(f"(?md)\\A(?:{pattern})"))
     number, heading = r"^(\d+(?:\.\d+)*|Annex\s+[A-Z])", r"(?d)^(?:\d+(?:\.\d+)*\s+|Annex\s+[A-Z]\s*\((?:normative|informative)\)\s*:?\s*)([^\n]*)"
     return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, number, 1).alias("number"), strip(F.regexp_extract(p, heading, 1)).alias("heading"), strip(p).alias("body")))
 
@@ -74,13 +76,13 @@ def simple_chunks(text: Column, spec: Column, size: int = 1200, overlap: int = 2
     return F.filter(each, lambda x: ~x["noise"])
 
 
-def clause_chunks(text: Column, spec: Column, size: int = 1200, overlap: int = 200, heading_space: int = 1) -> Column:
+def clause_chunks(text: Column, spec: Column, size: int = 1200, overlap: int = 200, heading_space: int = 1, title: str | None = None) -> Column:
     """array<struct<text, sub_chunk, section_number, section_heading, noise>> of a headed text.
 
     A clause that fits is one chunk with sub_chunk null; a longer one is packed. Each begins with '[spec §n] heading'. Noise is
     dropped. With fewer than three headings the text is chunked without them.
     """
-    found = clauses(text, heading_space)
+    found = clauses(text, heading_space, title)
 
     def of(c):
         label = F.concat(F.lit("["), spec, F.lit(" §"), c["number"], F.lit("] "), c["heading"])
@@ -93,13 +95,13 @@ def clause_chunks(text: Column, spec: Column, size: int = 1200, overlap: int = 2
     return F.when(F.size(found) < 3, simple_chunks(text, spec, size, overlap)).otherwise(F.flatten(F.transform(found, of)))
 
 
-def clause_chunks_v1(text: Column, size: int = 1200, step: int = 1000) -> Column:
+def clause_chunks_v1(text: Column, size: int = 1200, step: int = 1000, title: str = r"[A-Z][^\n]{2,80}") -> Column:
     """array<struct<text, section_number, section_title, chunk_type>>: first generation, letters before numbers, three dots, 1 to 4 blanks.
 
     A clause over `size` is cut in sliding windows, the first of type clause, the others clause_continued; pieces of 50
-    characters or less go. A text without headings is cut as type body.
+    characters or less go. A text without headings is cut as type body. title: the pattern of headings' titles.
     """
-    head = r"[A-Z]?\d+(?:\.\d+){0,3}\s{1,4}[A-Z][^\n]{2,80}$"
+    head = r"[A-Z]?\d+(?:\.\d+){0,3}\s{1,4}" + title + "$"
     parts = F.filter(F.split(text, f"(?md)^(?={head})", -1), lambda p: p.rlike(f"(?md)\\A{head}"))
     cut = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.length(p) - 1, F.lit(0)), F.lit(step)), lambda a: F.substring(p, a + 1, F.lit(size)))
     row = lambda t, n, h, kind: F.struct(t.alias("text"), n.alias("section_number"), h.alias("section_title"), kind.alias("chunk_type"))
@@ -156,13 +158,12 @@ def grid_records(df: DataFrame, grid_col: str = "cells") -> DataFrame:
     return made.withColumn("mo_path", F.when(F.col("mo_path") == "", F.coalesce(mo_path(F.col("description")), F.lit(""))).otherwise(F.col("mo_path")))
 
 
-def narrative_sections(text: Column, page: Column) -> Column:
+def narrative_sections(text: Column, page: Column, min_chars: int = 80, heading: str = V.NARRATIVE_SECTION[1:]) -> Column:
     """array<struct<section, description>> of a page without tables: numbered sections with bodies over 60 characters, 2000 at most;
-    a page without sections is one block; a page under 80 characters gives none."""
-    start = rf"(?md)^(?=(?:{V.NARRATIVE_SECTION[1:]}))"
-    parts = F.filter(F.split(text, start, -1), lambda p: p.rlike(r"(?md)\A(?:" + V.NARRATIVE_SECTION[1:] + ")"))
+    a page without sections is one block; a page under `min_chars` characters gives none. heading: the pattern of a section's first line."""
+    parts = F.filter(F.split(text, f"(?md)^(?=(?:{heading}))", -1), lambda p: p.rlike(f"(?md)\\A(?:{heading})"))
     one = lambda p: F.struct(strip(F.regexp_replace(F.regexp_extract(p, r"(?d)^([^\n]*)", 1), r"^(\S+)\s+", "$1 ")).alias("section"), F.left(strip(F.regexp_replace(p, r"(?d)^[^\n]*\n?", "")), F.lit(2000)).alias("description"))
     many = F.filter(F.transform(parts, one), lambda s: F.length(s["description"]) > 60)
     block = F.array(F.struct(F.concat(F.lit("page_"), page.cast("string")).alias("section"), F.left(strip(text), F.lit(2000)).alias("description")))
     none = F.array().cast("array<struct<section:string,description:string>>")
-    return F.when(F.length(strip(text)) < 80, none).when(F.size(parts) > 0, many).otherwise(block)
+    return F.when(F.length(strip(text)) < min_chars, none).when(F.size(parts) > 0, many).otherwise(block)
