@@ -41,7 +41,7 @@ def _within(seconds: float):
         signal.signal(signal.SIGALRM, before)
 
 
-def chain(content: bytes | None, extractors: list[tuple[str, Extractor]], max_pages: int, min_chars: int, seconds: float) -> tuple[str | None, list[str], list[str]]:
+def chain(content: bytes | None, extractors: list[tuple[str, Extractor]], max_pages: int | None, min_chars: int, seconds: float) -> tuple[str | None, list[str], list[str]]:
     """(name of the extractor that won, its pages, reasons of those before)."""
     reasons = []
     for name, extract in extractors:
@@ -57,10 +57,10 @@ def chain(content: bytes | None, extractors: list[tuple[str, Extractor]], max_pa
     return None, [], reasons
 
 
-def extracted(files: DataFrame, extractors: list[tuple[str, Extractor]], max_bytes: int = 200_000_000, max_pages: int = 600, min_chars: int = 500, seconds: float = 60, path: str = "path", content: str = "content") -> DataFrame:
+def extracted(files: DataFrame, extractors: list[tuple[str, Extractor]], max_bytes: int = 200_000_000, max_pages: int | None = 600, min_chars: int = 500, seconds: float = 60, path: str = "path", content: str = "content") -> DataFrame:
     """(path, extractor, page from 1, n_pages, text, reasons): a row a page of what could be read, in order; one row without page for a file
     that none of the extractors read, or that has more than `max_bytes` or no content. reasons tell why others were passed over.
-    Blank pages are left out; pages beyond `max_pages` too."""
+    Blank pages are left out; pages beyond `max_pages` too, if it is given."""
     t = files.select(F.col(path).cast("string").alias("path"), F.octet_length(content).cast("long").alias("size"), F.when(F.octet_length(content) <= max_bytes, F.col(content)).alias("content"))
 
     def apply(batches):
