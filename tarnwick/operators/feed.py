@@ -34,9 +34,11 @@ def dedup_stats(items: DataFrame, seen: DataFrame, url: str = "url") -> DataFram
     return counts.withColumn("seen_total", seen.agg(F.count("*")).scalar())
 
 
-def mark_seen(seen: DataFrame, items: DataFrame) -> DataFrame:
-    """Insert or ignore by url_hash: the seen-set with the items that it lacks, each once."""
-    new = items.join(seen.select("url_hash"), "url_hash", "left_anti").dropDuplicates(["url_hash"])
+def mark_seen(seen: DataFrame, items: DataFrame, copies: bool = False) -> DataFrame:
+    """Insert or ignore by url_hash: the seen-set with the items that it lacks, each once; with `copies`, all rows of what it lacked
+    before the batch, for a set that keeps every page of a url."""
+    new = items.join(seen.select("url_hash"), "url_hash", "left_anti")
+    new = new if copies else new.dropDuplicates(["url_hash"])
     return seen.unionByName(new.select(*seen.columns))
 
 

@@ -29,7 +29,7 @@ def odd(spark, tmp_path):
     return str(tmp_path), con
 
 
-@pytest.mark.parametrize("name", ["clause_boundaries", "clause_chunks", "clause_chunks_v1", "narrative_sections", "extract_chain"])
+@pytest.mark.parametrize("name", ["clause_boundaries", "clause_chunks", "clause_chunks_v1", "narrative_sections", "extract_chain", "seen_upsert_ignore"])
 def test_odd_rows(spark, odd, same, name):
     d, con = odd
     same(QUERIES[name](spark, d), con.execute(ORACLES[name]).fetch_df())
