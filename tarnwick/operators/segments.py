@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.functions.text import tokenize
-from tarnwick.operators.index import Index
+from tarnwick.operators.index import Index, of_vectors
 from tarnwick.sources.versions import Version, VersionedTable
 
 #: Segments of one size class that are merged into one; documents of the smallest class.
@@ -99,9 +99,4 @@ class SegmentedIndex:
         """The index of a version, else of the latest, as index.build() of the living documents gives it."""
         segments = self._segments(self.table.version(number))
         live = self._live([s for s in segments if not s["deletes"]], segments)
-        lengths = live.select("doc_id", "dl")
-        postings = live.select("doc_id", "dl", F.explode("terms").alias("t")).select("t.term", "doc_id", "t.tf", "dl")
-        totals = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens")).withColumn("avgdl", F.try_divide("n_tokens", "n_docs"))
-        n = lengths.agg(F.count("*")).scalar()
-        terms = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
-        return Index(postings, lengths, terms, totals)
+        return of_vectors(live)
