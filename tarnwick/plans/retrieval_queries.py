@@ -7,6 +7,7 @@ from tarnwick.operators import ivf, models, retrieval, vector
 from tarnwick.plans.registry import query, quoted, table
 from tarnwick.plans.text_queries import _ASKED_SQL, _FOUND_SQL, _NAMES_SQL, _PARTS, BM25_SQL, _named, search, tokens_sql
 from tarnwick.functions import vocab as V
+from tarnwick.sources.shared import stored
 
 # -- candidates: item i asks for source 'src(i % 20)' exactly, and its vector is that of vec_id i -----------------
 
@@ -26,7 +27,7 @@ hybrid AS (SELECT *, round(CASE WHEN stage = 0 THEN greatest(0.65 * vector_score
 ranked AS (SELECT *, round(hybrid_score * 10 - 4, 7) AS score FROM hybrid)"""
 
 
-def _parts(spark, d):
+def _exact_and_near(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     targets = items.select(F.col("item_id").alias("qid"), F.lit("source").alias("field"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("value"))
     vecs = table(spark, d, "embeddings")
@@ -35,7 +36,12 @@ def _parts(spark, d):
     zero, one = F.lit(0.0), F.lit(1.0)
     exact = row(retrieval.exact_hits(docs, targets, ["source"]), zero, one, 0)
     near = row(vector.knn(vecs, asked).withColumnRenamed("vec_id", "doc_id"), F.col("score"), zero, 1)
-    return exact, near, row(search(spark, d), zero, F.col("bm25"), 1)
+    return exact, near
+
+
+def _parts(spark, d):
+    words = search(spark, d).select("qid", "doc_id", F.lit(0.0).alias("vector_score"), F.col("bm25").alias("bm25_score"), F.lit(1).alias("stage"))
+    return *_exact_and_near(spark, d), words
 
 
 def _heads(spark, d):
@@ -309,9 +315,9 @@ def pipeline_trace(spark, d):
 SELECT qid, doc_id, match_type FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY priority) AS n FROM every) WHERE n = 1"""
 )
 def merge_by_id_v1(spark, d):
-    exact, near, _ = _parts(spark, d)
+    exact, near = _exact_and_near(spark, d)
     one = exact.select("qid", "doc_id", F.lit("exact").alias("match_type"), F.lit(0).alias("priority"))
-    near = near.join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_semi")
+    near = stored(near, "near").join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_semi")
     two = near.select("qid", "doc_id", F.lit("vector").alias("match_type"), F.lit(1).alias("priority"))
     return retrieval.merge_by_id(one.unionByName(two)).select("qid", "doc_id", "match_type")
 
