@@ -229,7 +229,8 @@ def engine_answer(spark, d):
     from tarnwick.api import Engine, Settings
 
     docs, vecs = table(spark, d, "documents"), table(spark, d, "embeddings")
-    docs.join(vecs.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").select("doc_id", "text", "embedding").createOrReplaceTempView("engine_documents")
+    # a collection is a table of its own: its parts are joined once
+    stored(docs.join(vecs.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").select("doc_id", "text", "embedding"), "collection").createOrReplaceTempView("engine_documents")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text").join(vecs.select(F.col("vec_id").alias("qid"), "embedding"), "qid", "left")
     found = Engine(spark, Settings(max_terms=0)).query(items, "engine_documents")
     return found.select("qid", "rank", "doc_id", "score", "confidence", "stage")
@@ -261,7 +262,7 @@ def engine_full(spark, d):
     docs, vecs = table(spark, d, "documents"), table(spark, d, "embeddings")
     key = F.col("doc_id")
     docs = docs.select("doc_id", "text", F.concat(F.lit("5.3."), (key % 7).cast("string"), F.lit(".2")).alias("section_number"), F.concat(F.lit("VonrHoTimer"), (key % 5).cast("string")).alias("parameter_name"))
-    docs.join(vecs.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").createOrReplaceTempView("engine_full_documents")
+    stored(docs.join(vecs.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left"), "collection").createOrReplaceTempView("engine_full_documents")
     item = F.col("item_id")
     more = F.when(item % 3 == 0, F.concat(F.lit(" §5.3."), (item % 7).cast("string"), F.lit(".2 at handover"))).when(item % 3 == 1, F.concat(F.lit(" VonrHoTimer"), (item % 5).cast("string"), F.lit(" of vonr"))).otherwise("")
     items = table(spark, d, "benchmark").select(item.alias("qid"), F.concat("text", more).alias("text")).join(vecs.select(F.col("vec_id").alias("qid"), "embedding"), "qid", "left")
