@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import scoring
 from tarnwick.functions.text import query_entities
+from tarnwick.sources.shared import stored
 
 
 #: Characters of a query that its matches are found by.
@@ -71,10 +72,11 @@ def merge(exact: DataFrame, vector: DataFrame, bm25: DataFrame, prefix: int = 10
     """One candidate for each query and text prefix: the first of exact, vector, bm25 (then smallest id) stays, scores are the largest.
 
     Inputs are candidates; a prefix stands for the text, so pieces that begin alike are one. With `heads` (doc_id, text) the
-    inputs have no text and get it there: whole texts need not be shuffled before the winners are known.
+    inputs have no text and get it there: whole texts need not be shuffled before the winners are known. Candidates are written before
+    and after, so that joins with the corpus know how few they are, and broadcast them.
     """
     every = exact.withColumn("_p", F.lit(0)).unionByName(vector.withColumn("_p", F.lit(1))).unionByName(bm25.withColumn("_p", F.lit(2)))
-    every = every if heads is None else every.join(heads, "doc_id")
+    every = every if heads is None else stored(every, "candidates").join(heads, "doc_id")
     every = every.withColumn("_key", F.left("text", F.lit(prefix)))
     merged = every.groupBy("qid", "_key").agg(
         F.min_by(F.struct("doc_id", "text", "stage"), F.struct("_p", "doc_id")).alias("c"),
@@ -82,7 +84,7 @@ def merge(exact: DataFrame, vector: DataFrame, bm25: DataFrame, prefix: int = 10
         F.max("bm25_score").alias("bm25_score"),
     )
     out = merged.select("qid", "c.doc_id", "c.text", "vector_score", "bm25_score", "c.stage")
-    return out.withColumn("hybrid_score", F.round(scoring.hybrid(F.col("vector_score"), F.col("bm25_score"), F.col("stage"), vector_weight, bm25_weight), 8))
+    return stored(out.withColumn("hybrid_score", F.round(scoring.hybrid(F.col("vector_score"), F.col("bm25_score"), F.col("stage"), vector_weight, bm25_weight), 8)), "merged")
 
 
 def merge_by_id(candidates: DataFrame) -> DataFrame:
