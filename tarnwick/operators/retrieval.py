@@ -150,7 +150,8 @@ def panel_confidence(scored: DataFrame, boost: bool = True, score: str = "score"
 
 
 def evidence_block(ranked: DataFrame, chars: int = 800) -> DataFrame:
-    """(qid, evidence): '[Ei] citation (score=s)' and the text's start for each hit in rank order."""
-    part = F.concat(F.lit("[E"), F.col("rank").cast("string"), F.lit("] "), F.col("citation"), F.lit(" (score="), F.format_string("%.2f", F.round("score", 2)), F.lit(")\n"), F.left("text", F.lit(chars)))
+    """(qid, evidence): '[Ei] citation (score=s)' and the text's start for each hit in rank order. A score is rounded as a double, not by its
+    digits: 1.005, which is a little less, gives 1.00."""
+    part = F.concat(F.lit("[E"), F.col("rank").cast("string"), F.lit("] "), F.col("citation"), F.lit(" (score="), F.format_string("%.2f", F.round(F.col("score") * 100) / 100), F.lit(")\n"), F.left("text", F.lit(chars)))
     per = ranked.select("qid", F.struct("rank", part.alias("part")).alias("p")).groupBy("qid").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     return per.select("qid", F.array_join(F.transform("ps", lambda x: x["part"]), "\n\n---\n\n").alias("evidence"))

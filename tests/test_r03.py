@@ -43,3 +43,11 @@ def test_exact_hits_joins_few(spark):
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # nothing is cut after the join
     got = found.groupBy("doc_id").count().orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(k, 300) for k in range(5)]
+
+
+def test_evidence_rounds_doubles(spark):
+    scores = [1.005, 1.015, 2.675, -1.005, 0.125, 4.0]
+    rows = spark.createDataFrame([(k, 1, "d", "t", s) for k, s in enumerate(scores)], "qid int, rank int, citation string, text string, score double")
+    got = {r["qid"]: r["evidence"].split("score=")[1].split(")")[0] for r in retrieval.evidence_block(rows).collect()}
+    want = duckdb.sql("SELECT " + ", ".join(f"printf('%.2f', round(CAST({s} AS DOUBLE), 2))" for s in scores)).fetchall()[0]
+    assert tuple(got[k] for k in range(len(scores))) == want
