@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwick.operators import retrieval
+from tarnwick.operators import index, retrieval
 from tarnwick.plans import ORACLES, QUERIES
 
 #: Lines that look like headings, a page of one short section, and more pages than an extractor takes by default.
@@ -51,3 +51,12 @@ def test_evidence_rounds_doubles(spark):
     got = {r["qid"]: r["evidence"].split("score=")[1].split(")")[0] for r in retrieval.evidence_block(rows).collect()}
     want = duckdb.sql("SELECT " + ", ".join(f"printf('%.2f', round(CAST({s} AS DOUBLE), 2))" for s in scores)).fetchall()[0]
     assert tuple(got[k] for k in range(len(scores))) == want
+
+
+def test_terms_counted_once(spark):
+    """A search reads the terms twice; that counts no postings again."""
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta"), (3, None)], "doc_id long, text string")
+    made = index.build(docs)
+    plan = index.with_idf(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "vectors" not in plan
+    assert sorted((r["term"], r["df"]) for r in made.terms.collect()) == [("alpha", 1), ("beta", 2)]
