@@ -40,7 +40,7 @@ def moved(spark, run):
     return sum(s.shuffleWriteRecords() + s.outputRecords() for s in new), sum(s.diskBytesSpilled() for s in new)
 
 
-@pytest.mark.parametrize("name", ["hybrid_topk", "final_topn", "score_floor"])
+@pytest.mark.parametrize("name", ["hybrid_topk", "final_topn", "score_floor", "dynamic_floor_v2"])
 def test_rows_moved_grow_with_documents_alone(spark, grown, monkeypatch, name):
     """Of a further document there are its row in the index and its own terms, not a row for each query that shares a word with it."""
     monkeypatch.setattr(text_queries, "_INDEXES", {})  # the index is part of the job
