@@ -56,9 +56,10 @@ def find_hits(words: DataFrame, items: DataFrame, n: int = 13, item_id: str = "i
     kind = grams.schema["item_ids"].dataType
     hit = (F.col("_hash") == F.col("_key")) & (F.col("_n") == F.col("_size"))
     same = F.coalesce(F.slice("_w", F.greatest("_at", F.lit(0)) + 1, F.col("_size")) == F.col("gram"), F.lit(False))
-    columns = ["_id", "_row", "_w", "_at", "_size", "item_ids", "_same"]
+    # the words end here: past 128 documents the aggregation sorts, and so keeps, all rows of its task
+    columns = ["_id", "_row", F.when(F.col("_at") < 0, F.size("_w")).alias("_n_words"), "_at", "_size", "item_ids", "_same"]
     # position -1 stands for the document itself, so that one without hits keeps a row
-    alone = lambda w: w.select("_id", "_row", "_w", F.lit(-1).alias("_at"), F.lit(None).cast("int").alias("_size"), F.lit(None).cast(kind).alias("item_ids"), F.lit(False).alias("_same"))
+    alone = lambda w: w.select("_id", "_row", "_w", F.lit(-1).alias("_at"), F.lit(None).cast("int").alias("_size"), F.lit(None).cast(kind).alias("item_ids"), F.lit(False).alias("_same")).select(*columns)
 
     def probe(walk: DataFrame, *carried: str) -> DataFrame:
         """A row for each place and size of window: its hash, null where there is none."""
@@ -83,7 +84,7 @@ def find_hits(words: DataFrame, items: DataFrame, n: int = 13, item_id: str = "i
         probed = alone(words).unionByName(checked)
     return probed.groupBy("_row").agg(
         F.first("_id").alias("_id"),
-        F.max(F.when(F.col("_at") < 0, F.size("_w"))).cast("long").alias("n_words"),
+        F.max("_n_words").cast("long").alias("n_words"),
         F.sort_array(F.collect_list(F.when(F.col("_same"), F.struct(F.col("_at").alias("at"), F.col("_size").alias("size"))))).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("_same"), F.col("item_ids")))))).alias("item_ids"),
     )
